@@ -65,7 +65,7 @@ def message_type(payload: Column | str = "value") -> Column:
     # the payload is named once: a filter on the type may be pushed below costly columns
     keys = F.concat(F.json_object_keys(text), F.array(F.lit("")))
     names = F.array(*[F.lit(k) for k, _ in TYPE_KEYS], F.lit("unknown"))
-    return F.element_at(names, F.array_min(F.transform(keys, rank)))
+    return F.get(names, F.array_min(F.transform(keys, rank)) - 1)
 
 
 def route(df: DataFrame, payload: str = "value") -> DataFrame:

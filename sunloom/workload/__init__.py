@@ -1,6 +1,6 @@
 """Every operator as a query over the test tables."""
 
-from sunloom.workload import quality_and_gold
+from sunloom.workload import quality_and_gold, reads_and_dashboard
 from sunloom.workload.registry import QUERIES
 
-__all__ = ["QUERIES", "quality_and_gold"]
+__all__ = ["QUERIES", "quality_and_gold", "reads_and_dashboard"]
