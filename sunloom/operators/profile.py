@@ -137,7 +137,7 @@ def clipped_histogram(counts: DataFrame, bins: int = 100, q: float = 0.99) -> Da
     Works on the gap counts; the range is three numbers joined as a scalar row.
     """
     edge = counts.agg(
-        F.min("gap_seconds").alias("lo"), F.percentile("gap_seconds", q, "occurrences").alias("hi")
+        F.min("gap_seconds").alias("lo"), F.percentile("gap_seconds", q, F.col("occurrences")).alias("hi")
     )
     lo, hi = edge.select("lo").scalar(), edge.select("hi").scalar()
     ranged = counts.withColumns({"_lo": lo, "_hi": hi})

@@ -319,4 +319,4 @@ def latest_per_key(df: DataFrame, by: Sequence[str], ts: str) -> DataFrame:
 
 def median_of_counts(value: str, count: str) -> Column:
     """Median of values that come with how often they occur."""
-    return F.percentile(value, 0.5, count)
+    return F.percentile(value, 0.5, F.col(count))
