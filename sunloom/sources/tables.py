@@ -37,6 +37,13 @@ def append(df: DataFrame, path: str, ts: str = "ts") -> None:
     with_event_date(df, ts).write.mode("append").partitionBy("event_date").parquet(path)
 
 
+def append_batch(df: DataFrame, path: str, batch_id: int, ts: str = "ts") -> None:
+    """Append one micro-batch; a replay of the batch replaces what it wrote before."""
+    dated = with_event_date(df, ts).withColumn("batch_id", F.lit(batch_id).cast("long"))
+    writer = dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("batch_id", "event_date").parquet(path)
+
+
 def daily_files(df: DataFrame, path: str, ts: str = "ts") -> None:
     """Append with the rows of a day brought together, so a day gets few files.
 
@@ -80,7 +87,9 @@ def upsert(df: DataFrame, path: str, keys: Sequence[str], recency: Sequence[str]
     staged = (with_event_date(df, ts) if ts else df).checkpoint()
     existing = spark.read.parquet(path) if table_exists(spark, path) else None
     if ts and existing is not None:
-        existing = existing.join(staged.select("event_date").distinct(), "event_date", "left_semi")
+        # at most one value per calendar day of the batch; as literals they prune the scan
+        days = [r[0] for r in staged.select("event_date").distinct().collect()]
+        existing = existing.filter(F.col("event_date").isin(days))
     if ts:
         keys = [*keys, "event_date"]
     result = merged(existing, staged, keys, recency).checkpoint()
