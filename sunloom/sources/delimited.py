@@ -24,7 +24,7 @@ def split_export(lines: DataFrame, names: Sequence[str], json_column: str = "raw
     """Split lines at commas; what lies between the fixed ends is the JSON text.
 
     Quotes around the JSON are removed and those inside stay as they are. Blank
-    cells become NULL. A line with too few cells has no JSON and is kept.
+    cells become NULL. A line with too few cells is kept with its leading cells.
     """
     head = list(names).index(json_column)
     tail = len(names) - head - 1
@@ -36,7 +36,8 @@ def split_export(lines: DataFrame, names: Sequence[str], json_column: str = "raw
     cut = lines.filter(value != "").select(parts.alias("p"), json.alias("j"))
     cells = [F.get(F.col("p"), F.lit(i)) for i in range(head)]
     cells.append(F.col("j"))
-    cells += [F.get(F.col("p"), F.size("p") - (tail - i)) for i in range(tail)]
+    whole = F.size("p") >= head + tail
+    cells += [F.when(whole, F.get(F.col("p"), F.size("p") - (tail - i))) for i in range(tail)]
     return cut.select(*[blank_to_null(c).alias(n) for c, n in zip(cells, names)])
 
 
