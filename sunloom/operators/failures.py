@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sunloom.functions.temporal import clear_sky_poa
 from sunloom.operators.timeseries import interval_join
 from sunloom.plans import skew
+from sunloom.session import ensure_checkpoint_dir
 
 # Weights of a failure by severity; any other severity counts as LOW.
 STRESS_WEIGHTS = {"CRITICAL": 0.4, "HIGH": 0.25, "MEDIUM": 0.15, "LOW": 0.05}
@@ -43,7 +44,10 @@ def system_impact(
     once cost no more than few.
     """
     by = list(by)
+    limit = skew.MAX_GROUP_ROWS if max_rows is None else max_rows
     live = failures.filter("start_ts < end_ts")
+    # a failure gives at most two counts and two component changes
+    bound = 4 * skew.largest_group(live, by) + skew.largest_group(points, by)
     names = list(_levels())
     counts = {n: F.coalesce(c, F.lit(False)).cast("long") for n, c in _levels().items()}
     marked = live.withColumns(counts)
@@ -54,7 +58,10 @@ def system_impact(
     totals = edges.groupBy(*by, "_at").agg(*[F.sum(F.col(n) * F.col("_s")).alias(n) for n in names])
 
     steps = edges.groupBy(*by, "component_id", "_at").agg(F.sum("_s").alias("_d")).filter("_d <> 0").withColumn("_n", F.col("_d"))
-    swept = skew.running_totals(steps, [*by, "component_id"], "_at", [], ["_n"], max_rows)
+    if bound > limit:
+        ensure_checkpoint_dir(points.sparkSession)
+        steps = steps.checkpoint()
+    swept = skew.running_totals(steps, [*by, "component_id"], "_at", [], ["_n"], limit, bound)
     change = (F.col("_n") > 0).cast("long") - (F.col("_n") - F.col("_d") > 0).cast("long")
     parts = swept.select(*by, "_at", change.alias("components")).filter("components <> 0")
     parts = parts.groupBy(*by, "_at").agg(F.sum("components").alias("components"))
@@ -63,7 +70,9 @@ def system_impact(
     moves = totals.unionByName(parts, allowMissingColumns=True).withColumn("_q", F.lit(0))
     asked = points.select(*by, F.col(ts).alias("_at"), F.struct(*points.columns).alias("_p"), F.lit(1).alias("_q"))
     line = moves.unionByName(asked, allowMissingColumns=True).na.fill(0, columns)
-    state = skew.running_totals(line, by, "_at", ["_q"], columns, max_rows).filter("_q = 1")
+    if bound > limit:
+        line = line.checkpoint()
+    state = skew.running_totals(line, by, "_at", ["_q"], columns, limit, bound).filter("_q = 1")
 
     def weighted(weights: dict[str, float], cap: float) -> Column:
         total = sum((F.col(n) * weights[n.upper()] for n in names), F.lit(0.0))
@@ -96,9 +105,18 @@ def failure_episodes(silver: DataFrame, by: Sequence[str] = ("plant_id", "invert
     A run ends at the first healthy reading after it, or at its last reading when
     none follows. Only the first and last reading of a run go to the second pass.
     """
-    by = list(by)
+    return _episodes(silver, list(by), ts, max_rows)[0]
+
+
+def _episodes(silver: DataFrame, by: list[str], ts: str, max_rows: int | None) -> tuple[DataFrame, int | None]:
+    """The episodes, and a bound of their number per key where one is known.
+
+    There are never more run ends than readings, so keys that fit once need no
+    second measurement. Otherwise the run ends are stored before they are measured.
+    """
+    limit = skew.MAX_GROUP_ROWS if max_rows is None else max_rows
     rows = silver.select(*by, ts, (F.coalesce("active_failures", F.lit(0)) > 0).alias("_bad"))
-    fr = skew.ordered_frames(rows, by, ts, before=1, after=1, max_rows=max_rows)
+    fr = skew.ordered_frames(rows, by, ts, before=1, after=1, max_rows=limit)
     w = fr.window
     marked = fr.finish(
         fr.df.withColumns(
@@ -109,9 +127,13 @@ def failure_episodes(silver: DataFrame, by: Sequence[str] = ("plant_id", "invert
             }
         )
     ).filter("_first or _last")
-    ends = skew.ordered_frames(marked, by, ts, after=1, max_rows=max_rows)
+    bound = None if fr.chunked else limit
+    if fr.chunked:
+        ensure_checkpoint_dir(silver.sparkSession)
+        marked = marked.checkpoint()
+    ends = skew.ordered_frames(marked, by, ts, after=1, max_rows=limit, at_most=bound)
     stop = F.when(F.col("_last"), F.col("_stop")).otherwise(F.lead("_stop").over(ends.window))
-    return ends.finish(ends.df.withColumn("end_ts", stop)).filter("_first").select(*by, F.col(ts).alias("start_ts"), "end_ts")
+    return ends.finish(ends.df.withColumn("end_ts", stop)).filter("_first").select(*by, F.col(ts).alias("start_ts"), "end_ts"), bound
 
 
 def failure_daily_summary(
@@ -127,8 +149,8 @@ def failure_daily_summary(
     minus the measured one over the failing readings, at least zero each.
     """
     key = ["plant_id", "inverter_id"]
-    episodes = failure_episodes(silver, key, max_rows=max_rows)
-    fr = skew.ordered_frames(episodes, key, "start_ts", before=1, max_rows=max_rows)
+    episodes, bound = _episodes(silver, key, "ts", max_rows)
+    fr = skew.ordered_frames(episodes, key, "start_ts", before=1, max_rows=max_rows, at_most=bound)
     micros = F.unix_micros("start_ts")
     spaced = fr.finish(fr.df.withColumn("_between", (micros - F.lag(micros).over(fr.window)) / 3_600_000_000))
     minutes = (F.unix_micros("end_ts") - micros) / 60_000_000

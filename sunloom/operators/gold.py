@@ -55,7 +55,9 @@ def inverter_hourly(silver: DataFrame, samples_per_hour: float = 60.0, extended:
     The failure types of an hour are the distinct non-empty lists seen in it.
     """
     running = F.col("state") == 1
-    kinds = F.when(F.size("failure_types") > 0, F.col("failure_types"))
+    # DISTINCT lets Spark hash-aggregate the measures first and list the few kinds last;
+    # collect_set would turn the whole aggregation into a sort of the readings
+    kinds = F.expr("collect_list(distinct if(size(failure_types) > 0, failure_types, null))")
     cols = [
         energy("ac_power_kw", samples_per_hour).alias("energy_kwh"),
         *spread("ac_power_kw", "avg_power_kw", "min_power_kw", "max_power_kw"),
@@ -64,7 +66,7 @@ def inverter_hourly(silver: DataFrame, samples_per_hour: float = 60.0, extended:
         share(running).alias("availability_percent"),
         F.count_if(running).alias("operating_minutes"),
         F.sum(F.coalesce("active_failures", F.lit(0))).alias("failure_count"),
-        F.array_sort(F.collect_set(kinds)).alias("failure_types"),
+        F.array_sort(kinds).alias("failure_types"),
         *records(),
     ]
     if extended:

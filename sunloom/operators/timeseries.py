@@ -131,16 +131,68 @@ def lag_features(df: DataFrame, by: Sequence[str], cols: Sequence[str], lags: Se
 
 def rolling_features(
     df: DataFrame, by: Sequence[str], windows: Sequence[int], mean: Sequence[str], std: Sequence[str] = (),
-    ts: str = "ts", tie: Sequence[str] = (), max_rows: int | None = None,
+    ts: str = "ts", tie: Sequence[str] = (), max_rows: int | None = None, direct: int = 64,
 ) -> DataFrame:
-    """Mean and sample deviation over the last ``n`` rows, the current one included."""
+    """Mean and sample deviation over the last ``n`` rows, the current one included.
+
+    Spark adds up a sliding frame again for every row, so windows longer than
+    ``direct`` rows are put together from running values instead: see
+    :func:`_moments`.
+    """
     fr = skew.ordered_frames(df, by, ts, tie, before=max(windows) - 1, max_rows=max_rows)
-    out = {}
-    for n in windows:
+    out, rows = {}, fr.df
+    for n in [n for n in windows if n <= direct]:
         frame = fr.window.rowsBetween(-(n - 1), 0)
         out.update({f"{c}_rolling_mean_{n}": F.avg(c).over(frame) for c in mean})
         out.update({f"{c}_rolling_std_{n}": F.stddev_samp(c).over(frame) for c in std})
-    return fr.finish(fr.df.withColumns(out))
+    long = [n for n in windows if n > direct]
+    if long:
+        if not fr.chunked:
+            rows = rows.withColumn("_pos", F.row_number().over(fr.window))
+        for n in long:
+            rows = _moments(rows, fr, n, list(dict.fromkeys([*mean, *std])))
+            out.update({f"{c}_rolling_mean_{n}": F.col(f"_{c}_{n}.m") for c in mean})
+            spread = {c: F.sqrt(F.col(f"_{c}_{n}.s") / (F.col(f"_{c}_{n}.n") - 1)) for c in std}
+            out.update({f"{c}_rolling_std_{n}": F.when(F.col(f"_{c}_{n}.n") > 1, x) for c, x in spread.items()})
+    names = [f"{c}_rolling_{k}_{n}" for n in windows for k, cs in (("mean", mean), ("std", std)) for c in cs]
+    extra = [F.col("_home")] if fr.chunked else []
+    done = rows.withColumns(out).select(*df.columns, *names, *extra)
+    return done.filter("_home").drop("_home") if fr.chunked else done
+
+
+def _moments(rows: DataFrame, fr: skew.Frames, n: int, cols: Sequence[str]) -> DataFrame:
+    """Count, mean and squared deviations of the last ``n`` rows, in ``_<column>_<n>``.
+
+    Positions are cut into blocks of ``n``. The last ``n`` rows are the end of one
+    block and the start of the next: a running value from each side, joined by the
+    rule for the moments of two sets. Every row costs the same, whatever ``n`` is.
+    """
+    block = f"_block_{n}"
+    rows = rows.withColumn(block, F.floor((F.col("_pos") - 1) / n))
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    start = Window.partitionBy(*fr.cell, block).orderBy("_pos").rowsBetween(*upto)
+    end = Window.partitionBy(*fr.cell, block).orderBy(F.desc("_pos")).rowsBetween(*upto)
+
+    def running(c: str, w) -> Column:
+        count = F.count(c).over(w)
+        return F.struct(count.alias("n"), F.avg(c).over(w).alias("m"), (F.var_pop(c).over(w) * count).alias("s"))
+
+    rows = rows.withColumns({f"_a_{c}": running(c, start) for c in cols}).withColumns({f"_b_{c}": running(c, end) for c in cols})
+    # the tail of the block before begins n - 1 rows back, except at the end of a block
+    tails = {f"_t_{c}": F.when(F.col("_pos") % n != 0, F.lag(f"_b_{c}", n - 1).over(fr.window)) for c in cols}
+    rows = rows.withColumns(tails)
+    joined = {}
+    for c in cols:
+        a, t = F.col(f"_a_{c}"), F.col(f"_t_{c}")
+        na, nt = a["n"], F.coalesce(t["n"], F.lit(0))
+        count = na + nt
+        gap = a["m"] - t["m"]
+        both = F.struct(
+            count.alias("n"), ((a["m"] * na + t["m"] * nt) / count).alias("m"), (a["s"] + t["s"] + gap * gap * na * nt / count).alias("s")
+        )
+        joined[f"_{c}_{n}"] = F.when(nt == 0, a).when(na == 0, t).otherwise(both)
+    used = [block, *[f"_{x}_{c}" for c in cols for x in "abt"]]
+    return rows.withColumns(joined).drop(*used)
 
 
 def fill_gaps(df: DataFrame, by: Sequence[str], cols: Sequence[str], ts: str = "ts", tie: Sequence[str] = (), max_rows: int | None = None) -> DataFrame:

@@ -28,6 +28,13 @@ def largest_group(df: DataFrame, by: Sequence[Column | str]) -> int:
     return int(top["n"] or 0)
 
 
+def fits(df: DataFrame, by: Sequence[Column | str], max_rows: int, at_most: int | None) -> bool:
+    """Whether every group fits a task; measured unless a known bound already says so."""
+    if at_most is not None and at_most <= max_rows:
+        return True
+    return largest_group(df, by) <= max_rows
+
+
 def time_bucket(ts: Column | str, width_us: int) -> Column:
     """Number of the time bucket of the given width that holds ``ts``."""
     ts = F.col(ts) if isinstance(ts, str) else ts
@@ -49,15 +56,17 @@ def with_ordinal(
     tie: Sequence[str] = (),
     name: str = "ordinal",
     max_rows: int | None = None,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Add the 1-based position of each row within its key, by time then ``tie``.
 
     A key too large for one task is numbered inside time buckets, and each bucket
     starts at the count of rows before it; those counts are one row per bucket.
+    ``at_most`` is a bound of the group size the caller knows, here and below.
     """
     max_rows = MAX_GROUP_ROWS if max_rows is None else max_rows
     order = [F.col(ts), *[F.col(c) for c in tie]]
-    if largest_group(df, by) <= max_rows:
+    if fits(df, by, max_rows, at_most):
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
     width = fitting_width(df, by, ts, max_rows)
     bucketed = df.withColumn("_b", time_bucket(ts, width))
@@ -84,6 +93,7 @@ def running_totals(
     tie: Sequence[str],
     cols: Sequence[str],
     max_rows: int | None = None,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Replace each of ``cols`` by its running sum within the key, in time order.
 
@@ -93,7 +103,7 @@ def running_totals(
     max_rows = MAX_GROUP_ROWS if max_rows is None else max_rows
     order = [F.col(ts), *[F.col(c) for c in tie]]
     upto = (Window.unboundedPreceding, Window.currentRow)
-    if largest_group(df, by) <= max_rows:
+    if fits(df, by, max_rows, at_most):
         w = Window.partitionBy(*by).orderBy(*order).rowsBetween(*upto)
         return df.withColumns({c: F.sum(c).over(w) for c in cols})
     width = fitting_width(df, by, ts, max_rows)
@@ -116,6 +126,7 @@ class Frames:
 
     df: DataFrame
     window: WindowSpec
+    cell: list[str]
     chunked: bool
 
     def finish(self, df: DataFrame) -> DataFrame:
@@ -133,6 +144,7 @@ def ordered_frames(
     before: int = 0,
     after: int = 0,
     max_rows: int | None = None,
+    at_most: int | None = None,
 ) -> Frames:
     """Prepare a window that looks at most ``before`` rows back and ``after`` ahead.
 
@@ -141,12 +153,13 @@ def ordered_frames(
     no task sees more than ``max_rows + before + after`` rows of a key.
     """
     max_rows = MAX_GROUP_ROWS if max_rows is None else max_rows
-    if largest_group(df, by) <= max_rows:
+    if fits(df, by, max_rows, at_most):
         order = [F.col(ts), *[F.col(c) for c in tie]]
-        return Frames(df, Window.partitionBy(*by).orderBy(*order), False)
+        return Frames(df, Window.partitionBy(*by).orderBy(*order), list(by), False)
     size = max(max_rows, before, after, 1)
     numbered = with_ordinal(df, by, ts, tie, "_pos", max_rows)
-    return Frames(*chunk_by_position(numbered, by, "_pos", size, before, after), True)
+    spread, window = chunk_by_position(numbered, by, "_pos", size, before, after)
+    return Frames(spread, window, [*by, "_chunk"], True)
 
 
 def chunk_by_position(

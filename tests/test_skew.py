@@ -63,10 +63,12 @@ def test_lags_and_gaps(series, size):
     np.testing.assert_allclose(gaps, (s.groupby("plant_id")["us"].diff() / 1e6).sort_index())
 
 
+@pytest.mark.parametrize("direct", [64, 6, 1])
 @pytest.mark.parametrize("size", SIZES)
-def test_rolling(series, size):
+def test_rolling(series, size, direct):
     df, pdf = series
-    got = timeseries.rolling_features(df, KEY, [5, 40], ["v"], ["v"], tie=["id"], max_rows=size).toPandas().set_index("id").sort_index()
+    got = timeseries.rolling_features(df, KEY, [5, 40], ["v"], ["v"], tie=["id"], max_rows=size, direct=direct).toPandas().set_index("id").sort_index()
+    assert list(got.columns) == ["plant_id", "ts", "v", "active_failures"] + [f"v_rolling_{k}_{n}" for n in (5, 40) for k in ("mean", "std")]
     s = pdf.sort_values(["us", "id"]).groupby("plant_id")["v"]
     for n in (5, 40):
         roll = s.rolling(n, min_periods=1)
