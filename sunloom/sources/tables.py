@@ -93,7 +93,8 @@ def upsert(df: DataFrame, path: str, keys: Sequence[str], recency: Sequence[str]
     if ts:
         keys = [*keys, "event_date"]
     result = merged(existing, staged, keys, recency).checkpoint()
-    writer = result.write.mode("overwrite")
+    # bring the rows of a day together, or every task writes a file for every day
+    writer = (result.hint("rebalance", "event_date") if ts else result).write.mode("overwrite")
     if ts:
         writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy("event_date")
     writer.parquet(path)
