@@ -38,8 +38,8 @@ class Warehouse:
     def read(self, table: str) -> DataFrame:
         return self.spark.read.parquet(self.path(table))
 
-    def upsert(self, df: DataFrame, table: str, recency: list[str], ts: str) -> None:
-        tables.upsert(df, self.path(table), KEYS[table], recency, ts)
+    def upsert(self, df: DataFrame, table: str, recency: list[str], ts: str, days: list | None = None) -> None:
+        tables.upsert(df, self.path(table), KEYS[table], recency, ts, days)
 
     def insert_only(self, df: DataFrame, table: str, ts: str) -> None:
         """Add rows with new keys; rows already stored stay as they are."""
@@ -71,7 +71,7 @@ def refresh(
         if mode == "insert_only":
             house.insert_only(df, table, ts)
         else:
-            house.upsert(df, table, [], ts)
+            house.upsert(df, table, [], ts, days)
 
     silver = on_days(house.read(SILVER[kind]), days).withColumn("timestamp_hour", F.date_trunc("hour", "ts"))
     rows = silver.join(hours, [*key, "timestamp_hour"], "left_semi").drop("timestamp_hour", "event_date")

@@ -75,29 +75,32 @@ def merged(existing: DataFrame | None, new: DataFrame, keys: Sequence[str], rece
     return keep_latest(both, keys, ["_gen", *recency]).drop("_gen")
 
 
-def upsert(df: DataFrame, path: str, keys: Sequence[str], recency: Sequence[str], ts: str | None) -> None:
+def upsert(df: DataFrame, path: str, keys: Sequence[str], recency: Sequence[str], ts: str | None, days: Sequence | None = None) -> None:
     """Insert or replace rows by key.
 
-    Only the date partitions the batch touches are read and rewritten. The merged
-    rows go to checkpoint storage first, because a table cannot be read while it
-    is being replaced. ``ts`` of ``None`` means an unpartitioned table.
+    Only the date partitions the batch touches are read and rewritten; ``days``
+    names them where the caller knows. Spark writes such partitions aside and swaps
+    them in when the job is done, so the table may be read meanwhile. There is one
+    writer per table. ``ts`` of ``None`` means an unpartitioned table.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    staged = (with_event_date(df, ts) if ts else df).checkpoint()
     existing = spark.read.parquet(path) if table_exists(spark, path) else None
-    if ts and existing is not None:
-        # at most one value per calendar day of the batch; as literals they prune the scan
-        days = [r[0] for r in staged.select("event_date").distinct().collect()]
-        existing = existing.filter(F.col("event_date").isin(days))
-    if ts:
-        keys = [*keys, "event_date"]
-    result = merged(existing, staged, keys, recency).checkpoint()
+    if ts is None:
+        # the whole folder is replaced, so the result has to be stored elsewhere first
+        ensure_checkpoint_dir(spark)
+        merged(existing, df, keys, recency).checkpoint().write.mode("overwrite").parquet(path)
+        return
+    dated = with_event_date(df, ts)
+    if existing is not None:
+        if days is None:
+            # at most one value per calendar day of the batch
+            days = [r[0] for r in dated.select("event_date").distinct().collect()]
+        # literals prune the scan to the touched partitions
+        existing = existing.filter(F.col("event_date").isin(list(days)))
+    result = merged(existing, dated, [*keys, "event_date"], recency)
     # bring the rows of a day together, or every task writes a file for every day
-    writer = (result.hint("rebalance", "event_date") if ts else result).write.mode("overwrite")
-    if ts:
-        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy("event_date")
-    writer.parquet(path)
+    writer = result.hint("rebalance", "event_date").write.mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(path)
 
 
 def absent_rows(new: DataFrame, existing: DataFrame | None, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

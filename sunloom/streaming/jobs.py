@@ -67,11 +67,16 @@ def archive(stream: DataFrame, path: str, checkpoint: str, seconds: float | None
 
 
 def store_silver(house: Warehouse, kind: str, batch: DataFrame, **options) -> None:
-    """Clean one batch, upsert it, note the count and refresh the gold rows it touches."""
+    """Clean one batch, upsert it, note the count and refresh the gold rows it touches.
+
+    Of several messages for one key the last to arrive is kept, by offset where the
+    source has one.
+    """
     if batch.isEmpty():
         return
     rows = clean(batch.drop("batch_id", "event_date"), kind)
-    house.upsert(rows, SILVER[kind], ["ingested_at", "raw_json"], "ts")
+    arrival = [c for c in ("ingested_at", "offset", "raw_json") if c in rows.columns]
+    house.upsert(rows, SILVER[kind], arrival, "ts")
     counted = tables.trigger_counts(batch.withColumn("message_type", F.lit(kind)))
     tables.append(counted.withColumn("ts", F.current_timestamp()), house.path("inference_trigger"))
     refresh(house, kind, rows, **options)

@@ -69,7 +69,7 @@ def _(r):
 def _(r):
     house = Warehouse(r.spark, scratch(r))
     e = events_stream(r).withColumn("ts", F.col("ts").cast("timestamp"))
-    stream = e.select(F.expr(MESSAGE).alias("value"))
+    stream = e.select(F.expr(MESSAGE).alias("value"), F.col("event_id").alias("offset"))
     jobs.ingest(house, stream, f"{house.root}/ck-in", uuid_plants=False).awaitTermination()
     jobs.bronze_to_gold(house, "inverter", f"{house.root}/ck-inverter").awaitTermination()
     hours = house.read("inverter_hourly").groupBy("plant_id", F.col("timestamp_hour").alias("at")).agg(
