@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sunloom.functions.quality import availability_tier
 from sunloom.functions.temporal import floor_minutes, percent_change
 from sunloom.operators.timeseries import latest_per_key
+from sunloom.plans.skew import lookup
 
 
 def forecast_15min(forecasts: DataFrame, ts: str = "ts", value: str = "predicted_ac_power_kw") -> DataFrame:
@@ -125,7 +126,7 @@ def threshold_alerts(silver: DataFrame, thresholds: DataFrame) -> DataFrame:
     wide = mine.groupBy("plant_id").agg(
         *[F.max(F.when(F.col("threshold_name") == n, F.struct("threshold_value", "severity"))).alias(n) for n in names]
     )
-    j = silver.join(wide, "plant_id")
+    j = silver.join(lookup(wide), "plant_id")
 
     def hit(name: str, value: Column, test) -> Column:
         limit = F.col(name)["threshold_value"]

@@ -75,7 +75,7 @@ def scaler_stats(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataF
 
 def standardize(df: DataFrame, stats: DataFrame, by: Sequence[str], cols: Sequence[str], fill: float | None = 0.0) -> DataFrame:
     """Columns as ``(x - mean) / std`` of their key; what is not finite becomes ``fill``."""
-    joined = df.join(stats, list(by), "left")
+    joined = df.join(skew.lookup(stats), list(by), "left")
     scaled = {c: F.try_divide(F.col(c) - F.col(f"{c}_mean"), F.col(f"{c}_std")) for c in cols}
     if fill is not None:
         scaled = {c: F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x).otherwise(fill) for c, x in scaled.items()}
@@ -89,7 +89,7 @@ def mean_square(cols: Sequence[str]) -> Column:
 
 def score_threshold(df: DataFrame, thresholds: DataFrame, by: Sequence[str], error: str = "reconstruction_error") -> DataFrame:
     """Mark rows whose error exceeds the threshold of their key."""
-    joined = df.join(thresholds, list(by), "left")
+    joined = df.join(skew.lookup(thresholds), list(by), "left")
     return joined.withColumn("is_anomaly", F.coalesce(F.col(error) > F.col("threshold"), F.lit(False)).cast("int"))
 
 

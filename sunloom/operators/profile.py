@@ -107,7 +107,7 @@ def iqr_bounds(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), k: fl
 def with_outliers(df: DataFrame, cols: Sequence[str], by: Sequence[str], bounds: DataFrame | None = None, max_rows: int | None = None) -> DataFrame:
     """Rows with ``<column>_outlier`` and ``any_outlier`` by the bounds of their key."""
     bounds = iqr_bounds(df, cols, by, max_rows=max_rows) if bounds is None else bounds
-    joined = df.join(bounds, list(by), "left")
+    joined = df.join(skew.lookup(bounds), list(by), "left")
     tests = {c: F.coalesce((F.col(c) < F.col(f"{c}_lower")) | (F.col(c) > F.col(f"{c}_upper")), F.lit(False)) for c in cols}
     marked = joined.withColumns({f"{c}_outlier": t for c, t in tests.items()})
     return marked.withColumn("any_outlier", reduce(lambda a, b: a | b, [F.col(f"{c}_outlier") for c in cols])).select(

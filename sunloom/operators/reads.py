@@ -8,6 +8,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sunloom.plans.skew import lookup
+
 
 def in_range(
     df: DataFrame, time: str, start, end, plant_id: str | None = None, inverter_id: str | None = None,
@@ -62,7 +64,7 @@ def hours_with_data(silver: DataFrame, plant_id: str, day: str, ts: str = "ts")
 
 def since_watermark(df: DataFrame, watermark: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFrame:
     """Rows later than the stored time of their key; keys without one give all rows."""
-    marks = watermark.select(*keys, F.col("last_processed_ts").alias("_last"))
+    marks = lookup(watermark.select(*keys, F.col("last_processed_ts").alias("_last")))
     joined = df.join(marks, list(keys), "left")
     return joined.filter(F.col("_last").isNull() | (F.col(ts) > F.col("_last"))).drop("_last")
 

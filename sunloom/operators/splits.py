@@ -11,9 +11,13 @@ from sunloom.plans import skew
 
 
 def numbered(df: DataFrame, by: Sequence[str], ts: str, tie: Sequence[str], max_rows: int | None) -> DataFrame:
-    """Rows with their position ``_i`` and the size ``_n`` of their key."""
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    return skew.with_ordinal(df, by, ts, tie, "_i", max_rows).join(sizes, list(by))
+    """Rows with their position ``_i`` and the size ``_n`` of their key.
+
+    One count per key serves as the size and as the measure of the largest key.
+    """
+    sizes = skew.lookup(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")))
+    largest = int(sizes.agg(F.max("_n")).first()[0] or 0)
+    return skew.with_ordinal(df, by, ts, tie, "_i", max_rows, at_most=largest).join(sizes, list(by))
 
 
 def chronological_split(
@@ -33,7 +37,7 @@ def normal_only_split(
     anomalies test. A key without normal rows is left out."""
     normal = numbered(df.filter(F.col(label) == 0), by, ts, tie, max_rows)
     part = F.when(F.col("_i") <= F.floor(F.col("_n") * train), "train").otherwise("test")
-    known = normal.select(*by).distinct()
+    known = df.filter(F.col(label) == 0).select(*by).distinct()
     odd = df.filter(F.col(label) == 1).join(known, list(by), "left_semi").withColumn("split", F.lit("test"))
     return normal.withColumn("split", part).drop("_i", "_n").unionByName(odd)
 

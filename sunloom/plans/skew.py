@@ -18,6 +18,9 @@ from sunloom.session import ensure_checkpoint_dir
 #: rows one task may hold for one key before the key is cut into pieces
 MAX_GROUP_ROWS = 5_000_000
 
+#: values (rows times columns) of a table that may be broadcast, about 32 MB
+BROADCAST_CELLS = 4_000_000
+
 #: widths tried, widest first, when a key is cut along time (microseconds)
 BUCKET_WIDTHS = (86_400_000_000, 3_600_000_000, 60_000_000, 1_000_000, 1_000, 1)
 
@@ -28,6 +31,17 @@ def largest_group(df: DataFrame, by: Sequence[Column | str]) -> int:
     return int(top["n"] or 0)
 
 
+def lookup(small: DataFrame) -> DataFrame:
+    """A per-key table, computed once, counted, and broadcast when it is small.
+
+    Spark cannot tell that an aggregate over a huge table is small and would shuffle
+    the huge side of a join with it. A table above the bound is joined by shuffle.
+    """
+    ensure_checkpoint_dir(small.sparkSession)
+    stored = small.checkpoint()
+    return F.broadcast(stored) if stored.count() * len(stored.columns) <= BROADCAST_CELLS else stored
+
+
 def fits(df: DataFrame, by: Sequence[Column | str], max_rows: int, at_most: int | None) -> bool:
     """Whether every group fits a task; measured unless a known bound already says so."""
     if at_most is not None and at_most <= max_rows:
@@ -228,22 +242,23 @@ def refined_quantiles(
         .checkpoint()
     )
     while not state.filter("_lo < _hi").isEmpty():
-        open_ranks = state.filter("_lo < _hi").select(*key, "_r", "_lo", "_hi", "_base").distinct()
+        # ranks that share a range are counted together
+        ranges = lookup(state.filter("_lo < _hi").select(*key, "_lo", "_hi", "_base").distinct())
         bin_of = F.least(
             F.lit(bins - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins)
         ).cast("int")
+        span = [*key, "_lo", "_hi", "_base"]
         counted = (
-            long.join(open_ranks, key)
+            long.join(ranges, key)
             .filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-            .groupBy(*key, "_r", "_base", bin_of.alias("_bin"))
+            .groupBy(*span, bin_of.alias("_bin"))
             .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo2"), F.max("_v").alias("_hi2"))
         )
-        earlier = Window.partitionBy(*key, "_r").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-        narrowed = (
-            counted.withColumn("_base2", F.col("_base") + F.coalesce(F.sum("_c").over(earlier), F.lit(0)))
-            .filter((F.col("_base2") <= F.col("_r")) & (F.col("_r") < F.col("_base2") + F.col("_c")))
-            .select(*key, "_r", "_lo2", "_hi2", "_base2")
-        )
+        earlier = Window.partitionBy(*span).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+        placed = counted.withColumn("_base2", F.col("_base") + F.coalesce(F.sum("_c").over(earlier), F.lit(0)))
+        inside = (F.col("_base2") <= F.col("_r")) & (F.col("_r") < F.col("_base2") + F.col("_c"))
+        ranks = state.select(*span, "_r").distinct()
+        narrowed = placed.join(ranks, span).filter(inside).select(*key, "_r", "_lo2", "_hi2", "_base2")
         state = (
             state.join(narrowed, [*key, "_r"], "left")
             .select(
