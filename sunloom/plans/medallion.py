@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sunloom.operators import gold
 from sunloom.plans.skew import largest_group
-from sunloom.schemas import KEYS
+from sunloom.schemas import KEYS, computing, storage_cast
 from sunloom.session import ensure_checkpoint_dir
 from sunloom.sources import tables
 
@@ -24,10 +24,16 @@ TO_DAILY = {"inverter": gold.inverter_daily, "meteo": gold.meteo_daily, "poi_met
 
 @dataclass(frozen=True)
 class Warehouse:
-    """Folder of the stored tables, all partitioned by ``event_date``."""
+    """Folder of the stored tables, all partitioned by ``event_date``.
+
+    With ``stored_precision`` the measures of silver and gold tables are rounded to
+    fixed decimals when they are written, and each level computes from what the
+    level below stored.
+    """
 
     spark: SparkSession
     root: str
+    stored_precision: bool = False
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -36,14 +42,17 @@ class Warehouse:
         return tables.table_exists(self.spark, self.path(table))
 
     def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(table))
+        return computing(self.spark.read.parquet(self.path(table)))
+
+    def stored(self, df: DataFrame, table: str) -> DataFrame:
+        return storage_cast(df, table) if self.stored_precision else df
 
     def upsert(self, df: DataFrame, table: str, recency: list[str], ts: str, days: list | None = None) -> None:
-        tables.upsert(df, self.path(table), KEYS[table], recency, ts, days)
+        tables.upsert(self.stored(df, table), self.path(table), KEYS[table], recency, ts, days)
 
     def insert_only(self, df: DataFrame, table: str, ts: str) -> None:
         """Add rows with new keys; rows already stored stay as they are."""
-        tables.insert_ignore(df, self.path(table), KEYS[table], KEYS[table], ts)
+        tables.insert_ignore(self.stored(df, table), self.path(table), KEYS[table], KEYS[table], ts)
 
 
 def on_days(df: DataFrame, days: list) -> DataFrame:

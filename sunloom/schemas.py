@@ -80,32 +80,49 @@ KEYS = {
     "dim_thresholds": ["plant_id", "threshold_category", "threshold_name"],
 }
 
-# The stored precision of the tables users may already have.
-STORED_TYPES = {
-    "silver_inverter": {
-        "inverter_temp_c": "decimal(6,2)", "ac_power_kw": "decimal(10,3)", "ac_freq_hz": "decimal(10,2)",
-        "dc_power_kw": "decimal(10,3)", "instant_efficiency": "decimal(5,4)",
-    },
-    "inverter_hourly": {
-        "energy_kwh": "decimal(12,3)", "avg_power_kw": "decimal(10,3)", "max_power_kw": "decimal(10,3)",
-        "min_power_kw": "decimal(10,3)", "availability_percent": "decimal(5,2)",
-    },
-    "inverter_daily": {
-        "total_energy_kwh": "decimal(12,3)", "peak_power_kw": "decimal(10,3)", "avg_power_kw": "decimal(10,3)",
-        "min_power_kw": "decimal(10,3)", "temp_avg_c": "decimal(6,2)", "temp_min_c": "decimal(6,2)",
-        "temp_max_c": "decimal(6,2)", "freq_avg_hz": "decimal(10,2)", "freq_min_hz": "decimal(10,2)",
-        "freq_max_hz": "decimal(10,2)", "availability_percent": "decimal(5,2)", "operating_hours": "decimal(5,2)",
-    },
-    "failure_daily_summary": {
-        "total_downtime_minutes": "decimal(10,2)", "estimated_energy_loss_kwh": "decimal(12,3)",
-        "mean_time_between_failures_hours": "decimal(10,2)", "mean_time_to_repair_minutes": "decimal(10,2)",
-    },
-    "anomaly_predictions": {"reconstruction_error": "decimal(12,6)", "threshold": "decimal(12,6)"},
-    "forecast_predictions": {"predicted_ac_power_kw": "decimal(10,3)"},
+# Stored precision by column name.
+STORED_PRECISION = {
+    "decimal(10,3)": "ac_power_kw dc_power_kw avg_power_kw max_power_kw min_power_kw peak_power_kw predicted_ac_power_kw irradiation_wh_m2",
+    "decimal(10,2)": "inverter_temp_c ac_freq_hz freq_avg_hz freq_min_hz freq_max_hz poa_irradiance_wm2 avg_irradiance_wm2 peak_irradiance_wm2 "
+    "total_downtime_minutes mean_time_between_failures_hours mean_time_to_repair_minutes",
+    "decimal(8,2)": "dc_voltage_v dc_current_a avg_dc_voltage_v avg_dc_current_a grid_voltage_l1_v grid_voltage_l2_v grid_voltage_l3_v "
+    "wind_speed_ms wind_speed_avg_ms wind_speed_max_ms voltage_l1_avg_v voltage_l2_avg_v voltage_l3_avg_v "
+    "avg_failures avg_healthy_components avg_failed_components",
+    "decimal(6,2)": "amb_temp_c module_temp_c wind_dir_deg wind_dir_avg_deg predominant_wind_dir_deg temp_avg_c temp_min_c temp_max_c "
+    "module_temp_avg_c module_temp_min_c module_temp_max_c avg_ambient_temp_c avg_module_temp_c",
+    "decimal(5,2)": "humidity_percent humidity_avg_percent humidity_min_percent humidity_max_percent availability_percent operating_hours "
+    "connection_issue_hours voltage_imbalance_pct sunshine_hours plant_availability_percent inverter_availability_avg data_completeness_percent",
+    "decimal(6,3)": "grid_frequency_hz frequency_avg_hz frequency_min_hz frequency_max_hz",
+    "decimal(5,3)": "power_factor power_factor_avg power_factor_min power_factor_max stress_level stress_level_avg stress_level_max "
+    "stress_level_min system_stress_avg",
+    "decimal(5,4)": "instant_efficiency avg_efficiency min_efficiency self_consumption_ratio performance_ratio instantaneous_pr capacity_factor temp_loss_factor",
+    "decimal(12,2)": "export_active_power_kw import_active_power_kw reactive_power_kvar avg_export_kw max_export_kw avg_import_kw max_import_kw "
+    "peak_export_kw peak_import_kw avg_reactive_kvar total_surface_m2",
+    "decimal(12,3)": "total_energy_kwh dc_energy_kwh estimated_energy_loss_kwh total_power_kw import_kw total_capacity_kwp",
+    "decimal(12,4)": "export_energy_kwh import_energy_kwh reactive_kvarh threshold_value",
+    "decimal(14,3)": "total_export_kwh total_import_kwh total_reactive_kvarh",
+    "decimal(10,4)": "energy_kwh total_irradiation_kwh_m2",
+    "decimal(8,4)": "specific_yield_kwh_kwp",
+    "decimal(10,6)": "latitude longitude",
+    "decimal(12,6)": "reconstruction_error threshold",
 }
+PLANT_ENERGY = "total_generation_kwh total_consumption_kwh net_energy_kwh self_consumption_kwh grid_export_kwh grid_import_kwh"
+TABLE_PRECISION = {"plant_hourly_summary": {"decimal(12,4)": PLANT_ENERGY}, "plant_daily_summary": {"decimal(14,3)": PLANT_ENERGY}}
+
+
+def stored_types(table: str) -> dict[str, str]:
+    """Stored type of every measure a table may have."""
+    groups = [*STORED_PRECISION.items(), *TABLE_PRECISION.get(table, {}).items()]
+    return {c: t for t, names in groups for c in names.split()}
 
 
 def storage_cast(df: DataFrame, table: str) -> DataFrame:
     """Round measures to the stored precision; a value that does not fit becomes NULL."""
-    casts = {c: F.col(c).try_cast(t) for c, t in STORED_TYPES.get(table, {}).items() if c in df.columns}
+    casts = {c: F.col(c).try_cast(t) for c, t in stored_types(table).items() if c in df.columns}
+    return df.withColumns(casts) if casts else df
+
+
+def computing(df: DataFrame) -> DataFrame:
+    """Stored decimals as doubles, the type all measures are computed in."""
+    casts = {c: F.col(c).cast("double") for c, t in df.dtypes if t.startswith("decimal")}
     return df.withColumns(casts) if casts else df

@@ -120,16 +120,16 @@ def dim_asset(configs: DataFrame) -> DataFrame:
 def dim_thresholds(configs: DataFrame, notes: DataFrame | None = None) -> DataFrame:
     """One row per threshold; one without a note has severity ``info``."""
     if notes is None:
-        notes = configs.sparkSession.createDataFrame(
+        # a fixed table of a dozen rows, so broadcasting it is bounded
+        notes = F.broadcast(configs.sparkSession.createDataFrame(
             THRESHOLD_NOTES,
             "threshold_category string, threshold_name string, threshold_unit string, severity string, description string",
-        )
+        ))
     rows = (
         configs.select(F.col("plant.plant_id").alias("plant_id"), F.explode("thresholds").alias("threshold_category", "items"))
         .select("plant_id", "threshold_category", F.explode("items").alias("threshold_name", "threshold_value"))
     )
-    # the notes are a fixed table of a dozen rows, so broadcasting them is bounded
-    return rows.join(F.broadcast(notes), ["threshold_category", "threshold_name"], "left").select(
+    return rows.join(notes, ["threshold_category", "threshold_name"], "left").select(
         "plant_id", "threshold_category", "threshold_name", "threshold_value", "threshold_unit",
         F.coalesce("severity", F.lit("info")).alias("severity"), "description",
     )

@@ -153,6 +153,12 @@ def trigger_counts(batch: DataFrame, kind: str = "message_type", notify: Sequenc
     )
 
 
+def publish(df: DataFrame, servers: str, topic: str = "inference-trigger") -> None:
+    """Send rows as JSON to a topic; needs Spark's Kafka connector on the cluster."""
+    body = F.to_json(F.struct(*df.columns)).alias("value")
+    df.select(body).write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
+
+
 def batch_outcome(batch: DataFrame, error: str = "error_message", kind: str = "message_type") -> DataFrame:
     """Processed and failed rows per kind."""
     return batch.groupBy(kind).agg(

@@ -66,19 +66,22 @@ def archive(stream: DataFrame, path: str, checkpoint: str, seconds: float | None
     return started(lines.writeStream.format("text").partitionBy("topic").option("path", path), checkpoint, seconds)
 
 
-def store_silver(house: Warehouse, kind: str, batch: DataFrame, **options) -> None:
+def store_silver(house: Warehouse, kind: str, batch: DataFrame, notify: Callable[[DataFrame], None] | None = None, **options) -> None:
     """Clean one batch, upsert it, note the count and refresh the gold rows it touches.
 
     Of several messages for one key the last to arrive is kept, by offset where the
-    source has one.
+    source has one. The count goes to the trigger table, and to ``notify`` if given,
+    such as a function that calls :func:`sunloom.sources.tables.publish`.
     """
     if batch.isEmpty():
         return
     rows = clean(batch.drop("batch_id", "event_date"), kind)
     arrival = [c for c in ("ingested_at", "offset", "raw_json") if c in rows.columns]
     house.upsert(rows, SILVER[kind], arrival, "ts")
-    counted = tables.trigger_counts(batch.withColumn("message_type", F.lit(kind)))
-    tables.append(counted.withColumn("ts", F.current_timestamp()), house.path("inference_trigger"))
+    counted = tables.trigger_counts(batch.withColumn("message_type", F.lit(kind))).withColumn("ts", F.current_timestamp())
+    tables.append(counted, house.path("inference_trigger"))
+    if notify:
+        notify(counted)
     refresh(house, kind, rows, **options)
 
 

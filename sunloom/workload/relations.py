@@ -311,6 +311,8 @@ class Relations:
     """Frames over one data folder, built when first asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        # times are UTC instants in every table
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark = spark
         self.sf_dir = sf_dir
 

@@ -5,8 +5,10 @@ import json
 from conftest import rows_of
 from pyspark.sql import functions as F
 
+from sunloom.plans.medallion import Warehouse
 from sunloom.schemas import storage_cast
 from sunloom.sources import delimited, messages, plant_config, tables
+from sunloom.streaming import jobs
 
 ROWS = "k string, ts timestamp, v int, seq int"
 
@@ -56,6 +58,35 @@ def test_storage_cast(spark):
     df = spark.sql("select 12.34567D as instant_efficiency, 2.3456D as ac_power_kw")
     row = storage_cast(df, "silver_inverter").first()
     assert row["instant_efficiency"] is None and str(row["ac_power_kw"]) == "2.346"
+    energy = spark.sql("select 1.23456D as net_energy_kwh")
+    assert str(storage_cast(energy, "plant_hourly_summary").first()[0]) == "1.2346"
+    assert str(storage_cast(energy, "plant_daily_summary").first()[0]) == "1.235"
+
+
+def test_levels_compute_from_stored_precision(spark, tmp_path):
+    house = Warehouse(spark, str(tmp_path / "house"), stored_precision=True)
+    rows = spark.range(6).selectExpr(
+        "'P' as plant_id", "timestamp'2024-01-01' + make_interval(0,0,0,0,cast(id as int)) as ts", "20.004D as amb_temp_c", "2D as module_temp_c", "3D as wind_speed_ms",
+        "4D as wind_dir_deg", "5D as humidity_percent", "1.234D as poa_irradiance_wm2", "timestamp'2024-01-01' as ingested_at", "cast(id as string) as raw_json",
+    )
+    sent = []
+    jobs.store_silver(house, "meteo", rows, notify=lambda df: sent.extend(df.collect()))
+    assert [(r["event"], r["data_type"], r["count"]) for r in sent] == [("silver_batch_processed", "meteo", 6)]
+    assert dict(spark.read.parquet(house.path("silver_meteo")).dtypes)["amb_temp_c"] == "decimal(6,2)"
+    # 1.234 is stored as 1.23, an hour of it as 0.021 (1.23 / 60), and the day adds the stored hours
+    assert house.read("meteo_hourly").select("irradiation_wh_m2").distinct().first()[0] == 0.021
+    assert house.read("meteo_daily").first()["total_irradiation_kwh_m2"] == 0.0001
+    # a notification starts a scoring run, an empty feed does not
+    jobs.store_silver(house, "inverter", rows.limit(0))
+    calls = []
+    monitor = jobs.score_new_rows
+    try:
+        jobs.score_new_rows = lambda *a: calls.append(a)
+        for _ in range(2):
+            jobs.score_on_trigger(house, lambda df: df, str(tmp_path / "ck2"), None).awaitTermination()
+    finally:
+        jobs.score_new_rows = monitor
+    assert len(calls) == 1
 
 
 def test_export_file(spark, tmp_path):
