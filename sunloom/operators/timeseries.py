@@ -90,14 +90,19 @@ def interval_join(
     ts: str = "ts",
     start: str = "start_ts",
     end: str = "end_ts",
-    width_seconds: int = 3600,
+    width_seconds: int | None = None,
 ) -> DataFrame:
     """Points with every interval that covers them, ``start <= ts < end``.
 
     Intervals are listed under each time cell they touch and meet the points of the
     cell in an equi-join, so only neighbours in time are compared. Skewed cells are
-    split by adaptive execution.
+    split by adaptive execution. The cells are as wide as the mean interval unless
+    given, so an interval is listed about twice whatever its scale.
     """
+    if width_seconds is None:
+        length = F.unix_micros(F.col(end).cast("timestamp")) - F.unix_micros(F.col(start).cast("timestamp"))
+        mean = intervals.filter(F.col(start) < F.col(end)).agg(F.avg(length)).first()[0]
+        width_seconds = max(1, math.ceil((mean or 0) / 1_000_000))
     width = width_seconds * 1_000_000
     p = points.withColumn("_c", skew.time_bucket(ts, width))
     cells = F.sequence(skew.time_bucket(start, width), skew.time_bucket(F.col(end).cast("timestamp") - F.expr("interval 1 microsecond"), width))
@@ -244,10 +249,11 @@ def _grid(df: DataFrame, by: Sequence[str], value: str, ts: str, minutes: int) -
     step = F.expr(f"interval {minutes} minutes")
     means = df.groupBy(*by, floor_minutes(ts, minutes).alias("_at")).agg(F.avg(value).alias("_v"))
     w = Window.partitionBy(*by).orderBy("_at")
-    edge = Window.partitionBy(*by)
-    spans = means.withColumns({"_lo": F.min("_at").over(edge), "_hi": F.max("_at").over(edge)})
-    bare = F.max(F.col("_v").isNotNull()).over(edge)
-    kept = spans.withColumn("_any", bare).filter("_v is not null or (not _any and _at = _lo)")
+    # the whole key, in the same order, so that one sort serves all windows
+    edge = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    known = F.max(F.col("_v").isNotNull()).over(edge)
+    spans = means.withColumns({"_lo": F.min("_at").over(edge), "_hi": F.max("_at").over(edge), "_any": known})
+    kept = spans.filter("_v is not null or (not _any and _at = _lo)")
     linked = kept.withColumns({"_next": F.lead("_at").over(w), "_nv": F.lead("_v").over(w), "_prev": F.lag("_at").over(w)})
     first = F.when(F.col("_prev").isNull(), F.col("_lo")).otherwise(F.col("_at"))
     last = F.coalesce(F.col("_next") - step, F.col("_hi"))

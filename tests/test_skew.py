@@ -31,7 +31,7 @@ def series(spark):
     return df.checkpoint(), pdf
 
 
-SIZES = [10_000, 50, 7]
+SIZES = [10_000, 9]
 
 
 @pytest.mark.parametrize("size", SIZES)
@@ -63,7 +63,7 @@ def test_lags_and_gaps(series, size):
     np.testing.assert_allclose(gaps, (s.groupby("plant_id")["us"].diff() / 1e6).sort_index())
 
 
-@pytest.mark.parametrize("direct", [64, 6, 1])
+@pytest.mark.parametrize("direct", [64, 3])
 @pytest.mark.parametrize("size", SIZES)
 def test_rolling(series, size, direct):
     df, pdf = series
