@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sunloom.llm.words import batches, chain, hash_strings, mix, split_words, stored, word_spans
+from sunloom.llm.words import batches, chain, hash_words, mix, powers, stored
 
 LINES = 3
 MIN_WORDS = 15
@@ -31,9 +31,8 @@ _ENDS[list(b".!?")] = True
 
 def windows(texts: pa.Array, lines: int = LINES, min_words: int = MIN_WORDS, fold: int = FOLD) -> tuple[np.ndarray, ...]:
     """Row, hash, and first and past-the-last byte within its text of every window."""
-    words = split_words(texts)
-    raw, bounds, first, last = word_spans(texts)
-    hashed = hash_strings(words.distinct)[words.codes]
+    words = hash_words(texts)
+    raw, first, last, hashed = words.raw, words.first, words.last, words.hashes
     n = len(hashed)
     none = np.zeros(0, np.int64)
     if not n:
@@ -52,19 +51,14 @@ def windows(texts: pa.Array, lines: int = LINES, min_words: int = MIN_WORDS, fol
     whole[whole] = line_row[until[whole]] == line_row[whole]
     begin, end = starts[whole], stop[until[whole]]
     # prefix sums of powers give the hash of any run of words
-    step = np.uint64(0x9E3779B97F4A7C15)
-    power = np.cumprod(np.full(n + 1, step, np.uint64))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashed) * power[:n])])
-    run = (total[end] - total[begin]) * _inverse_powers(step, n)[begin]
-    base = bounds[row[begin]]
+    up, down = powers(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(hashed * up[:n], out=total[1:])
+    run = (total[end] - total[begin]) * down[begin]
+    base = words.begin[row[begin]]
     return row[begin], chain([mix(run), (end - begin).astype(np.uint64)]), first[begin] - base, last[end - 1] - base
 
 
-def _inverse_powers(step: np.uint64, n: int) -> np.ndarray:
-    inverse = np.uint64(pow(int(step), -1, 1 << 64))
-    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, inverse, np.uint64)])) * inverse
-
-
 def local_windows(docs: DataFrame, lines: int, min_words: int, together: int = 1_500_000) -> DataFrame:
     """Windows (hash, doc_id, row, first, last, later), ordered in runs of about ``together``.
 

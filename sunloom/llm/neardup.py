@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sunloom.llm.words import batches, chain, hash_strings, split_words, stored
+from sunloom.llm.words import batches, chain, hash_words, stored
 
 WIDTH = 5
 SKETCH = 64
@@ -54,9 +54,8 @@ def least_shared(k: int, similarity: float, miss: float = MISS) -> int:
 
 def shingle_sets(column: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
     """Sorted distinct shingle hashes (int64) of each text; fewer words make one shingle of all."""
-    words = split_words(pc.ascii_lower(pc.fill_null(column, "")))
-    hashed = hash_strings(words.distinct)[words.codes]
-    counts = words.counts
+    words = hash_words(pc.ascii_lower(column))
+    hashed, counts = words.hashes, words.counts
     n = max(0, len(hashed) - width + 1)
     shingles = chain([hashed[i : i + n] for i in range(width)]).view(np.int64)
     out = []

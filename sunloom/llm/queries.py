@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sunloom.llm import linededup, mixing, neardup, packing, sharding, toxicity
+from sunloom.llm import fingerprint, linededup, mixing, neardup, packing, sharding, toxicity
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -36,6 +36,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), vocabulary())
 
 
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_documents(documents(spark, sf_dir))
+
+
 def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
     "op3_packing": op3_packing,
+    "op5_fingerprint": op5_fingerprint,
     "op7_sharding": op7_sharding,
     "op8_linededup": op8_linededup,
     "op10_neardup": op10_neardup,

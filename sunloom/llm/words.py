@@ -70,21 +70,70 @@ def split_words(column: pa.Array) -> Words:
     return Words(codes, offsets.astype(np.int64), encoded.dictionary)
 
 
-def word_spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of all texts, their bounds, and the first and past-the-last byte of every word."""
+STEP = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(int(STEP), -1, 1 << 64))
+#: a random number for each byte; white space counts nothing
+_BYTES = np.random.default_rng(20_240_607).integers(0, 1 << 64, 256, np.uint64, endpoint=False) | np.uint64(1)
+_BYTES[_IS_SPACE] = 0
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """Powers of STEP and of its inverse, at least ``n`` of each; kept for the next call."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((STEP, _BACK)):
+            steps = np.full(max(n, 1 << 20), base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.cumprod(steps)
+    return _powers
+
+
+@dataclass
+class HashedWords:
+    """Hash of every word of a column; row i has ``hashes[bounds[i]:bounds[i + 1]]``.
+
+    ``first`` and ``last`` are the first and past-the-last bytes of the words in ``raw``,
+    which holds all texts, and ``begin`` is where each text begins there.
+    """
+
+    hashes: np.ndarray
+    bounds: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    raw: np.ndarray
+    begin: np.ndarray
+
+    @property
+    def counts(self) -> np.ndarray:
+        return np.diff(self.bounds)
+
+    def rows(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.bounds) - 1), self.counts)
+
+
+def hash_words(column: pa.Array) -> HashedWords:
+    """Words by their bytes: a polynomial over random numbers for bytes, mod 2**64, mixed.
+
+    Prefix sums give it for all words at once, without an object per word.
+    """
     column = plain(column)
-    bounds = np.frombuffer(column.buffers()[1], np.int64)[: len(column) + 1]
+    begin = np.frombuffer(column.buffers()[1], np.int64)[: len(column) + 1]
     data = column.buffers()[2]
-    raw = np.frombuffer(data, np.uint8)[: bounds[-1]] if data is not None else np.zeros(0, np.uint8)
+    raw = np.frombuffer(data, np.uint8)[: begin[-1]] if data is not None else np.zeros(0, np.uint8)
     solid = ~_IS_SPACE[raw]
-    before, after = solid.copy(), solid.copy()
-    before[1:], after[:-1] = solid[:-1], solid[1:]
-    inner = bounds[1:-1][bounds[1:-1] < len(raw)]
+    starts, stops = solid.copy(), solid.copy()
     if len(raw):
-        before[0] = after[-1] = False
-        before[inner] = False
-        after[inner[inner > 0] - 1] = False
-    return raw, bounds, np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
+        starts[1:] &= ~solid[:-1]
+        stops[:-1] &= ~solid[1:]
+        inner = begin[1:-1][(begin[1:-1] < len(raw)) & (begin[1:-1] > 0)]
+        starts[inner] = solid[inner]
+        stops[inner - 1] = solid[inner - 1]
+    first, last = np.flatnonzero(starts), np.flatnonzero(stops) + 1
+    up, down = powers(len(raw) + 1)
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTES[raw] * up[: len(raw)], out=total[1:])
+    run = (total[last] - total[first]) * down[first]
+    return HashedWords(mix(run ^ mix((last - first).astype(np.uint64))), np.searchsorted(first, begin), first, last, raw, begin)
 
 
 def hash_strings(strings: pa.Array, seed: int = 0) -> np.ndarray:
@@ -98,9 +147,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-STEP = np.uint64(0x9E3779B97F4A7C15)
-
-
 def chain(parts: list[np.ndarray]) -> np.ndarray:
     """One hash of several hashes in their order."""
     h = np.full(len(parts[0]), STEP, np.uint64)
@@ -178,7 +224,7 @@ def tokens(path: str, plain_specials: bool = False) -> Tokens:
     return Tokens(path, plain_specials)
 
 
-def batches(source: Iterator[pa.RecordBatch], rows: int = 2_000, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def batches(source: Iterator[pa.RecordBatch], rows: int = 2_000, size: int = 6 << 20) -> Iterator[pa.RecordBatch]:
     """Batches of bounded rows and bytes; a single row may be longer."""
     for batch in source:
         at = 0
