@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sunloom.llm import fingerprint, linededup, mixing, neardup, packing, sharding, toxicity
+from sunloom.llm import fingerprint, linededup, mixing, neardup, packing, pii, quality, sharding, tokencounts, toxicity
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -36,6 +36,15 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), vocabulary())
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars"
+    return quality.judge(documents(spark, sf_dir).select("doc_id", "text")).select(*columns)
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), key="test key")
+
+
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(documents(spark, sf_dir))
 
@@ -44,6 +53,10 @@ def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op9_tokencounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.count_tokens(documents(spark, sf_dir), vocabulary(), end=49407)
+
+
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
@@ -56,9 +69,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
     "op3_packing": op3_packing,
+    "op4_quality": op4_quality,
     "op5_fingerprint": op5_fingerprint,
+    "op6_pii": op6_pii,
     "op7_sharding": op7_sharding,
     "op8_linededup": op8_linededup,
+    "op9_tokencounts": op9_tokencounts,
     "op10_neardup": op10_neardup,
 }
 

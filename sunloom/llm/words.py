@@ -27,9 +27,19 @@ _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The rows as a reliable checkpoint in the shared folder: computed once, without lineage."""
+    """The rows as a reliable checkpoint in the shared folder: computed once, without lineage.
+
+    A checkpoint keeps what the optimizer has inferred about its columns, and from one
+    round of a loop to the next that grows exponentially; so nothing is inferred here.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
+    before = conf.get(key)
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    conf.set(key, "false")
+    try:
+        return df.checkpoint()
+    finally:
+        conf.set(key, before)
 
 
 @dataclass
