@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sunloom.llm.words import batches, chain, hash_words, stored
+from sunloom.llm.words import Steps, batches, chain, hash_words
 
 WIDTH = 5
 SKETCH = 64
@@ -115,7 +115,7 @@ def shared_values(post: DataFrame) -> DataFrame:
     return post.groupBy("value").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
 
 
-def listed(reps: DataFrame, k: int, scouts: int, link: tuple[int, int]) -> DataFrame:
+def listed(reps: DataFrame, k: int, scouts: int, link: tuple[int, int], stored: Steps) -> DataFrame:
     """Inverted lists (value, node, n) that every linked pair meets in."""
     few = reps.select("node", "n", F.explode(F.slice("sketch", 1, scouts)).alias("value"))
     need = F.when(F.col("n") < scouts, 1).otherwise(least_shared(scouts, link[0] / link[1]))
@@ -155,7 +155,7 @@ def passing(pairs: DataFrame, hashes: DataFrame, test, k: int, link: tuple[int,
     return pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, stored: Steps) -> DataFrame:
     """(node, comp) of every node with an edge (a, b); comp is the smallest node reached.
 
     Every root hooks onto its smallest neighbouring root, chains are halved until flat,
@@ -178,11 +178,11 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def linked(lists: DataFrame, hashes: DataFrame, k: int, link: tuple[int, int], rounds: int = 6) -> DataFrame:
+def linked(lists: DataFrame, hashes: DataFrame, k: int, link: tuple[int, int], stored: Steps, rounds: int = 4) -> DataFrame:
     """(node, comp) of nodes with links, from inverted lists (value, node, n).
 
-    Every list is first compared with a pivot; nodes outside the pivot's component then
-    choose pivots among themselves. Once what is left to compare is no more than a few
+    Every list is first compared with two pivots, its smallest and largest node; nodes
+    outside their components then choose pivots among themselves. Once what is left to compare is no more than a few
     times the lists (or after ``rounds``), all remaining pairs of different components
     are compared. Pairs of sizes that cannot reach the threshold are left out.
     """
@@ -199,8 +199,8 @@ def linked(lists: DataFrame, hashes: DataFrame, k: int, link: tuple[int, int], r
             placed = stored(lists.join(labels, "node", "left").select("value", "node", "n", F.coalesce("comp", "node").alias("comp")))
             rest = placed
             for pivots in done:  # what is in a former pivot's component has met this list through it
-                of = pivots.join(labels, pivots.pivot == labels.node, "left").select("value", F.coalesce("comp", "pivot").alias("main"))
-                rest = rest.join(of, "value", "left").filter("main is null or comp <> main").drop("main")
+                of = pivots.join(labels, pivots.pivot == labels.node, "left").select("value", F.coalesce("comp", "pivot").alias("comp"))
+                rest = rest.join(of, ["value", "comp"], "left_anti")
             rest = stored(rest)
             per_list = rest.groupBy("value").agg(F.count(F.lit(1)).alias("r")).join(placed.groupBy("value").agg(F.count(F.lit(1)).alias("c")), "value")
             work = per_list.agg(F.sum(F.col("r") * F.col("c"))).first()[0] or 0
@@ -211,14 +211,16 @@ def linked(lists: DataFrame, hashes: DataFrame, k: int, link: tuple[int, int], r
         if last:
             one = rest.select("value", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
         else:
-            pivots = stored(rest.groupBy("value").agg(F.min(F.struct("node", "n", "comp")).alias("p")).select("value", F.col("p.node").alias("pivot"), "p.n", "p.comp"))
+            ends = rest.groupBy("value").agg(*(f(F.struct("node", "n", "comp")).alias(f.__name__) for f in (F.min, F.max)))
+            both = ends.select("value", F.explode(F.array_distinct(F.array("min", "max"))).alias("p"))
+            pivots = stored(both.select("value", F.col("p.node").alias("pivot"), "p.n", "p.comp"))
             done = [*(done or []), pivots.select("value", "pivot")]
             one = pivots.select("value", F.col("pivot").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
         pairs = one.join(other, "value").filter((F.col("ca") != F.col("cb")) & sizes_fit)
         pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         found = stored(passing(passing(pairs, sketch, union_estimate, k, link), hashes, exact, k, link))
-        edges = found if edges is None else edges.union(found)
-        labels = components(edges)
+        edges = found if edges is None else stored(edges.union(found))
+        labels = components(edges, stored)
         if last:
             break
     return labels
@@ -233,11 +235,12 @@ def near_duplicates(docs: DataFrame, k: int = SKETCH, scouts: int = SCOUTS, link
     doc_id = component_id, so repeated rows with the smallest doc_id are all kept and a
     row without doc_id is kept where no other is linked. Other columns are not read.
     """
+    stored = Steps(docs.sparkSession)
     table = stored(sketches(docs, k).withColumn("row", F.monotonically_increasing_id()))
     filled = table.filter("n_shingles > 0")
     classes = stored(filled.groupBy("set_hash").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")))
     reps = table.join(classes.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), F.col("n_shingles").alias("n"), "sketch")
-    lists = stored(listed(reps, k, scouts, link))
+    lists = stored(listed(reps, k, scouts, link, stored))
 
     nodes = stored(lists.select("node").distinct().join(classes, "node"))
     wanted = nodes.join(filled.select(F.col("row").alias("node"), "doc_id"), "node").select("doc_id").distinct()
@@ -246,10 +249,10 @@ def near_duplicates(docs: DataFrame, k: int = SKETCH, scouts: int = SCOUTS, link
     found = full_sets(texts).dropDuplicates(["set_hash"])
     hashes = stored(found.join(nodes, "set_hash").select("node", "hashes"))
 
-    labels = linked(lists, hashes, k, link)
+    labels = linked(lists, hashes, k, link, stored)
     named = classes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("least").alias("component"))
     of_class = named.join(least, "comp").select("set_hash", "component")
     out = table.select("doc_id", "n_shingles", "set_hash").join(of_class, "set_hash", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return stored.finish(out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")))

@@ -19,7 +19,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sunloom.llm.words import batches, stored, tokens
+from sunloom.llm.words import batches, remove, stored, tokens
 from sunloom.session import ensure_checkpoint_dir
 
 ID_BYTES = 2
@@ -126,11 +126,14 @@ def separator_scan(spark: SparkSession, folder: str, files: DataFrame, end: int,
 def count_tokens(docs: DataFrame, vocabulary: str, end: int, block_tokens: int = 1 << 20) -> DataFrame:
     """doc_id, n_tokens, file, start of every row, from token files written and scanned.
 
-    The files lie in a new folder under the shared checkpoint folder. Null and empty
+    The files lie in a new folder under the shared checkpoint folder, and are removed when
+    they have been counted. Null and empty
     texts have 0 tokens; repeated rows are counted one by one.
     """
     spark = docs.sparkSession
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
     order = write_token_files(docs, folder, vocabulary, end)
     found = separator_scan(spark, folder, order.select("file").distinct(), end, block_tokens)
-    return order.join(found, ["file", "nth"]).select("doc_id", "n_tokens", "file", "start")
+    counts = stored(order.join(found, ["file", "nth"]).select("doc_id", "n_tokens", "file", "start"))
+    remove(spark, folder)
+    return counts

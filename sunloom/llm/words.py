@@ -7,6 +7,7 @@ once; what is done per word occurrence is done by Arrow and NumPy.
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -15,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from sunloom.session import ensure_checkpoint_dir
 
@@ -29,17 +30,41 @@ _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 def stored(df: DataFrame) -> DataFrame:
     """The rows as a reliable checkpoint in the shared folder: computed once, without lineage.
 
-    A checkpoint keeps what the optimizer has inferred about its columns, and from one
-    round of a loop to the next that grows exponentially; so nothing is inferred here.
+    Spark removes the files once nothing refers to them.
     """
-    conf, key = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
-    before = conf.get(key)
     ensure_checkpoint_dir(df.sparkSession)
-    conf.set(key, "false")
-    try:
-        return df.checkpoint()
-    finally:
-        conf.set(key, before)
+    return df.checkpoint()
+
+
+class Steps:
+    """Tables of the steps of one job, in a folder of their own under the checkpoint folder.
+
+    Loops keep their state here rather than in checkpoints: a checkpoint carries on the
+    optimizer's estimate of its size, which joins multiply from round to round, while a
+    table is as large as its files. The job removes the folder when it has its result.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/steps-{uuid.uuid4().hex}"
+        self.n = 0
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.folder}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def finish(self, result: DataFrame) -> DataFrame:
+        """The result, stored apart from the steps, which are removed."""
+        result = stored(result)
+        remove(self.spark, self.folder)
+        return result
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @dataclass
