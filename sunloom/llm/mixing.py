@@ -60,7 +60,7 @@ def mix(docs: DataFrame, size: str, source: str, targets: DataFrame, key: Column
     """
     t = targets.select(F.col("source").alias("_src"), "source_size", "target")
     rows = docs.join(t, F.col(source).eqNullSafe(F.col("_src")), "left").drop("_src").withColumn("_key", key)
-    rows = rows.withColumn("_whole", F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0)).cast("long"))
+    rows = rows.withColumn("_whole", F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)).cast("long"))
     n = bucket_count(docs.count())
     numbered = with_ordinals(rows, [source], F.floor(F.col("_key") / F.lit((1 << 60) // n)), [F.col("_key"), *order], "_at", [size])
     rest = F.coalesce(F.col("target"), F.lit(0.0)) - F.col("_whole") * F.col("source_size")

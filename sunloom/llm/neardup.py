@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 from sunloom.llm.words import Steps, batches, chain, hash_words
 
 WIDTH = 5
-SKETCH = 64
-SCOUTS = 20
+SKETCH = 256
+SCOUTS = 32
+#: values of the sketches that the estimate compares
+ESTIMATE = 64
 #: similarity as a fraction
 LINK = (75, 100)
 #: chance that a pair at the threshold is not found
@@ -73,19 +75,22 @@ def set_hash(values: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(values.tobytes())
 
 
-def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, set_hash, sketch of every row."""
+def sketches(docs: DataFrame, k: int, scouts: int) -> DataFrame:
+    """doc_id, n_shingles, set_hash, sketch and its first values (scouts) of every row."""
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source):
             sets = shingle_sets(batch.column("text"))
-            kept = [s[:k] for s in sets]
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in kept])]).astype(np.int32)
+            lists = []
+            for size in (k, scouts):
+                kept = [s[:size] for s in sets]
+                offsets = np.concatenate([[0], np.cumsum([len(s) for s in kept])]).astype(np.int32)
+                lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(kept))))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(kept)))],
-                names=["doc_id", "n_shingles", "set_hash", "sketch"],
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) for s in sets], pa.binary()), *lists],
+                names=["doc_id", "n_shingles", "set_hash", "sketch", "scouts"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, sketch array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, sketch array<long>, scouts array<long>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -115,19 +120,30 @@ def shared_values(post: DataFrame) -> DataFrame:
     return post.groupBy("value").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
 
 
-def listed(reps: DataFrame, k: int, scouts: int, link: tuple[int, int], stored: Steps) -> DataFrame:
-    """Inverted lists (value, node, n) that every linked pair meets in."""
-    few = reps.select("node", "n", F.explode(F.slice("sketch", 1, scouts)).alias("value"))
+def listed(table: DataFrame, classes: DataFrame, k: int, scouts: int, link: tuple[int, int], stored: Steps) -> DataFrame:
+    """Inverted lists (value, node, n) that every linked pair meets in.
+
+    The few smallest values of all nodes tell first which nodes can have a partner at
+    all; only these are listed under more.
+    """
+    few = table.select("row", F.col("n_shingles").alias("n"), "scouts").join(classes.select(F.col("node").alias("row")), "row")
+    few = few.select(F.col("row").alias("node"), "n", F.explode("scouts").alias("value"))
     need = F.when(F.col("n") < scouts, 1).otherwise(least_shared(scouts, link[0] / link[1]))
     hits = few.join(shared_values(few), "value").groupBy("node").agg(F.count(F.lit(1)).alias("hits"), F.first("n").alias("n"))
-    near = hits.filter(F.col("hits") >= need).select("node")
-    post = stored(reps.join(near, "node", "left_semi").select("node", "n", F.explode("sketch").alias("value")))
+    near = stored(hits.filter(F.col("hits") >= need).select(F.col("node").alias("row")))
+    wide = table.select("row", F.col("n_shingles").alias("n"), "sketch").join(small(near), "row", "left_semi")
+    post = stored(wide.select(F.col("row").alias("node"), "n", F.explode("sketch").alias("value")))
     mine = post.join(shared_values(post), "value").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("f", "value"))).alias("shared"))
     # values that no other node keeps are the rarest of all and take the first places
     room = prefix_length(F.col("n"), k, link) - (F.least(F.col("n"), F.lit(k)).cast("int") - F.size("shared"))
     return mine.filter(room > 0).select("node", "n", F.explode(F.slice("shared", F.lit(1), room)).alias("s")).select(F.col("s.value").alias("value"), "node", "n")
 
 
+def small(keys: DataFrame) -> DataFrame:
+    """Keys of 8 bytes, broadcast if there are few; else they are joined by shuffle."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_NODES else keys
+
+
 def union_estimate(a: np.ndarray, b: np.ndarray, k: int, link: tuple[int, int]) -> bool:
     """Whether the ``k`` smallest of both sketches leave the threshold possible."""
     union = np.union1d(a, b)[:k]
@@ -158,27 +174,30 @@ def passing(pairs: DataFrame, hashes: DataFrame, test, k: int, link: tuple[int,
 def components(edges: DataFrame, stored: Steps) -> DataFrame:
     """(node, comp) of every node with an edge (a, b); comp is the smallest node reached.
 
-    Every root hooks onto its smallest neighbouring root, chains are halved until flat,
-    and edges move to the roots; the number of roots at least halves each time.
+    Every root hooks onto its smallest neighbouring root and climbs up to eight hooks;
+    edges follow their ends, so what is not at the top yet stays connected to it. The
+    number of roots with edges at least halves each time.
     """
     both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
-    labels = stored(both.select(F.col("a").alias("node")).distinct().withColumn("comp", F.col("node")))
-    while not both.isEmpty():
-        parent = stored(both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("to")))
-        while True:
-            onward = parent.select(F.col("a").alias("to"), F.col("to").alias("next"))
-            halved = stored(parent.join(onward, "to", "left").select("a", F.coalesce("next", "to").alias("to"), (F.coalesce("next", "to") != F.col("to")).alias("moved")))
-            parent = halved.select("a", "to")
-            if halved.filter("moved").isEmpty():
-                break
-        labels = stored(labels.join(parent.withColumnRenamed("a", "comp"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
-        at_b = parent.select(F.col("a").alias("b"), F.col("to").alias("tb"))
-        moved = both.join(parent, "a", "left").join(at_b, "b", "left").select(F.coalesce("to", "a").alias("a"), F.coalesce("tb", "b").alias("b"))
+    labels = None
+    while True:
+        up = stored(both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("to")))
+        for _ in range(3):
+            onward = up.select(F.col("a").alias("to"), F.col("to").alias("next"))
+            up = up.join(onward, "to", "left").select("a", F.coalesce("next", "to").alias("to"))
+        up = stored(up)
+        if labels is None:
+            labels = up.select(F.col("a").alias("node"), F.col("to").alias("comp"))
+        else:
+            labels = stored(labels.join(up.withColumnRenamed("a", "comp"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
+        at_b = up.select(F.col("a").alias("b"), F.col("to").alias("tb"))
+        moved = both.join(up, "a", "left").join(at_b, "b", "left").select(F.coalesce("to", "a").alias("a"), F.coalesce("tb", "b").alias("b"))
         both = stored(moved.filter("a <> b").distinct())
-    return labels
+        if both.isEmpty():
+            return labels
 
 
-def linked(lists: DataFrame, hashes: DataFrame, k: int, link: tuple[int, int], stored: Steps, rounds: int = 4) -> DataFrame:
+def linked(lists: DataFrame, hashes: DataFrame, k: int, link: tuple[int, int], stored: Steps, rounds: int = 3) -> DataFrame:
     """(node, comp) of nodes with links, from inverted lists (value, node, n).
 
     Every list is first compared with two pivots, its smallest and largest node; nodes
@@ -187,8 +206,8 @@ def linked(lists: DataFrame, hashes: DataFrame, k: int, link: tuple[int, int], s
     are compared. Pairs of sizes that cannot reach the threshold are left out.
     """
     lists = stored(lists.join(lists.groupBy("value").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"), "value").select("value", "node", "n"))
-    budget = 4 * lists.count()
-    sketch = hashes.withColumn("hashes", F.substring("hashes", 1, 8 * k))
+    budget = 16 * lists.count()
+    sketch = hashes.withColumn("hashes", F.substring("hashes", 1, 8 * ESTIMATE))
     sizes_fit = (F.least("na", "nb") * link[1] >= F.greatest("na", "nb") * link[0])
     edges, done, labels, last = None, None, None, False
     for turn in range(rounds + 1):
@@ -218,7 +237,7 @@ def linked(lists: DataFrame, hashes: DataFrame, k: int, link: tuple[int, int], s
             one = pivots.select("value", F.col("pivot").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
         pairs = one.join(other, "value").filter((F.col("ca") != F.col("cb")) & sizes_fit)
         pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        found = stored(passing(passing(pairs, sketch, union_estimate, k, link), hashes, exact, k, link))
+        found = stored(passing(passing(pairs, sketch, union_estimate, ESTIMATE, link), hashes, exact, k, link))
         edges = found if edges is None else stored(edges.union(found))
         labels = components(edges, stored)
         if last:
@@ -236,16 +255,14 @@ def near_duplicates(docs: DataFrame, k: int = SKETCH, scouts: int = SCOUTS, link
     row without doc_id is kept where no other is linked. Other columns are not read.
     """
     stored = Steps(docs.sparkSession)
-    table = stored(sketches(docs, k).withColumn("row", F.monotonically_increasing_id()))
-    filled = table.filter("n_shingles > 0")
+    table = stored(sketches(docs, k, scouts).withColumn("row", F.monotonically_increasing_id()))
+    filled = table.filter("n_shingles > 0").select("row", "doc_id", "set_hash")
     classes = stored(filled.groupBy("set_hash").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")))
-    reps = table.join(classes.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), F.col("n_shingles").alias("n"), "sketch")
-    lists = stored(listed(reps, k, scouts, link, stored))
+    lists = stored(listed(table, classes, k, scouts, link, stored))
 
     nodes = stored(lists.select("node").distinct().join(classes, "node"))
-    wanted = nodes.join(filled.select(F.col("row").alias("node"), "doc_id"), "node").select("doc_id").distinct()
-    few = nodes.count() <= BROADCAST_NODES
-    texts = docs.select("doc_id", "text").alias("d").join((F.broadcast(wanted) if few else wanted).alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi")
+    wanted = stored(nodes.join(filled.withColumnRenamed("row", "node"), ["node", "set_hash"]).select("doc_id").distinct())
+    texts = docs.select("doc_id", "text").alias("d").join(small(wanted).alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi")
     found = full_sets(texts).dropDuplicates(["set_hash"])
     hashes = stored(found.join(nodes, "set_hash").select("node", "hashes"))
 

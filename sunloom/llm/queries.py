@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sunloom.llm import fingerprint, linededup, mixing, neardup, packing, pii, quality, sharding, tokencounts, toxicity
+from sunloom.llm.sql import SQL
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -78,4 +79,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_neardup": op10_neardup,
 }
 
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
