@@ -38,7 +38,7 @@ def water_fill(sources: DataFrame, total: Column | float, max_epochs: int) -> Da
             F.count(F.when(clamped, 1)).alias("n"),
         ).first()
         if not sums["open"]:
-            return rows.withColumn("target", F.col("_limit")).drop("_limit")
+            return rows.withColumn("target", F.when(clamped, F.col("_limit")).otherwise(0.0)).drop("_limit")
         free = wanted - sums["taken"]
         over = clamped | (F.lit(free) * F.col("weight") > F.col("_limit") * F.lit(sums["open"]))
         if rows.agg(F.count(F.when(over, 1))).first()[0] == sums["n"]:

@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from sunloom.llm.words import Steps, batches, chain, hash_words
 
 WIDTH = 5
-SKETCH = 256
+#: values of the long sketches, of the sketches of all documents, and of their first sifting
+SKETCH = 1024
+SIEVE = 128
 SCOUTS = 32
 #: values of the sketches that the estimate compares
 ESTIMATE = 64
@@ -75,32 +77,33 @@ def set_hash(values: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(values.tobytes())
 
 
-def sketches(docs: DataFrame, k: int, scouts: int) -> DataFrame:
-    """doc_id, n_shingles, set_hash, sketch and its first values (scouts) of every row."""
+def list_column(sets: list[np.ndarray], size: int | None = None) -> pa.ListArray:
+    kept = [s[:size] for s in sets]
+    offsets = np.concatenate([[0], np.cumsum([len(s) for s in kept])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(kept)))
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, set_hash, sieve and its first values (scouts) of every row."""
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source):
             sets = shingle_sets(batch.column("text"))
-            lists = []
-            for size in (k, scouts):
-                kept = [s[:size] for s in sets]
-                offsets = np.concatenate([[0], np.cumsum([len(s) for s in kept])]).astype(np.int32)
-                lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(kept))))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) for s in sets], pa.binary()), *lists],
-                names=["doc_id", "n_shingles", "set_hash", "sketch", "scouts"],
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) for s in sets], pa.binary()), list_column(sets, SIEVE), list_column(sets, SCOUTS)],
+                names=["doc_id", "n_shingles", "set_hash", "sieve", "scouts"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, sketch array<long>, scouts array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, sieve array<long>, scouts array<long>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """set_hash and the set as little-endian bytes."""
+    """set_hash and the sorted set."""
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source):
             sets = shingle_sets(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in sets], pa.binary()), pa.array([s.astype("<i8").tobytes() for s in sets], pa.binary())], names=["set_hash", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in sets], pa.binary()), list_column(sets)], names=["set_hash", "hashes"])
 
-    return docs.select("text").mapInArrow(run, "set_hash binary, hashes binary")
+    return docs.select("text").mapInArrow(run, "set_hash binary, hashes array<long>")
 
 
 def prefix_length(n: Column, k: int, link: tuple[int, int]) -> Column:
@@ -120,23 +123,26 @@ def shared_values(post: DataFrame) -> DataFrame:
     return post.groupBy("value").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
 
 
-def listed(table: DataFrame, classes: DataFrame, k: int, scouts: int, link: tuple[int, int], stored: Steps) -> DataFrame:
-    """Inverted lists (value, node, n) that every linked pair meets in.
+def sifted(nodes: DataFrame, values: str, size: int, link: tuple[int, int]) -> DataFrame:
+    """Nodes (row) of which enough of the first ``size`` values are kept by others too."""
+    few = nodes.select("row", F.col("n_shingles").alias("n"), F.explode(values).alias("value"))
+    need = F.when(F.col("n") < size, F.greatest(F.lit(1), F.least(F.ceil(F.col("n") * link[0] / F.lit(link[1])), F.lit(least_shared(size, link[0] / link[1]))))).otherwise(least_shared(size, link[0] / link[1]))
+    return few.join(shared_values(few), "value").groupBy("row").agg(F.count(F.lit(1)).alias("hits"), F.first("n").alias("n")).filter(F.col("hits") >= need).select("row")
+
 
-    The few smallest values of all nodes tell first which nodes can have a partner at
-    all; only these are listed under more.
+def listed(hashes: DataFrame, k: int, link: tuple[int, int]) -> DataFrame:
+    """Inverted lists (value, node, n, most) that every linked pair meets in.
+
+    ``most`` bounds the overlap of a pair whose rarest common value is this one: a whole
+    set has only the values from that place on left to share.
     """
-    few = table.select("row", F.col("n_shingles").alias("n"), "scouts").join(classes.select(F.col("node").alias("row")), "row")
-    few = few.select(F.col("row").alias("node"), "n", F.explode("scouts").alias("value"))
-    need = F.when(F.col("n") < scouts, 1).otherwise(least_shared(scouts, link[0] / link[1]))
-    hits = few.join(shared_values(few), "value").groupBy("node").agg(F.count(F.lit(1)).alias("hits"), F.first("n").alias("n"))
-    near = stored(hits.filter(F.col("hits") >= need).select(F.col("node").alias("row")))
-    wide = table.select("row", F.col("n_shingles").alias("n"), "sketch").join(small(near), "row", "left_semi")
-    post = stored(wide.select(F.col("row").alias("node"), "n", F.explode("sketch").alias("value")))
+    post = hashes.select("node", F.size("hashes").cast("long").alias("n"), F.explode(F.slice("hashes", 1, k)).alias("value"))
     mine = post.join(shared_values(post), "value").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("f", "value"))).alias("shared"))
     # values that no other node keeps are the rarest of all and take the first places
     room = prefix_length(F.col("n"), k, link) - (F.least(F.col("n"), F.lit(k)).cast("int") - F.size("shared"))
-    return mine.filter(room > 0).select("node", "n", F.explode(F.slice("shared", F.lit(1), room)).alias("s")).select(F.col("s.value").alias("value"), "node", "n")
+    placed = mine.filter(room > 0).select("node", "n", F.size("shared").alias("m"), F.posexplode(F.slice("shared", F.lit(1), room)).alias("i", "s"))
+    most = F.when(F.col("n") <= k, F.col("m") - F.col("i")).otherwise(F.col("n"))
+    return placed.select(F.col("s.value").alias("value"), "node", "n", most.cast("long").alias("most"))
 
 
 def small(keys: DataFrame) -> DataFrame:
@@ -162,8 +168,8 @@ def passing(pairs: DataFrame, hashes: DataFrame, test, k: int, link: tuple[int,
     """The pairs (a, b) whose hashes pass the test; ``hashes`` has (node, hashes)."""
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source):
-            left, right = (map(lambda x: np.frombuffer(x, "<i8"), batch.column(c).to_pylist()) for c in ("ha", "hb"))
-            yes = pa.array([test(a, b, k, link) for a, b in zip(left, right, strict=True)], pa.bool_())
+            (left, la), (right, lb) = ((c.values.to_numpy(), c.offsets.to_numpy()) for c in (batch.column("ha"), batch.column("hb")))
+            yes = pa.array([test(left[la[i] : la[i + 1]], right[lb[i] : lb[i + 1]], k, link) for i in range(len(batch))], pa.bool_())
             yield batch.select(["a", "b"]).filter(yes)
 
     of_a = hashes.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
@@ -200,22 +206,22 @@ def components(edges: DataFrame, stored: Steps) -> DataFrame:
 def linked(lists: DataFrame, hashes: DataFrame, k: int, link: tuple[int, int], stored: Steps, rounds: int = 3) -> DataFrame:
     """(node, comp) of nodes with links, from inverted lists (value, node, n).
 
-    Every list is first compared with two pivots, its smallest and largest node; nodes
-    outside their components then choose pivots among themselves. Once what is left to compare is no more than a few
+    Every list is first compared with a pivot, the node with the fewest values of its own;
+    nodes outside the pivot's component then choose pivots among themselves. Once what is left to compare is no more than a few
     times the lists (or after ``rounds``), all remaining pairs of different components
     are compared. Pairs of sizes that cannot reach the threshold are left out.
     """
-    lists = stored(lists.join(lists.groupBy("value").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"), "value").select("value", "node", "n"))
+    lists = stored(lists.join(lists.groupBy("value").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"), "value").select("value", "node", "n", "most"))
     budget = 16 * lists.count()
-    sketch = hashes.withColumn("hashes", F.substring("hashes", 1, 8 * ESTIMATE))
-    sizes_fit = (F.least("na", "nb") * link[1] >= F.greatest("na", "nb") * link[0])
+    sketch = hashes.withColumn("hashes", F.slice("hashes", 1, ESTIMATE))
+    sizes_fit = (F.least("na", "nb") * link[1] >= F.greatest("na", "nb") * link[0]) & (F.least("ma", "mb") * (link[0] + link[1]) >= (F.col("na") + F.col("nb")) * link[0])
     edges, done, labels, last = None, None, None, False
     for turn in range(rounds + 1):
         if labels is None:
             rest = lists.withColumn("comp", F.col("node"))
             placed = rest
         else:
-            placed = stored(lists.join(labels, "node", "left").select("value", "node", "n", F.coalesce("comp", "node").alias("comp")))
+            placed = stored(lists.join(labels, "node", "left").select("value", "node", "n", "most", F.coalesce("comp", "node").alias("comp")))
             rest = placed
             for pivots in done:  # what is in a former pivot's component has met this list through it
                 of = pivots.join(labels, pivots.pivot == labels.node, "left").select("value", F.coalesce("comp", "pivot").alias("comp"))
@@ -226,15 +232,15 @@ def linked(lists: DataFrame, hashes: DataFrame, k: int, link: tuple[int, int], s
             if not work:
                 break
             last = work <= budget or turn == rounds
-        other = placed.select("value", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+        other = placed.select("value", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("comp").alias("cb"))
         if last:
-            one = rest.select("value", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+            one = rest.select("value", F.col("node").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("comp").alias("ca"))
         else:
-            ends = rest.groupBy("value").agg(*(f(F.struct("node", "n", "comp")).alias(f.__name__) for f in (F.min, F.max)))
-            both = ends.select("value", F.explode(F.array_distinct(F.array("min", "max"))).alias("p"))
-            pivots = stored(both.select("value", F.col("p.node").alias("pivot"), "p.n", "p.comp"))
+            central = F.struct((F.col("most") / F.col("n")).alias("share"), (-F.col("node")).alias("order"), "node", "n", "most", "comp")
+            pivots = rest.groupBy("value").agg(F.max(central).alias("p"))
+            pivots = stored(pivots.select("value", F.col("p.node").alias("pivot"), "p.n", "p.most", "p.comp"))
             done = [*(done or []), pivots.select("value", "pivot")]
-            one = pivots.select("value", F.col("pivot").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+            one = pivots.select("value", F.col("pivot").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("comp").alias("ca"))
         pairs = one.join(other, "value").filter((F.col("ca") != F.col("cb")) & sizes_fit)
         pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         found = stored(passing(passing(pairs, sketch, union_estimate, ESTIMATE, link), hashes, exact, k, link))
@@ -245,7 +251,7 @@ def linked(lists: DataFrame, hashes: DataFrame, k: int, link: tuple[int, int], s
     return labels
 
 
-def near_duplicates(docs: DataFrame, k: int = SKETCH, scouts: int = SCOUTS, link: tuple[int, int] = LINK) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = SKETCH, link: tuple[int, int] = LINK) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row.
 
     Texts without words (null, empty, white space) have empty sets and link with nothing.
@@ -255,16 +261,18 @@ def near_duplicates(docs: DataFrame, k: int = SKETCH, scouts: int = SCOUTS, link
     row without doc_id is kept where no other is linked. Other columns are not read.
     """
     stored = Steps(docs.sparkSession)
-    table = stored(sketches(docs, k, scouts).withColumn("row", F.monotonically_increasing_id()))
+    table = stored(sketches(docs).withColumn("row", F.monotonically_increasing_id()))
     filled = table.filter("n_shingles > 0").select("row", "doc_id", "set_hash")
     classes = stored(filled.groupBy("set_hash").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")))
-    lists = stored(listed(table, classes, k, scouts, link, stored))
-
-    nodes = stored(lists.select("node").distinct().join(classes, "node"))
-    wanted = stored(nodes.join(filled.withColumnRenamed("row", "node"), ["node", "set_hash"]).select("doc_id").distinct())
-    texts = docs.select("doc_id", "text").alias("d").join(small(wanted).alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi")
-    found = full_sets(texts).dropDuplicates(["set_hash"])
-    hashes = stored(found.join(nodes, "set_hash").select("node", "hashes"))
+    first = table.select("row", "n_shingles", "scouts").join(classes.select(F.col("node").alias("row")), "row")
+    near = stored(sifted(first, "scouts", SCOUTS, link))
+    near = stored(sifted(table.select("row", "n_shingles", "sieve").join(small(near), "row"), "sieve", SIEVE, link))
+
+    nodes = filled.join(small(near), "row").select(F.col("row").alias("node"), "doc_id", "set_hash")
+    nodes = stored(nodes)
+    texts = docs.select("doc_id", "text").alias("d").join(small(nodes.select("doc_id").distinct()).alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi")
+    hashes = stored(full_sets(texts).dropDuplicates(["set_hash"]).join(nodes.select("node", "set_hash"), "set_hash").select("node", "hashes"))
+    lists = stored(listed(hashes, k, link))
 
     labels = linked(lists, hashes, k, link, stored)
     named = classes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
