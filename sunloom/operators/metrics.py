@@ -59,9 +59,9 @@ def fold_summary(scores: DataFrame, by: Sequence[str], metric: str) -> DataFrame
     return scores.groupBy(*by).agg(F.avg(metric).alias(f"{metric}_mean"), F.stddev_pop(metric).alias(f"{metric}_std"))
 
 
-def error_threshold(df: DataFrame, by: Sequence[str], error: str, q: float = 0.99, max_rows: int | None = None) -> DataFrame:
+def error_threshold(df: DataFrame, by: Sequence[str], error: str, q: float = 0.99) -> DataFrame:
     """Quantile of the training errors of each key."""
-    return skew.quantiles(df, by, [error], [q], max_rows).select(*by, F.col(error)[0].alias("threshold"))
+    return skew.quantiles(df, by, [error], [q]).select(*by, F.col(error)[0].alias("threshold"))
 
 
 def scaler_stats(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:

@@ -44,12 +44,12 @@ def rows_per_key(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def describe(df: DataFrame, by: Sequence[str], col: str, max_rows: int | None = None) -> DataFrame:
+def describe(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
     """Count, mean, deviation, extremes and quartiles of a measure per key."""
     basic = df.groupBy(*by).agg(
         F.count(col).alias("count"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"), F.min(col).alias("min"), F.max(col).alias("max")
     )
-    q = skew.quantiles(df, by, [col], [0.25, 0.5, 0.75], max_rows).select(
+    q = skew.quantiles(df, by, [col], [0.25, 0.5, 0.75]).select(
         *by, *[F.col(col)[i].alias(n) for i, n in enumerate(("p25", "p50", "p75"))]
     )
     return basic.join(q, list(by), "left")
@@ -88,7 +88,7 @@ def sampling_interval(counts: DataFrame) -> DataFrame:
     return counts.agg(best.alias("interval_seconds"), (best / 60).alias("interval_minutes"))
 
 
-def iqr_bounds(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), k: float = 1.5, max_rows: int | None = None, approximate: bool = False) -> DataFrame:
+def iqr_bounds(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), k: float = 1.5, approximate: bool = False) -> DataFrame:
     """Quartiles and outlier bounds per measure, as ``<column>_q1, _q3, _lower, _upper``.
 
     Exact by default; ``approximate`` takes one pass with a mergeable sketch.
@@ -96,7 +96,7 @@ def iqr_bounds(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), k: fl
     if approximate:
         q = df.groupBy(*by).agg(*[F.percentile_approx(c, [0.25, 0.75], 10_000).alias(c) for c in cols])
     else:
-        q = skew.quantiles(df, by, cols, [0.25, 0.75], max_rows)
+        q = skew.quantiles(df, by, cols, [0.25, 0.75])
     out = []
     for c in cols:
         q1, q3 = F.col(c)[0], F.col(c)[1]
@@ -104,9 +104,9 @@ def iqr_bounds(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), k: fl
     return q.select(*by, *out)
 
 
-def with_outliers(df: DataFrame, cols: Sequence[str], by: Sequence[str], bounds: DataFrame | None = None, max_rows: int | None = None) -> DataFrame:
+def with_outliers(df: DataFrame, cols: Sequence[str], by: Sequence[str], bounds: DataFrame | None = None) -> DataFrame:
     """Rows with ``<column>_outlier`` and ``any_outlier`` by the bounds of their key."""
-    bounds = iqr_bounds(df, cols, by, max_rows=max_rows) if bounds is None else bounds
+    bounds = iqr_bounds(df, cols, by) if bounds is None else bounds
     joined = df.join(skew.lookup(bounds), list(by), "left")
     tests = {c: F.coalesce((F.col(c) < F.col(f"{c}_lower")) | (F.col(c) > F.col(f"{c}_upper")), F.lit(False)) for c in cols}
     marked = joined.withColumns({f"{c}_outlier": t for c, t in tests.items()})

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -196,86 +197,60 @@ def chunk_by_position(
     return spread, Window.partitionBy(*by, "_chunk").orderBy(pos)
 
 
-def quantiles(
-    df: DataFrame,
-    by: Sequence[str],
-    cols: Sequence[str],
-    probs: Sequence[float],
-    max_rows: int | None = None,
-) -> DataFrame:
-    """Exact interpolated quantiles per key: one array column per measure.
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join in which NULL keys meet each other; keeps the left keys."""
+    right = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(right, same, how).drop(*[f"_right_{k}" for k in keys])
 
-    Spark's ``percentile`` keeps all distinct values of a group in one task, so it
-    serves groups up to ``max_rows``; larger ones use :func:`refined_quantiles`.
-    """
-    max_rows = MAX_GROUP_ROWS if max_rows is None else max_rows
-    if largest_group(df, by) <= max_rows:
-        return df.groupBy(*by).agg(*[F.percentile(c, list(probs)).alias(c) for c in cols])
-    return refined_quantiles(df, by, cols, probs)
 
+#: ranks of the sketch that brackets a quantile are right within one part in so many
+BRACKET = 10_000
 
-def refined_quantiles(
-    df: DataFrame, by: Sequence[str], cols: Sequence[str], probs: Sequence[float], bins: int = 4096
-) -> DataFrame:
-    """Exact quantiles by narrowing a histogram; nothing is sorted or gathered.
 
-    Each wanted rank starts with the range of its key. A pass counts the range in
-    equal bins and keeps the bin that holds the rank, with the least and greatest
-    value seen in it, until both are the same value. The state is a few rows per
-    key, checkpointed each pass.
+def quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Exact interpolated quantiles per key: one array column per measure.
+
+    A sketch of fixed size (``percentile_approx``) brackets each wanted rank; then the
+    values below the bracket are counted and only those inside it are ordered, a few in
+    ten thousand of a key. NULL takes no part, NaN ranks above infinity, as in Spark's
+    ``percentile``; a rank between two values is interpolated, which gives NaN between
+    opposite infinities.
     """
-    ensure_checkpoint_dir(df.sparkSession)
     by = list(by)
     key = [*by, "_m"]
-    long = df.select(
-        *by,
-        F.explode(F.array(*[F.struct(F.lit(c).alias("m"), F.col(c).cast("double").alias("v")) for c in cols])).alias("_e"),
-    ).select(*by, F.col("_e.m").alias("_m"), F.col("_e.v").alias("_v")).filter("_v is not null")
-    whole = F.array(*[F.lit(float(p)) for p in probs])
-    state = (
-        long.groupBy(*key)
-        .agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
-        .withColumn("_p", F.explode(whole))
-        .withColumn("_h", (F.col("_n") - 1) * F.col("_p"))
-        .withColumn("_r", F.explode(F.array_distinct(F.array(F.floor("_h"), F.ceil("_h")))))
-        .select(*key, "_p", "_h", "_r", "_lo", "_hi", F.lit(0).cast("long").alias("_base"))
-        .checkpoint()
-    )
-    while not state.filter("_lo < _hi").isEmpty():
-        # ranks that share a range are counted together
-        ranges = lookup(state.filter("_lo < _hi").select(*key, "_lo", "_hi", "_base").distinct())
-        bin_of = F.least(
-            F.lit(bins - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins)
-        ).cast("int")
-        span = [*key, "_lo", "_hi", "_base"]
-        counted = (
-            long.join(ranges, key)
-            .filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-            .groupBy(*span, bin_of.alias("_bin"))
-            .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo2"), F.max("_v").alias("_hi2"))
-        )
-        earlier = Window.partitionBy(*span).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-        placed = counted.withColumn("_base2", F.col("_base") + F.coalesce(F.sum("_c").over(earlier), F.lit(0)))
-        inside = (F.col("_base2") <= F.col("_r")) & (F.col("_r") < F.col("_base2") + F.col("_c"))
-        ranks = state.select(*span, "_r").distinct()
-        narrowed = placed.join(ranks, span).filter(inside).select(*key, "_r", "_lo2", "_hi2", "_base2")
-        state = (
-            state.join(narrowed, [*key, "_r"], "left")
-            .select(
-                *key, "_p", "_h", "_r",
-                F.coalesce("_lo2", "_lo").alias("_lo"),
-                F.coalesce("_hi2", "_hi").alias("_hi"),
-                F.coalesce("_base2", "_base").alias("_base"),
-            )
-            .checkpoint()
+    pairs = F.array(*[F.struct(F.lit(c).alias("m"), F.col(c).cast("double").alias("v")) for c in cols])
+    long = df.select(*by, F.explode(pairs).alias("_e")).select(*by, F.col("_e.m").alias("_m"), F.col("_e.v").alias("_v")).filter("_v is not null")
+    number = F.when(~F.isnan("_v"), F.col("_v"))
+    sorted_as = F.coalesce(number, F.lit(float("inf")))
+    wide = 4 / BRACKET
+    ends = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-wide, wide)]
+    seen = long.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.count(number).alias("_k"), F.percentile_approx(sorted_as, ends, BRACKET).alias("_ends"), F.min(sorted_as).alias("_min"), F.max(sorted_as).alias("_max"))
+    wanted = F.array(*[
+        F.struct(
+            F.lit(i).alias("i"), ((F.col("_n") - 1) * float(p)).alias("h"),
+            # a bracket must be wider than the ranks around it; near the ends it reaches to the end
+            F.when(F.lit(p <= 2 * wide) | (F.col("_n") * wide < 4), F.col("_min")).otherwise(F.col("_ends")[2 * i]).alias("lo"),
+            F.when(F.lit(p >= 1 - 2 * wide) | (F.col("_n") * wide < 4), F.col("_max")).otherwise(F.col("_ends")[2 * i + 1]).alias("hi"),
         )
-    low = F.min_by("_lo", "_r")
-    high = F.max_by("_lo", "_r")
-    share = F.first("_h") - F.floor(F.first("_h"))
-    per_prob = state.groupBy(*key, "_p").agg((low + (high - low) * share).alias("_q"))
-    packed = per_prob.groupBy(*key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_p", "_q"))), lambda s: s["_q"]).alias("_qs")
-    )
-    order = F.array(*[F.lit(sorted(set(probs)).index(p)) for p in probs])
-    wide = packed.withColumn("_qs", F.transform(order, lambda i: F.col("_qs")[i]))
-    return wide.groupBy(*by).agg(*[F.first(F.when(F.col("_m") == c, F.col("_qs")), True).alias(c) for c in cols])
+        for i, p in enumerate(probs)
+    ])
+    ranks = seen.select(*key, "_k", F.explode(wanted).alias("_w")).select(*key, "_k", "_w.*")
+    brackets = ranks.groupBy(*key).agg(F.collect_list(F.struct("i", "lo", "hi")).alias("_w"))
+    hit = F.filter("_w", lambda w: (F.col("_v") <= w["hi"]))
+    inside = null_safe_join(long.filter(~F.isnan("_v")), brackets, key).select(*key, "_v", F.explode(hit).alias("w"))
+    counted = inside.groupBy(*key, F.col("w.i").alias("i"), F.when(F.col("_v") >= F.col("w.lo"), F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    order = Window.partitionBy(*key, "i").orderBy(F.col("_v").asc_nulls_first())
+    running = counted.withColumn("_to", F.sum("_c").over(order)).withColumn("_from", F.col("_to") - F.col("_c"))
+    placed = null_safe_join(ranks, running, [*key, "i"], "left")
+
+    def at(rank: Column) -> Column:
+        found = F.max(F.when((F.col("_from") <= rank) & (rank < F.col("_to")), F.col("_v")))
+        return F.when(F.first(rank) >= F.first("_k"), F.lit(float("nan"))).otherwise(found)
+
+    low, high = at(F.floor("h")), at(F.ceil("h"))
+    share = F.first("h") - F.floor(F.first("h"))
+    value = F.when(share == 0, low).when(low == high, low).otherwise(low * (1 - share) + high * share)
+    per_rank = placed.groupBy(*key, "i").agg(value.alias("_q"))
+    packed = per_rank.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "_q"))), lambda x: x["_q"]).alias("_qs"))
+    return packed.groupBy(*by).agg(*[F.first(F.when(F.col("_m") == c, F.col("_qs")), True).alias(c) for c in cols])

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from sunloom.operators import failures as fl
 from sunloom.operators import splits, timeseries
@@ -117,14 +118,36 @@ def test_quantiles(series):
     df, pdf = series
     probs = [0.0, 0.25, 0.5, 0.9, 0.995, 1.0]
     skewed = df.selectExpr("plant_id", "v", "case when id % 3 = 0 then 7D else exp(coalesce(v, 0) / 20) end as w")
-    for name, got in (("builtin", skew.quantiles(skewed, KEY, ["v", "w"], probs)), ("refined", skew.quantiles(skewed, KEY, ["v", "w"], probs, max_rows=10))):
-        rows = {r["plant_id"]: r for r in got.collect()}
-        local = skewed.toPandas()
-        for plant, group in local.groupby("plant_id"):
-            for c in ("v", "w"):
-                values = group[c].dropna()
-                if len(values):
-                    np.testing.assert_allclose(rows[plant][c], values.quantile(probs).to_numpy(), rtol=1e-12, err_msg=name)
+    rows = {r["plant_id"]: r for r in skew.quantiles(skewed, KEY, ["v", "w"], probs).collect()}
+    for plant, group in skewed.toPandas().groupby("plant_id"):
+        for c in ("v", "w"):
+            values = group[c].dropna()
+            if len(values):
+                np.testing.assert_allclose(rows[plant][c], values.quantile(probs).to_numpy(), rtol=1e-12)
+
+
+INF, NAN = float("inf"), float("nan")
+ODD = [[1, 2, 3, INF], [1, 2, 3, NAN], [-1.7e308, 1, 2, 1.7e308], [-INF, -INF, 0, 5e-324, INF, NAN, NAN], [5.0], [NAN], [INF, INF], [0.0] * 50 + [1.0]]
+
+
+def test_quantiles_of_odd_values_equal_the_builtin(spark):
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
+    data = [(None if k == 4 else k, float(v)) for k, values in enumerate(ODD) for v in values] + [(0, None), (99, None)]
+    df = spark.createDataFrame(data, "k int, v double")
+    want = {r["k"]: r["q"] for r in df.groupBy("k").agg(F.percentile("v", probs).alias("q")).collect()}
+    got = {r["k"]: r["v"] for r in skew.quantiles(df, ["k"], ["v"], probs).collect()}
+    for k, q in want.items():
+        if k != 99:
+            np.testing.assert_allclose(got[k], q, rtol=1e-12, err_msg=str(k))
+
+
+def test_quantiles_of_a_group_larger_than_the_sketch(spark):
+    df = spark.range(60_000).selectExpr("id % 2 as k", "cast(xxhash64(id) % 1000000 as double) as v", "cast(least(id, 59000) as double) as w")
+    probs = [0.0, 0.0001, 0.003, 0.25, 0.5, 0.9, 0.9995, 1.0]
+    want = {r["k"]: r for r in df.groupBy("k").agg(F.percentile("v", probs).alias("v"), F.percentile("w", probs).alias("w")).collect()}
+    for r in skew.quantiles(df, ["k"], ["v", "w"], probs).collect():
+        for c in ("v", "w"):
+            np.testing.assert_allclose(r[c], want[r["k"]][c], rtol=1e-12)
 
 
 @pytest.mark.parametrize("size", SIZES)
