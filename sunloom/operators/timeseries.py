@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
@@ -281,8 +282,8 @@ def resample_fill(df: DataFrame, by: Sequence[str], value: str, ts: str = "ts",
 def seasonal_decompose(series: DataFrame, by: Sequence[str], value: str, ts: str = "ts", period: int = 24) -> DataFrame:
     """Additive trend, seasonal and residual parts of a regular series.
 
-    The trend is the centred mean over one period with half weights at both ends;
-    it is NULL where the period does not fit. Input has one row per key and
+    The trend is the centred mean over one period, for an even period with half weights
+    at both ends; it is NULL where the period does not fit. Input has one row per key and
     interval.
     """
     half = period // 2
@@ -290,7 +291,7 @@ def seasonal_decompose(series: DataFrame, by: Sequence[str], value: str, ts: str
     around = F.sum(value).over(w.rowsBetween(-half, half))
     ends = F.lag(value, half).over(w) + F.lead(value, half).over(w)
     complete = F.count(value).over(w.rowsBetween(-half, half)) == 2 * half + 1
-    trend = F.when(complete, (around - ends / 2) / period)
+    trend = F.when(complete, (around if period % 2 else around - ends / 2) / period)
     rows = series.withColumns({"trend": trend, "phase": F.pmod(F.row_number().over(w) - 1, F.lit(period))})
     detrended = F.col(value) - F.col("trend")
     phases = rows.groupBy(*by, "phase").agg(F.avg(detrended).alias("_m"))
@@ -318,21 +319,32 @@ def seasonal_naive(series: DataFrame, by: Sequence[str], value: str, ts: str = "
 def ewma(df: DataFrame, by: Sequence[str], values: Sequence[str], alpha: float = 0.85, ts: str = "ts", tie: Sequence[str] = (), max_rows: int | None = None) -> DataFrame:
     """Exponential smoothing ``s = alpha * s + (1 - alpha) * x``, started at the first value.
 
-    Rows with a NULL value are left out. Earlier rows lose weight by ``alpha`` per
-    step and no longer reach a double after ``reach`` rows, so a chunk preceded by
-    that many rows gives the full sum.
+    Rows with a NULL value are left out. A key is cut into chunks of equal length that
+    are smoothed from zero; the end of every chunk, one row each, then goes on into the
+    later ones with its weight, ``alpha`` to the number of rows between. The window over
+    chunks ends where that weight is zero as a double; what is not finite stays for ever.
     """
-    reach = math.ceil(math.log(1e-18) / math.log(alpha))
-    size = 4 * reach
+    size = math.ceil(math.log(1e-18) / math.log(alpha))
+    back = math.ceil(math.log(5e-324) / (size * math.log(alpha))) + 1
     numbered = skew.with_ordinal(df.dropna(subset=list(values)), by, ts, tie, "_pos", max_rows)
-    spread, w = skew.chunk_by_position(numbered, by, "_pos", size, reach, 0)
-    step = F.col("_pos") - F.col("_chunk") * size
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = {}
-    for v in values:
-        share = F.when(F.col("_pos") == 1, F.col(v)).otherwise(F.col(v) * (1 - alpha))
-        out[f"{v}_smooth"] = F.sum(share * F.pow(F.lit(alpha), -step)).over(run) * F.pow(F.lit(alpha), step)
-    return spread.withColumns(out).filter("_home").drop("_chunk", "_home", "_pos")
+    chunk = F.floor((F.col("_pos") - 1) / size).cast("long")
+    rows = numbered.withColumn("_chunk", chunk).withColumn("_step", F.col("_pos") - F.col("_chunk") * size)
+    run = Window.partitionBy(*by, "_chunk").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    shares = {v: F.when(F.col("_pos") == 1, F.col(v)).otherwise(F.col(v) * (1 - alpha)) for v in values}
+    rows = rows.withColumns({f"_own_{v}": F.sum(x * F.pow(F.lit(alpha), -F.col("_step"))).over(run) * F.pow(F.lit(alpha), F.col("_step")) for v, x in shares.items()})
+    ends = rows.filter(F.col("_step") == size).select(*by, "_chunk", *[F.col(f"_own_{v}").alias(f"_end_{v}") for v in values])
+    order = Window.partitionBy(*by).orderBy("_chunk")
+    before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def carried(end: str) -> Column:
+        finite = F.col(end).between(-1.7976931348623157e308, 1.7976931348623157e308)
+        near = [F.coalesce(F.lag(F.when(finite, F.col(end)), m).over(order) if m else F.when(finite, F.col(end)), F.lit(0.0)) * alpha ** (size * m) for m in range(back)]
+        return functools.reduce(lambda a, b: a + b, near) + F.coalesce(F.sum(F.when(~finite, F.col(end))).over(before), F.lit(0.0))
+
+    starts = ends.select(*by, (F.col("_chunk") + 1).alias("_chunk"), *[carried(f"_end_{v}").alias(f"_start_{v}") for v in values])
+    joined = skew.null_safe_join(rows, starts, [*by, "_chunk"], "left")
+    out = {f"{v}_smooth": F.col(f"_own_{v}") + F.coalesce(f"_start_{v}", F.lit(0.0)) * F.pow(F.lit(alpha), F.col("_step")) for v in values}
+    return joined.withColumns(out).drop("_chunk", "_pos", "_step", *[f"_{n}_{v}" for v in values for n in ("own", "start")])
 
 
 def ewma_angle(df: DataFrame, by: Sequence[str], degrees: str, alpha: float = 0.85, ts: str = "ts", tie: Sequence[str] = (), max_rows: int | None = None) -> DataFrame:

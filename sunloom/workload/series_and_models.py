@@ -168,7 +168,7 @@ def _(r):
 
 @query(
     "ewma",
-    f"""select id, list_reduce(list(dc_current_a) over ({PART} rows between 300 preceding and current row), lambda a, x: 0.85e0 * a + 0.15e0 * x) as dc_current_a_smooth from inverter""",
+    f"""select id, list_reduce(list(dc_current_a) over ({PART} rows between unbounded preceding and current row), lambda a, x: 0.85e0 * a + 0.15e0 * x) as dc_current_a_smooth from inverter""",
     "inverter", "dc_current_a_smooth",
 )
 def _(r):
@@ -180,7 +180,7 @@ def _(r):
     """select id, case when a < 0 then a + 360 else a end as wind_dir_deg_smooth from (select id, degrees(atan2(y, x)) as a from (select id,
    list_reduce(list(cos(radians(wind_dir_deg))) over w, lambda a, x: 0.85e0 * a + 0.15e0 * x) as x,
    list_reduce(list(sin(radians(wind_dir_deg))) over w, lambda a, x: 0.85e0 * a + 0.15e0 * x) as y
-   from meteo window w as (partition by plant_id order by ts rows between 300 preceding and current row)))""",
+   from meteo window w as (partition by plant_id order by ts rows between unbounded preceding and current row)))""",
     "meteo", "wind_dir_deg_smooth", decimals=4,
 )
 def _(r):

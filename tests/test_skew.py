@@ -95,6 +95,24 @@ def test_smoothing(series, size):
     np.testing.assert_allclose(got, want, rtol=1e-10, atol=1e-9)
 
 
+def test_smoothing_keeps_what_is_far_back(spark):
+    values = [1.0] * 3_000
+    values[759], values[2_400] = 1e20, INF
+    df = spark.createDataFrame([("P0", i, v) for i, v in enumerate(values)], "plant_id string, id long, v double").withColumn("ts", F.timestamp_seconds("id"))
+    got = timeseries.ewma(df, KEY, ["v"], 0.85).toPandas().set_index("id").sort_index()["v_smooth"]
+    want, s = [], None
+    for v in values:
+        s = v if s is None else 0.85 * s + 0.15 * v
+        want.append(s)
+    np.testing.assert_allclose(got, want, rtol=1e-9)
+
+
+def test_decomposition_of_an_odd_period(spark):
+    df = spark.createDataFrame([("P0", i, float(i)) for i in range(9)], "plant_id string, id long, v double").withColumn("ts", F.timestamp_seconds("id"))
+    got = timeseries.seasonal_decompose(df, KEY, "v", period=3).orderBy("ts").toPandas()["trend"]
+    np.testing.assert_allclose(got[1:8], range(1, 8))
+
+
 @pytest.mark.parametrize("size", SIZES)
 def test_splits(series, size):
     df, pdf = series
