@@ -17,14 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sunloom.llm.words import batches, chain, hash_words, mix, powers, stored
+from sunloom.llm.words import batches, chain, hash_words, mix, powers
 
 LINES = 3
 MIN_WORDS = 15
 #: one word in so many ends a line by its hash
 FOLD = 16
-#: spans up to this size are broadcast to the texts; beyond it both are shuffled
-BROADCAST_BYTES = 64 << 20
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?")] = True
 
@@ -60,52 +58,50 @@ def windows(texts: pa.Array, lines: int = LINES, min_words: int = MIN_WORDS, fol
 
 
 def local_windows(docs: DataFrame, lines: int, min_words: int, together: int = 1_500_000) -> DataFrame:
-    """Windows (hash, doc_id, row, first, last, later), ordered in runs of about ``together``.
+    """Windows (hash, id, tag, span) of rows (id, tag, text), ordered in runs of about ``together``.
 
-    Of the occurrences in one run only the first in order has ``later`` = false; the
-    others have one before them and are later for sure, so that a passage that stands
-    everywhere reaches the comparison of all runs once per run.
+    ``span`` is the first byte and the size, in the high and low 32 bits. Of the
+    occurrences in one run only the first in order has an even ``tag``; the others have
+    one before them and are later for sure, and their tag is odd. So a passage that
+    stands everywhere reaches the comparison of all runs once per run.
     """
     def ordered(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        h, number, null, text, first, last = (np.concatenate(c) for c in zip(*parts, strict=True))
-        order = np.lexsort((first, text, number, null, h))
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        order = np.lexsort(columns[::-1])
+        h, number, tag, span = (c[order] for c in columns)
         again, differs = np.zeros(len(h), bool), np.ones(len(h), bool)
-        again[1:] = h[order][1:] == h[order][:-1]
+        again[1:] = h[1:] == h[:-1]
         if len(h) > 1:  # a repeated row is the same document, not a later one
-            differs[1:] = np.any([c[order][1:] != c[order][:-1] for c in (number, null, text, first)], axis=0)
+            differs[1:] = (number[1:] != number[:-1]) | (tag[1:] != tag[:-1]) | (span[1:] != span[:-1])
         keep = ~again | differs
-        for at in range(0, len(h), 50_000):
-            part = order[at : at + 50_000][keep[at : at + 50_000]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h[part]), pa.array(number[part], mask=null[part]), pa.array(text[part]), pa.array(first[part]), pa.array(last[part]), pa.array(again[at : at + 50_000][keep[at : at + 50_000]])],
-                names=["hash", "doc_id", "row", "first", "last", "later"],
-            )
+        columns = [c[keep] for c in (h, number, tag + again, span)]
+        for at in range(0, len(columns[0]), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 50_000]) for c in columns], names=["hash", "id", "tag", "span"])
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[np.ndarray]] = []
         for batch in batches(source):
             row, h, first, last = windows(batch.column("text"), lines, min_words)
-            ids = batch.column("doc_id")
-            null = ids.is_null().to_numpy(zero_copy_only=False)
-            parts.append([h.view(np.int64), ids.fill_null(0).to_numpy()[row], null[row], batch.column("row").to_numpy()[row], first.astype(np.int32), last.astype(np.int32)])
+            parts.append([h.view(np.int64), batch.column("id").to_numpy()[row], batch.column("tag").to_numpy()[row], (first << 32) + last - first])
             if sum(len(p[0]) for p in parts) > together:
                 yield from ordered(parts)
                 parts.clear()
         if parts:
             yield from ordered(parts)
 
-    return docs.select("doc_id", "text", "row").mapInArrow(run, "hash long, doc_id long, row long, first int, last int, later boolean")
+    return docs.select("id", "tag", "text").mapInArrow(run, "hash long, id long, tag long, span long")
 
 
 def later_spans(docs: DataFrame, lines: int, min_words: int) -> DataFrame:
-    """(doc_id, row, spans): the windows of a document that repeat earlier ones, by position."""
+    """(id, tag, spans): the windows of a document that repeat earlier ones, by position."""
     found = local_windows(docs, lines, min_words)
+    later = F.col("tag") % 2 == 1
     # the first of each run meet in lane 0, so a lane holds a row per run at most; the others need no comparing
-    lane = F.when(F.col("later"), F.lit(1) + F.pmod(F.col("doc_id") + F.col("first"), F.lit(1024))).otherwise(F.lit(0))
-    ordered = Window.partitionBy("hash", "lane").orderBy(F.col("doc_id").asc_nulls_last(), "row", "first")
-    placed = found.withColumn("lane", F.coalesce(lane, F.lit(1))).withColumn("place", F.rank().over(ordered))
-    repeats = placed.filter(F.col("later") | (F.col("place") > 1))
-    return repeats.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("spans"))
+    lane = F.when(later, F.lit(1) + F.pmod(F.xxhash64("id", "span"), F.lit(1024))).otherwise(F.lit(0))
+    ordered = Window.partitionBy("hash", "lane").orderBy("id", "tag", "span")
+    placed = found.withColumn("lane", lane).withColumn("place", F.rank().over(ordered))
+    repeats = placed.filter(later | (F.col("place") > 1)).select("id", F.bitwise_not(F.bitwise_not("tag").bitwiseOR(F.lit(1))).alias("tag"), "span")
+    return repeats.groupBy("id", "tag").agg(F.sort_array(F.collect_set("span")).alias("spans"))
 
 
 def without(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -134,23 +130,22 @@ def dedup_lines(docs: DataFrame, lines: int = LINES, min_words: int = MIN_WORDS)
     A document with fewer than ``lines`` lines or ``min_words`` words has no window and
     stays as it is; so do null and empty texts. A document that only repeats earlier ones
     ends empty. The order is by doc_id, null last, then by a hash of the text; rows that
-    agree in both count as one document, so a repeated row loses nothing to itself.
+    agree in both (31 bits of the hash) count as one document, so a repeated row loses
+    nothing to itself.
     """
-    marked = docs.withColumn("_row", F.xxhash64("text"))
-    spans = stored(later_spans(marked.select("doc_id", "text", F.col("_row").alias("row")), lines, min_words))
-    size = spans.agg(F.sum(F.size("spans") * 16 + 64)).first()[0] or 0
-    near = spans.select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), "spans")
-    near = F.broadcast(near) if size <= BROADCAST_BYTES else near
-    joined = marked.join(near, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r")), "left").drop("_d", "_r", "_row")
     names = docs.columns
     at = names.index("text")
+    tag = F.xxhash64(F.col("doc_id").isNull(), "text").bitwiseAND(F.lit(0xFFFFFFFE))
+    marked = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), tag.alias("tag"))
+    spans = later_spans(marked.select("id", "tag", F.col(f"c{at}").alias("text")), lines, min_words)
+    joined = marked.join(spans, ["id", "tag"], "left").drop("id", "tag")
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             texts, removed = [], []
             for text, own in zip(batch.column(at), batch.column(len(names)), strict=True):
                 if own.is_valid:
-                    cut, runs, words = without(text.as_py().encode(), [(x["first"], x["last"]) for x in own.as_py()])
+                    cut, runs, words = without(text.as_py().encode(), [(x >> 32, (x >> 32) + (x & 0xFFFFFFFF)) for x in own.as_py()])
                     texts.append(cut.decode())
                     removed.append((runs, words))
                 else:
@@ -162,4 +157,4 @@ def dedup_lines(docs: DataFrame, lines: int = LINES, min_words: int = MIN_WORDS)
             yield pa.RecordBatch.from_arrays([*columns, *counts], names=[*names, "removed_runs", "removed_words"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.select(*(F.col(f"`{c}`") for c in names), "spans").mapInArrow(run, f"{schema}, removed_runs long, removed_words long")
+    return joined.mapInArrow(run, f"{schema}, removed_runs long, removed_words long")
