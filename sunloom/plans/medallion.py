@@ -95,26 +95,59 @@ def refresh(
     refresh_plants(house, hours.select("plant_id", "timestamp_hour").distinct(), days, capacity, store)
 
 
+#: what the plant tables read of the feeds beside the inverters
+PLANT_SIDES = {
+    "meteo_hourly": "timestamp_hour timestamp, irradiation_wh_m2 double, avg_irradiance_wm2 double, temp_avg_c double, module_temp_avg_c double",
+    "poi_hourly": "timestamp_hour timestamp, import_energy_kwh double, export_energy_kwh double, avg_import_kw double",
+    "silver_system_status": "ts timestamp, stress_level double",
+    "meteo_daily": "date date, total_irradiation_kwh_m2 double, sunshine_hours bigint, temp_avg_c double, module_temp_avg_c double",
+    "poi_daily": "date date, total_import_kwh double, total_export_kwh double, availability_percent double",
+    "status_daily": "date date, total_failures_sum bigint, total_critical_failures bigint, stress_level_avg double",
+}
+
+
+def read_side(house: Warehouse, table: str) -> DataFrame:
+    """A table of a feed that may not have begun; then it has no rows."""
+    if house.exists(table):
+        return house.read(table)
+    return house.spark.createDataFrame([], f"plant_id string, {PLANT_SIDES[table]}, event_date date")
+
+
 def refresh_plants(house: Warehouse, hours: DataFrame, days: list, capacity: DataFrame | None, store) -> None:
-    """Plant tables of the touched hours and days, once all four sources are there."""
-    needed = [*HOURLY.values(), *DAILY.values(), SILVER["system_status"]]
-    if not all(house.exists(t) for t in needed):
+    """Plant tables of the touched hours and days.
+
+    Every hour with inverter rows has a plant row; what other feeds lack is filled with
+    the defaults of the summaries, until they arrive and touch the hour again.
+    """
+    if not house.exists(HOURLY["inverter"]):
         return
     hour = ["plant_id", "timestamp_hour"]
 
     def at_hours(table: str) -> DataFrame:
-        return on_days(house.read(table), days).drop("event_date").join(hours, hour, "left_semi")
+        rows = house.read(table) if table == HOURLY["inverter"] else read_side(house, table)
+        return on_days(rows, days).drop("event_date").join(hours, hour, "left_semi")
 
-    status = on_days(house.read(SILVER["system_status"]), days).withColumn("timestamp_hour", F.date_trunc("hour", "ts"))
+    status = on_days(read_side(house, SILVER["system_status"]), days).withColumn("timestamp_hour", F.date_trunc("hour", "ts"))
     status = status.join(hours, hour, "left_semi").drop("timestamp_hour", "event_date")
     summary = gold.plant_hourly_summary(*[at_hours(HOURLY[k]) for k in ("inverter", "meteo", "poi_meter")], status, capacity)
     store(summary, "plant_hourly_summary", "timestamp_hour")
 
     dates = hours.select("plant_id", F.to_date("timestamp_hour").alias("date")).distinct()
-    daily = [on_days(house.read(DAILY[k]), days).drop("event_date").join(dates, ["plant_id", "date"], "left_semi") for k in DAILY]
+    read = {k: house.read if k == "inverter" else lambda t: read_side(house, t) for k in DAILY}
+    daily = [on_days(read[k](DAILY[k]), days).drop("event_date").join(dates, ["plant_id", "date"], "left_semi") for k in DAILY]
     store(gold.plant_daily_summary(*daily, capacity), "plant_daily_summary", "date")
 
 
+def open_plants(house: Warehouse) -> tuple[DataFrame, DataFrame]:
+    """Plant hours and plant days that the inverter tables have and the plant tables do not."""
+    def done(table: str) -> DataFrame | None:
+        return house.read(table) if house.exists(table) else None
+
+    hours = gold.missing_keys(house.read(HOURLY["inverter"]), done("plant_hourly_summary"), {c: F.col(c) for c in KEYS["plant_hourly_summary"]})
+    days = gold.missing_keys(house.read(DAILY["inverter"]), done("plant_daily_summary"), {c: F.col(c) for c in KEYS["plant_daily_summary"]})
+    return hours, days
+
+
 def rebuild(house: Warehouse, kind: str, **options) -> None:
     """Refresh every hour of a silver table, for a first load or after a rule change."""
     refresh(house, kind, house.read(SILVER[kind]), **options)

@@ -44,6 +44,16 @@ def append_batch(df: DataFrame, path: str, batch_id: int, ts: str = "ts") -> Non
     writer.partitionBy("batch_id", "event_date").parquet(path)
 
 
+def replace_batch(df: DataFrame, path: str, feed: str, batch_id: int | None) -> None:
+    """Rows of one micro-batch of one feed, whatever day it is run on; a replay replaces them.
+
+    Without a number the rows are added under -1.
+    """
+    numbered = df.withColumns({"feed": F.lit(feed), "batch_id": F.lit(-1 if batch_id is None else batch_id).cast("long")})
+    writer = numbered.write.mode("append" if batch_id is None else "overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("feed", "batch_id").parquet(path)
+
+
 def daily_files(df: DataFrame, path: str, ts: str = "ts") -> None:
     """Append with the rows of a day brought together, so a day gets few files.
 

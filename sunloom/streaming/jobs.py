@@ -66,23 +66,28 @@ def archive(stream: DataFrame, path: str, checkpoint: str, seconds: float | None
     return started(lines.writeStream.format("text").partitionBy("topic").option("path", path), checkpoint, seconds)
 
 
-def store_silver(house: Warehouse, kind: str, batch: DataFrame, notify: Callable[[DataFrame], None] | None = None, **options) -> None:
+def store_silver(house: Warehouse, kind: str, batch: DataFrame, notify: Callable[[DataFrame], None] | None = None, batch_id: int | None = None, **options) -> None:
     """Clean one batch, upsert it, note the count and refresh the gold rows it touches.
 
     Of several messages for one key the last to arrive is kept, by offset where the
     source has one. The count goes to the trigger table, and to ``notify`` if given,
-    such as a function that calls :func:`sunloom.sources.tables.publish`.
+    such as a function that calls :func:`sunloom.sources.tables.publish`. With a
+    ``batch_id`` a replay replaces its count. The cleaned rows are kept for the batch,
+    since the upsert and the refresh both read them.
     """
     if batch.isEmpty():
         return
-    rows = clean(batch.drop("batch_id", "event_date"), kind)
-    arrival = [c for c in ("ingested_at", "offset", "raw_json") if c in rows.columns]
-    house.upsert(rows, SILVER[kind], arrival, "ts")
-    counted = tables.trigger_counts(batch.withColumn("message_type", F.lit(kind))).withColumn("ts", F.current_timestamp())
-    tables.append(counted, house.path("inference_trigger"))
-    if notify:
-        notify(counted)
-    refresh(house, kind, rows, **options)
+    rows = clean(batch.drop("batch_id", "event_date"), kind).persist()
+    try:
+        arrival = [c for c in ("ingested_at", "offset", "raw_json") if c in rows.columns]
+        house.upsert(rows, SILVER[kind], arrival, "ts")
+        counted = tables.trigger_counts(rows.withColumn("message_type", F.lit(kind))).withColumn("ts", F.current_timestamp())
+        tables.replace_batch(counted, house.path("inference_trigger"), kind, batch_id)
+        if notify:
+            notify(counted)
+        refresh(house, kind, rows, **options)
+    finally:
+        rows.unpersist()
 
 
 def bronze_to_gold(house: Warehouse, kind: str, checkpoint: str, seconds: float | None = None, max_files: int | None = None, **options) -> StreamingQuery:
@@ -94,7 +99,7 @@ def bronze_to_gold(house: Warehouse, kind: str, checkpoint: str, seconds: float
     reader = house.spark.readStream.schema(house.spark.read.parquet(path).schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    writer = reader.parquet(path).writeStream.foreachBatch(lambda df, _: store_silver(house, kind, df, **options))
+    writer = reader.parquet(path).writeStream.foreachBatch(lambda df, i: store_silver(house, kind, df, batch_id=i, **options))
     return started(writer, checkpoint, seconds)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sunloom.functions.quality import clean
 from sunloom.operators import gold
-from sunloom.plans.medallion import HOURLY, Warehouse, backlog, rebuild
+from sunloom.plans.medallion import HOURLY, Warehouse, backlog, open_plants, rebuild
 from sunloom.sources import messages, tables
 from sunloom.streaming import jobs
 
@@ -213,3 +213,32 @@ def test_scoring_moves_the_watermark(spark, tmp_path):
     newest = {r["inverter_id"]: r["t"] for r in house.read("silver_inverter").groupBy("inverter_id").agg(F.max("ts").alias("t")).collect()}
     assert marks == newest
     assert house.read("anomaly_predictions").filter("reconstruction_error is null").isEmpty()
+
+
+def test_plants_have_rows_before_all_feeds_do(spark, tmp_path):
+    house, rng = Warehouse(spark, str(tmp_path / "house")), random.Random(3)
+
+    def arrives(kind, hours, batch_id):
+        lines = [json.dumps(message(kind, 60 * h + 5, rng)) for h in hours]
+        text = messages.route(spark.createDataFrame([(x,) for x in lines], "value string"))
+        jobs.store_silver(house, kind, messages.split_valid(messages.bronze(text, kind), kind)[0], batch_id=batch_id)
+
+    def plants():
+        columns = ["timestamp_hour", "irradiation_wh_m2", "total_consumption_kwh", "system_stress_avg"]
+        return {r[0]: r[1:] for r in (tuple(x) for x in house.read("plant_hourly_summary").select(*columns).collect())}
+
+    arrives("inverter", range(3), 0)
+    first = plants()
+    assert len(first) == 3 and set(first.values()) == {(0.0, 0.0, 0.0)}
+    assert house.read("plant_daily_summary").count() == 1
+    for kind in ("meteo", "poi_meter", "system_status"):
+        arrives(kind, range(24, 26), 0)
+    arrives("inverter", range(24, 26), 1)
+    assert len(plants()) == 5 and house.read("plant_daily_summary").count() == 2
+    arrives("system_status", [1], 1)
+    late = plants()
+    assert len(late) == 5 and [v[2] for _, v in sorted(late.items())] == [0.0, 0.4, 0.0, 0.4, 0.4]
+    assert all(keys.isEmpty() for keys in open_plants(house))
+    counts = house.read("inference_trigger").count()
+    arrives("system_status", [1], 1)
+    assert house.read("inference_trigger").count() == counts and plants() == late
