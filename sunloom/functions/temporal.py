@@ -90,7 +90,7 @@ def format_kpi(c: Column | str, unit: str = "", decimals: int = 1) -> Column:
 
 def clear_sky_poa(
     ts: Column | str,
-    latitude: Column | float = 41.61954318671897,
+    latitude: Column | float,
     longitude: Column | float | None = None,
     timezone: Column | str | None = None,
 ) -> Column:

@@ -56,7 +56,7 @@ def predict_power(model: PipelineModel, rows: DataFrame, name: str = "predicted"
     return out.withColumn(name, clip_nonneg("predicted")).select(*rows.columns, name)
 
 
-def evaluate_forecaster(model: PipelineModel, test: DataFrame, target: str = "ac_power_kw", by: Sequence[str] = ("inverter_id",)) -> DataFrame:
+def evaluate_forecaster(model: PipelineModel, test: DataFrame, target: str = "ac_power_kw", by: Sequence[str] = tuple(KEY)) -> DataFrame:
     scored = predict_power(model, test.dropna(subset=[target]))
     return metrics.regression_metrics(scored, list(by), target, "predicted")
 
@@ -143,7 +143,7 @@ def fit_anomaly_model(normal: DataFrame, columns: Sequence[str] = tuple(ANOMALY_
     return AnomalyModel(columns, by, stats, axes, metrics.error_threshold(errors, by, "reconstruction_error", q))
 
 
-def evaluate_anomaly_model(model: AnomalyModel, test: DataFrame, label: str = "is_anomaly", by: Sequence[str] = ("inverter_id",)) -> DataFrame:
+def evaluate_anomaly_model(model: AnomalyModel, test: DataFrame, label: str = "is_anomaly", by: Sequence[str] = tuple(KEY)) -> DataFrame:
     scored = model.score(test.withColumnRenamed(label, "y_true")).withColumnRenamed("is_anomaly", "y_pred")
     return metrics.confusion_metrics(scored, list(by), error="reconstruction_error")
 

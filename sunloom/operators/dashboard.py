@@ -14,9 +14,12 @@ from sunloom.operators.timeseries import latest_per_key
 from sunloom.plans.skew import lookup
 
 
-def forecast_15min(forecasts: DataFrame, ts: str = "ts", value: str = "predicted_ac_power_kw") -> DataFrame:
+INVERTER = ("plant_id", "inverter_id")
+
+
+def forecast_15min(forecasts: DataFrame, by: Sequence[str] = INVERTER, ts: str = "ts", value: str = "predicted_ac_power_kw") -> DataFrame:
     """Mean forecast per inverter and quarter of an hour."""
-    return forecasts.groupBy(floor_minutes(ts, 15).alias(ts), "inverter_id").agg(F.avg(value).alias(value))
+    return forecasts.groupBy(floor_minutes(ts, 15).alias(ts), *by).agg(F.avg(value).alias(value))
 
 
 def forecast_plant_sum(forecasts: DataFrame, by: Sequence[str] = ("plant_id",), ts: str = "ts", value: str = "predicted_ac_power_kw") -> DataFrame:
@@ -45,20 +48,20 @@ def dashboard_mape(pairs: DataFrame, by: Sequence[str] = ("plant_id",)) -> DataF
     )
 
 
-def anomaly_heatmap(predictions: DataFrame, start: datetime, days: int, ts: str = "ts") -> DataFrame:
+def anomaly_heatmap(predictions: DataFrame, start: datetime, days: int, by: Sequence[str] = INVERTER, ts: str = "ts") -> DataFrame:
     """Mean error per inverter, one column per day.
 
     The column list follows from the report's range, so no pass is needed to find it.
     """
     labels = [(start + timedelta(days=d)).strftime("%Y-%m-%d") for d in range(days)]
     day = predictions.withColumn("_day", F.date_format(ts, "yyyy-MM-dd"))
-    wide = day.groupBy("inverter_id").pivot("_day", labels).agg(F.avg("reconstruction_error"))
-    return wide.select("inverter_id", *[F.col(c).alias("d_" + c.replace("-", "_")) for c in labels])
+    wide = day.groupBy(*by).pivot("_day", labels).agg(F.avg("reconstruction_error"))
+    return wide.select(*by, *[F.col(c).alias("d_" + c.replace("-", "_")) for c in labels])
 
 
-def anomaly_cells(predictions: DataFrame, ts: str = "ts") -> DataFrame:
+def anomaly_cells(predictions: DataFrame, by: Sequence[str] = INVERTER, ts: str = "ts") -> DataFrame:
     """The heat map in long form, for any range and time stamps."""
-    return predictions.groupBy("inverter_id", ts).agg(F.avg("reconstruction_error").alias("error"))
+    return predictions.groupBy(*by, ts).agg(F.avg("reconstruction_error").alias("error"))
 
 
 def kpi_delta(summary: DataFrame, by: Sequence[str] = ("plant_id",)) -> DataFrame:

@@ -12,14 +12,14 @@ from sunloom.operators.timeseries import median_of_counts, time_gaps
 from sunloom.plans import skew
 
 
-def failure_share(df: DataFrame, by: Sequence[str] = ("inverter_id",), failures: str = "active_failures") -> DataFrame:
+def failure_share(df: DataFrame, by: Sequence[str] = ("plant_id", "inverter_id"), failures: str = "active_failures") -> DataFrame:
     """Rows with a known failure count, those above zero, and the percentage."""
     bad = F.count_if(F.col(failures) > 0)
     pct = F.bround(F.try_divide(bad, F.count(failures)) * 100, 2)
     return df.groupBy(*by).agg(F.count(failures).alias("total_records"), bad.alias("records_with_failures"), pct.alias("failure_percentage"))
 
 
-def anomaly_distribution(df: DataFrame, by: Sequence[str] = ("inverter_id",), label: str = "is_anomaly") -> DataFrame:
+def anomaly_distribution(df: DataFrame, by: Sequence[str] = ("plant_id", "inverter_id"), label: str = "is_anomaly") -> DataFrame:
     return df.groupBy(*by).agg(
         F.count(label).alias("total"), F.sum(label).alias("anomalies"), F.count_if(F.col(label) == 0).alias("normal"),
         F.bround(F.avg(label) * 100, 2).alias("anomaly_ratio"),

@@ -190,7 +190,7 @@ QUARTER = "time_bucket(interval 15 minutes, ts)"
 
 @query(
     "forecast_15min",
-    f"select {QUARTER} as ts, inverter_id, avg(predicted_ac_power_kw) as predicted_ac_power_kw from forecasts group by all", "forecasts", "predicted_ac_power_kw",
+    f"select {QUARTER} as ts, plant_id, inverter_id, avg(predicted_ac_power_kw) as predicted_ac_power_kw from forecasts group by all", "forecasts", "predicted_ac_power_kw",
 )
 def _(r):
     return d.forecast_15min(r.forecasts)
@@ -224,7 +224,7 @@ _days = [f"2024-01-{i:02d}" for i in range(1, 31)]
 _pivot = ", ".join(f"avg(reconstruction_error) filter (where cast(ts as date) = date '{x}') as d_{x.replace('-', '_')}" for x in _days)
 
 
-@query("anomaly_pivot", f"select inverter_id, {_pivot} from anomalies group by inverter_id", "anomalies", " ".join(f"d_{x.replace('-', '_')}" for x in _days))
+@query("anomaly_pivot", f"select plant_id, inverter_id, {_pivot} from anomalies group by plant_id, inverter_id", "anomalies", " ".join(f"d_{x.replace('-', '_')}" for x in _days))
 def _(r):
     return d.anomaly_heatmap(r.anomalies, datetime(2024, 1, 1), 30)
 

@@ -119,8 +119,8 @@ def _(r):
 
 @query(
     "resample_interpolate",
-    """with m as (select plant_id, inverter_id, time_bucket(interval 15 minutes, ts) as slot, avg(ac_power_kw) as v from inverter where active_failures = 0 group by all),
- g as (select plant_id, inverter_id, unnest(generate_series(min(slot), max(slot), interval 15 minutes)) as ts from m group by plant_id, inverter_id),
+    """with m as (select plant_id, inverter_id, time_bucket(interval 1 minute, ts) as slot, avg(ac_power_kw) as v from inverter where active_failures = 0 group by all),
+ g as (select plant_id, inverter_id, unnest(generate_series(min(slot), max(slot), interval 1 minute)) as ts from m group by plant_id, inverter_id),
  j as (select g.*, m.v, case when m.v is not null then m.slot end as slot from g left join m on m.plant_id = g.plant_id and m.inverter_id = g.inverter_id and m.slot = g.ts),
  k as (select *, last_value(v ignore nulls) over p as v0, last_value(slot ignore nulls) over p as t0, first_value(v ignore nulls) over n as v1, first_value(slot ignore nulls) over n as t1
   from j window p as (partition by plant_id, inverter_id order by ts rows between unbounded preceding and current row),
@@ -130,7 +130,7 @@ def _(r):
     "inverter", "ac_power_kw",
 )
 def _(r):
-    return timeseries.resample_interpolate(healthy_only(r.inverter), INVERTER_KEY, "ac_power_kw", minutes=15)
+    return timeseries.resample_interpolate(healthy_only(r.inverter), INVERTER_KEY, "ac_power_kw", minutes=1)
 
 
 @query("resample_hourly", "select * from series_h", "series_h", "power")
@@ -191,13 +191,13 @@ def _(r):
     "forecast_grid",
     """select plant_id, inverter_id, unnest(generate_series(greatest(data, done) + interval 15 minutes, data + interval 48 hours, interval 15 minutes)) as ts from
  (select i.plant_id, i.inverter_id, max(i.ts) as data, max(f.done) as done from inverter_s i
-  left join (select plant_id, inverter_id, max(ts) + interval 1 day as done from forecasts where inverter_id < 'B2' group by all) f
+  left join (select plant_id, inverter_id, max(ts) + interval 1 day as done from forecasts group by all) f
   on f.plant_id = i.plant_id and f.inverter_id = i.inverter_id group by i.plant_id, i.inverter_id)""",
     "inverter_s forecasts",
 )
 def _(r):
     data = r.inverter_s.groupBy(*INVERTER_KEY).agg(F.max("ts").alias("last_ts"))
-    done = r.forecasts.filter("inverter_id < 'B2'").groupBy(*INVERTER_KEY).agg((F.max("ts") + F.expr("interval 1 day")).alias("last_ts"))
+    done = r.forecasts.groupBy(*INVERTER_KEY).agg((F.max("ts") + F.expr("interval 1 day")).alias("last_ts"))
     return timeseries.forecast_grid(data, done)
 
 
@@ -293,8 +293,8 @@ def _(r):
 
 @query(
     "failure_share",
-    """select inverter_id, count(active_failures) as total_records, count(*) filter (where active_failures > 0) as records_with_failures,
- round_even(count(*) filter (where active_failures > 0) / nullif(count(active_failures), 0) * 100, 2) as failure_percentage from inverter group by inverter_id""",
+    """select plant_id, inverter_id, count(active_failures) as total_records, count(*) filter (where active_failures > 0) as records_with_failures,
+ round_even(count(*) filter (where active_failures > 0) / nullif(count(active_failures), 0) * 100, 2) as failure_percentage from inverter group by plant_id, inverter_id""",
     "inverter", "failure_percentage",
 )
 def _(r):
@@ -303,12 +303,12 @@ def _(r):
 
 @query(
     "anomaly_distribution",
-    """select inverter_id, count(*) as total, sum(a) as anomalies, count(*) filter (where a = 0) as normal, round_even(avg(a) * 100, 2) as anomaly_ratio
- from (select inverter_id, case when coalesce(active_failures, 0) > 0 then 1 else 0 end as a from inverter) group by inverter_id""",
+    """select plant_id, inverter_id, count(*) as total, sum(a) as anomalies, count(*) filter (where a = 0) as normal, round_even(avg(a) * 100, 2) as anomaly_ratio
+ from (select plant_id, inverter_id, case when coalesce(active_failures, 0) > 0 then 1 else 0 end as a from inverter) group by plant_id, inverter_id""",
     "inverter", "anomaly_ratio", "anomalies",
 )
 def _(r):
-    return p.anomaly_distribution(r.inverter.select("inverter_id", anomaly_label().alias("is_anomaly")))
+    return p.anomaly_distribution(r.inverter.select(*INVERTER_KEY, anomaly_label().alias("is_anomaly")))
 
 
 _NULLS = ["ac_power_kw", "inverter_temp_c", "ac_freq_hz", "dc_power_kw", "active_failures", "dc_voltage_v"]

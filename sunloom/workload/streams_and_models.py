@@ -80,7 +80,7 @@ def _(r):
     return both.select("layer", "plant_id", "at", "records", "energy_kwh")
 
 
-@query("anomaly_cells", "select inverter_id, ts, avg(reconstruction_error) as error from anomalies group by all", "anomalies", "error")
+@query("anomaly_cells", "select plant_id, inverter_id, ts, avg(reconstruction_error) as error from anomalies group by all", "anomalies", "error")
 def _(r):
     return dashboard.anomaly_cells(r.anomalies)
 
@@ -95,7 +95,7 @@ def _(r):
     ensure_checkpoint_dir(r.spark)
     rows = r.inverter_s.select("id", *INVERTER_KEY, "ts", "ac_power_kw")
     parts = splits.chronological_split(rows, INVERTER_KEY).checkpoint()
-    model = models.fit_forecaster(parts.filter("split = 'train'"), max_iter=5, max_depth=3)
+    model = models.fit_forecaster(parts.filter("split = 'train'"))
     return models.evaluate_forecaster(model, parts.filter("split = 'test'"))
 
 
