@@ -138,17 +138,21 @@ def _episodes(silver: DataFrame, by: list[str], ts: str, max_rows: int | None) -
 
 def failure_daily_summary(
     silver: DataFrame, capacity_kw: float = 90.0, samples_per_hour: float = 60.0, latitude: float = 40.4168,
-    longitude: float = -3.7038, max_rows: int | None = None,
+    longitude: float = -3.7038, max_rows: int | None = None, sites: DataFrame | None = None,
 ) -> DataFrame:
     """Failures of each inverter and day; the definitions are ours.
 
-    ``failure_count`` is the number of episodes that start on the day, with their
-    downtime and mean repair time; time between failures is the mean distance of
-    those starts from the start before them. ``critical_failure_count`` counts
-    failing readings of a stopped inverter. The lost energy is the clear-sky yield
-    minus the measured one over the failing readings, at least zero each.
+    A day has a row if an episode touches it. ``failure_count`` is the number of episodes
+    that start on the day; time between failures is the mean distance of those starts
+    from the start before them, and the mean repair time is that of their whole length.
+    Downtime is cut at midnight, so every day of a long outage has its own part.
+    ``critical_failure_count`` counts failing readings of a stopped inverter. The lost
+    energy is the clear-sky yield minus the measured one over the failing readings, at
+    least zero each. ``sites`` (plant_id, latitude, longitude, capacity_kw) places the
+    plants; what it lacks comes from the arguments.
     """
     key = ["plant_id", "inverter_id"]
+    day = [*key, "date"]
     episodes, bound = _episodes(silver, key, "ts", max_rows)
     fr = skew.ordered_frames(episodes, key, "start_ts", before=1, max_rows=max_rows, at_most=bound)
     micros = F.unix_micros("start_ts")
@@ -156,22 +160,32 @@ def failure_daily_summary(
     minutes = (F.unix_micros("end_ts") - micros) / 60_000_000
     timing = spaced.groupBy(*key, F.to_date("start_ts").alias("date")).agg(
         F.count(F.lit(1)).alias("failure_count"),
-        F.sum(minutes).alias("total_downtime_minutes"),
         F.avg("_between").alias("mean_time_between_failures_hours"),
         F.avg(minutes).alias("mean_time_to_repair_minutes"),
     )
+    pieces = episodes.withColumn("date", F.explode(F.sequence(F.to_date("start_ts"), F.to_date("end_ts"), F.expr("interval 1 day"))))
+    opens, closes = F.col("date").cast("timestamp"), F.date_add("date", 1).cast("timestamp")
+    part = F.unix_micros(F.least(F.col("end_ts").cast("timestamp"), closes)) - F.unix_micros(F.greatest(F.col("start_ts").cast("timestamp"), opens))
+    down = pieces.groupBy(*day).agg(F.sum(part / 60_000_000).alias("total_downtime_minutes"))
     bad = silver.filter("active_failures > 0")
-    expected = clear_sky_poa("ts", latitude, longitude) / 1000 * capacity_kw
+    place = {"latitude": F.lit(latitude), "longitude": F.lit(longitude), "capacity_kw": F.lit(capacity_kw)}
+    if sites is not None:
+        named = sites.select("plant_id", *[F.col(c).cast("double").alias(f"_{c}") for c in place])
+        bad = bad.join(named, "plant_id", "left")
+        place = {c: F.coalesce(f"_{c}", value) for c, value in place.items()}
+    expected = clear_sky_poa("ts", place["latitude"], place["longitude"]) / 1000 * place["capacity_kw"]
     lost = F.greatest(expected - F.coalesce("ac_power_kw", F.lit(0.0)), F.lit(0.0)) / samples_per_hour
     readings = bad.groupBy(*key, F.to_date("ts").alias("date")).agg(
         F.count_if(F.col("state") != 1).alias("critical_failure_count"),
         F.sum(lost).alias("estimated_energy_loss_kwh"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("failure_types")))).alias("failure_types"),
     )
-    joined = readings.join(timing, [*key, "date"], "left")
+    joined = down.join(timing, day, "left").join(readings, day, "left")
     return joined.select(
         "plant_id", "date", F.lit("inverter").alias("component_type"), F.col("inverter_id").alias("component_id"),
-        F.coalesce("failure_count", F.lit(0)).alias("failure_count"), "critical_failure_count", "failure_types",
-        F.coalesce("total_downtime_minutes", F.lit(0.0)).alias("total_downtime_minutes"),
-        "estimated_energy_loss_kwh", "mean_time_between_failures_hours", "mean_time_to_repair_minutes",
+        F.coalesce("failure_count", F.lit(0)).alias("failure_count"),
+        F.coalesce("critical_failure_count", F.lit(0)).alias("critical_failure_count"),
+        F.coalesce("failure_types", F.array().cast("array<string>")).alias("failure_types"),
+        "total_downtime_minutes", F.coalesce("estimated_energy_loss_kwh", F.lit(0.0)).alias("estimated_energy_loss_kwh"),
+        "mean_time_between_failures_hours", "mean_time_to_repair_minutes",
     )

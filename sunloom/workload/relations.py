@@ -289,20 +289,23 @@ SQL: dict[str, str] = {
    over (partition by plant_id, inverter_id order by ts)) / 1e6, 0) as gap_seconds from inverter)
  where gap_seconds is not null group by gap_seconds""",
 }
-SQL["failure_d"] = f"""select r.plant_id, cast(r.date as varchar) as date, 'inverter' as component_type, r.inverter_id as component_id,
- coalesce(t.n, 0) as failure_count, r.critical as critical_failure_count, r.kinds as failure_types,
- coalesce(t.down, 0) as total_downtime_minutes, r.lost as estimated_energy_loss_kwh,
+SQL["failure_d"] = f"""select d.plant_id, cast(d.date as varchar) as date, 'inverter' as component_type, d.inverter_id as component_id,
+ coalesce(t.n, 0) as failure_count, coalesce(r.critical, 0) as critical_failure_count, coalesce(r.kinds, '') as failure_types,
+ d.down as total_downtime_minutes, coalesce(r.lost, 0) as estimated_energy_loss_kwh,
  t.mtbf as mean_time_between_failures_hours, t.mttr as mean_time_to_repair_minutes
- from (select plant_id, inverter_id, cast(ts as date) as date, count(*) filter (where state <> 1) as critical,
+from (select plant_id, inverter_id, date, sum((epoch_us(least(end_ts, date + interval 1 day)) - epoch_us(greatest(start_ts, date + interval 0 day))) / 6e7) as down
+   from (select *, cast(unnest(generate_series(date_trunc('day', start_ts), date_trunc('day', end_ts), interval 1 day)) as date) as date from episodes) group by all) d
+ left join (select plant_id, inverter_id, cast(ts as date) as date, count(*) filter (where state <> 1) as critical,
    sum(greatest(({CLEAR_SKY}) / 1000 * 90 - coalesce(ac_power_kw, 0), 0)) / 60 as lost,
    coalesce(array_to_string(list_sort(list(distinct failure_type) filter (where failure_type <> '')), '|'), '') as kinds
    from (select *, {cos_zenith('ts', 40.4168, -3.7038)} as cz from inverter_s where active_failures > 0)
    group by plant_id, inverter_id, cast(ts as date)) r
+  on r.plant_id = d.plant_id and r.inverter_id = d.inverter_id and r.date = d.date
  left join (select plant_id, inverter_id, cast(start_ts as date) as date, count(*) as n,
-   sum((epoch_us(end_ts) - epoch_us(start_ts)) / 6e7) as down, avg((epoch_us(end_ts) - epoch_us(start_ts)) / 6e7) as mttr, avg(between_h) as mtbf
+   avg((epoch_us(end_ts) - epoch_us(start_ts)) / 6e7) as mttr, avg(between_h) as mtbf
    from (select *, (epoch_us(start_ts) - lag(epoch_us(start_ts)) over (partition by plant_id, inverter_id order by start_ts)) / 3.6e9 as between_h
      from episodes) group by plant_id, inverter_id, cast(start_ts as date)) t
-  on t.plant_id = r.plant_id and t.inverter_id = r.inverter_id and t.date = r.date"""
+  on t.plant_id = d.plant_id and t.inverter_id = d.inverter_id and t.date = d.date"""
 
 INVERTER_KEY = ["plant_id", "inverter_id"]
 
