@@ -134,6 +134,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, end: int, block_tokens: int =
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
     order = write_token_files(docs, folder, vocabulary, end)
     found = separator_scan(spark, folder, order.select("file").distinct(), end, block_tokens)
-    counts = stored(order.join(found, ["file", "nth"]).select("doc_id", "n_tokens", "file", "start"))
+    # Spark takes the scan's output to be as small as its list of blocks, and would broadcast it
+    counts = stored(order.join(found.hint("merge"), ["file", "nth"]).select("doc_id", "n_tokens", "file", "start"))
     remove(spark, folder)
     return counts
