@@ -109,13 +109,14 @@ def full_sets(docs: DataFrame) -> DataFrame:
 def prefix_length(n: Column, k: int, link: tuple[int, int]) -> Column:
     """How many of its rarest sketch values a node is listed under.
 
-    A node far below ``k`` shingles meets only nodes whose whole sets are kept; then the
-    overlap is at least the similarity times its own size.
+    Two whole sets share at least the similarity times the size of either. A node far
+    below ``k`` shingles meets only whole sets; one nearer to it may also meet a sample,
+    with which it shares ``least_shared``, so it has to allow for the smaller of both.
     """
     a, b = link
-    whole = n - F.ceil(n * a / F.lit(b)) + 1
-    sampled = F.least(n, F.lit(k)) - least_shared(k, a / b) + 1
-    return F.when(n * b < F.lit(k * a), whole).otherwise(sampled).cast("int")
+    own = F.ceil(n * a / F.lit(b))
+    required = F.when(n * b < F.lit(k * a), own).otherwise(F.least(own, F.lit(least_shared(k, a / b))))
+    return (F.least(n, F.lit(k)) - required + 1).cast("int")
 
 
 def shared_values(post: DataFrame) -> DataFrame:
@@ -134,7 +135,7 @@ def listed(hashes: DataFrame, k: int, link: tuple[int, int]) -> DataFrame:
     """Inverted lists (value, node, n, most) that every linked pair meets in.
 
     ``most`` bounds the overlap of a pair whose rarest common value is this one: a whole
-    set has only the values from that place on left to share.
+    set has only the values from that place on left to share with another whole set.
     """
     post = hashes.select("node", F.size("hashes").cast("long").alias("n"), F.explode(F.slice("hashes", 1, k)).alias("value"))
     mine = post.join(shared_values(post), "value").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("f", "value"))).alias("shared"))
@@ -214,7 +215,9 @@ def linked(lists: DataFrame, hashes: DataFrame, k: int, link: tuple[int, int], s
     lists = stored(lists.join(lists.groupBy("value").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"), "value").select("value", "node", "n", "most"))
     budget = 16 * lists.count()
     sketch = hashes.withColumn("hashes", F.slice("hashes", 1, ESTIMATE))
-    sizes_fit = (F.least("na", "nb") * link[1] >= F.greatest("na", "nb") * link[0]) & (F.least("ma", "mb") * (link[0] + link[1]) >= (F.col("na") + F.col("nb")) * link[0])
+    # a sample (more than k values) shares values that it does not keep, so then ``most`` is no bound
+    most = F.when(F.greatest("na", "nb") > k, F.least("na", "nb")).otherwise(F.least("ma", "mb"))
+    sizes_fit = (F.least("na", "nb") * link[1] >= F.greatest("na", "nb") * link[0]) & (most * (link[0] + link[1]) >= (F.col("na") + F.col("nb")) * link[0])
     edges, done, labels, last = None, None, None, False
     for turn in range(rounds + 1):
         if labels is None:

@@ -90,6 +90,26 @@ def test_no_link_is_lost_in_a_group_of_many_variants(spark):
     assert [got[i] for i in range(len(data))] == label
 
 
+def test_no_link_is_lost_near_the_size_of_the_sketch(spark):
+    rng, data = random.Random(8), []
+    for n in (767, 768, 800, 850, 909, 1000, 1100):  # shingles; the long sketches hold 1024
+        text = [f"{n}w{i}" for i in range(n + 4)]
+        data += [text, text[: n * 13 // 16 + 4], text + [f"{n}x{i}" for i in range(n // 3 - 2)]]
+        for edits in (n // 40, n // 36, n // 35):
+            edited = list(text)
+            for i in rng.sample(range(n + 4), edits):
+                edited[i] = f"{n}y{edits}.{i}"
+            data.append(edited)
+    data = [(i, " ".join(t), "s") for i, t in enumerate(data)]
+    for group in ([0, 1], [0, 2], [0, 3], [0, 4], [0, 5]):  # the base with one copy at a time
+        part = [r for r in data if r[0] % 6 in group]
+        shingles = {r[0]: s for r, s in zip(part, sets(part), strict=True)}
+        got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(table(spark, part)).collect()}
+        for base in range(0, len(data), 6):
+            a, b = shingles[base], shingles[base + group[1]]
+            assert got[base + group[1]] == (base if 100 * len(a & b) >= 75 * len(a | b) else base + group[1])
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(300, 360)] + [(rng.randint(0, 200), rng.randint(0, 200)) for _ in range(120)]
