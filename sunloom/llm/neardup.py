@@ -11,7 +11,7 @@ threshold shares at least ``least_shared`` of its sketch values (the chance to m
 its rarest values: prefixes of that length must meet. Values that a passage spread over
 the corpus keep out of the lists that way, unless most of a document is such passages.
 Within a list all nodes are compared with one pivot, not with each other; only nodes
-that are not in the pivot's component afterwards are compared with the others.
+that are not in the list's largest component afterwards are compared with the others.
 """
 
 from __future__ import annotations
@@ -207,10 +207,13 @@ def components(edges: DataFrame, stored: Steps) -> DataFrame:
 def linked(lists: DataFrame, hashes: DataFrame, k: int, link: tuple[int, int], stored: Steps, rounds: int = 3) -> DataFrame:
     """(node, comp) of nodes with links, from inverted lists (value, node, n).
 
-    Every list is first compared with a pivot, the node with the fewest values of its own;
-    nodes outside the pivot's component then choose pivots among themselves. Once what is left to compare is no more than a few
-    times the lists (or after ``rounds``), all remaining pairs of different components
-    are compared. Pairs of sizes that cannot reach the threshold are left out.
+    Every list is first compared with a pivot, the node with the fewest values of its own.
+    Then its largest component and its former pivots are done with: members of one
+    component need no comparing, and pivots have met the whole list. Two members of
+    different other components may still be alike, so they choose further pivots, and once
+    what is left to compare is no more than a few times the lists (or after ``rounds``),
+    all remaining pairs of different components are compared. Pairs of sizes that cannot
+    reach the threshold are left out.
     """
     lists = stored(lists.join(lists.groupBy("value").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"), "value").select("value", "node", "n", "most"))
     budget = 16 * lists.count()
@@ -225,11 +228,10 @@ def linked(lists: DataFrame, hashes: DataFrame, k: int, link: tuple[int, int], s
             placed = rest
         else:
             placed = stored(lists.join(labels, "node", "left").select("value", "node", "n", "most", F.coalesce("comp", "node").alias("comp")))
-            rest = placed
-            for pivots in done:  # what is in a former pivot's component has met this list through it
-                of = pivots.join(labels, pivots.pivot == labels.node, "left").select("value", F.coalesce("comp", "pivot").alias("comp"))
-                rest = rest.join(of, ["value", "comp"], "left_anti")
-            rest = stored(rest)
+            # only one component of a list may go: members of two have not met each other
+            sizes = placed.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("c"))
+            largest = sizes.groupBy("value").agg(F.max(F.struct("c", "comp")).alias("l")).select("value", F.col("l.comp").alias("comp"))
+            rest = stored(placed.join(largest, ["value", "comp"], "left_anti").join(done, ["value", "node"], "left_anti"))
             per_list = rest.groupBy("value").agg(F.count(F.lit(1)).alias("r")).join(placed.groupBy("value").agg(F.count(F.lit(1)).alias("c")), "value")
             work = per_list.agg(F.sum(F.col("r") * F.col("c"))).first()[0] or 0
             if not work:
@@ -242,7 +244,8 @@ def linked(lists: DataFrame, hashes: DataFrame, k: int, link: tuple[int, int], s
             central = F.struct((F.col("most") / F.col("n")).alias("share"), (-F.col("node")).alias("order"), "node", "n", "most", "comp")
             pivots = rest.groupBy("value").agg(F.max(central).alias("p"))
             pivots = stored(pivots.select("value", F.col("p.node").alias("pivot"), "p.n", "p.most", "p.comp"))
-            done = [*(done or []), pivots.select("value", "pivot")]
+            met = pivots.select("value", F.col("pivot").alias("node"))
+            done = met if done is None else done.union(met)
             one = pivots.select("value", F.col("pivot").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("comp").alias("ca"))
         pairs = one.join(other, "value").filter((F.col("ca") != F.col("cb")) & sizes_fit)
         pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())

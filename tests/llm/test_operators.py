@@ -110,6 +110,25 @@ def test_no_link_is_lost_near_the_size_of_the_sketch(spark):
             assert got[base + group[1]] == (base if 100 * len(a & b) >= 75 * len(a | b) else base + group[1])
 
 
+def test_members_of_two_pivots_components_are_compared(spark):
+    rng, members, nodes = random.Random(4), {}, iter(range(120))
+    for _ in range(30):  # chains p1, x, y, p2 in which only neighbours are alike, more in one list than is compared at once
+        values = [rng.getrandbits(62) for _ in range(130)]
+        p1, p2, x, y = (next(nodes) for _ in range(4))
+        members |= {v: sorted(values[at : at + 100]) for v, at in zip((p1, x, y, p2), (0, 10, 20, 30), strict=True)}
+    lists = spark.createDataFrame([(value, node, 100, 100) for value in (1, 2) for node in members], "value long, node long, n long, most long")
+    hashes = spark.createDataFrame(list(members.items()), "node long, hashes array<long>")
+    label = {v: v for v in members}
+    for a in members:
+        for b in range(a):
+            both = len(set(members[a]) & set(members[b]))
+            if 100 * both >= 75 * (200 - both):
+                low, high = sorted((label[a], label[b]))
+                label = {v: low if c == high else c for v, c in label.items()}
+    got = neardup.linked(lists, hashes, neardup.SKETCH, neardup.LINK, Steps(spark)).collect()
+    assert {r["node"]: r["comp"] for r in got} == label and len(set(label.values())) == 30
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(300, 360)] + [(rng.randint(0, 200), rng.randint(0, 200)) for _ in range(120)]
