@@ -178,6 +178,24 @@ def test_windows_do_not_depend_on_their_place():
     assert set(a) & set(b)
 
 
+def test_every_passage_of_fifty_words_holds_a_window():
+    rng = random.Random(6)
+    text = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    passages = [text(rng.randint(50, 60)) for _ in range(300)] + [" ".join(["and"] * 51), " ".join(["the"] * 93), " ".join(f"{w}" for w in sorted(text(51).split()))]
+    for passage in passages:
+        around = f"{text(20)} {passage}\n{text(20)}", f"{text(33)}. {passage} {text(9)}", passage
+        a, b, c = (set(linededup.windows(pa.array([t]))[1].tolist()) for t in around)
+        assert a & b and a & c and b & c
+
+
+def test_windows_do_not_depend_on_neighbouring_rows():
+    rng = random.Random(7)
+    texts = [rng.choice(["", "\n"]) + " ".join(f"w{rng.randint(0, 50)}" for _ in range(rng.randint(0, 60))) for _ in range(80)]
+    row, h, *_ = linededup.windows(pa.array(texts))
+    for i, text in enumerate(texts):
+        assert h[row == i].tolist() == linededup.windows(pa.array([text]))[1].tolist()
+
+
 def test_mixing(spark, rows):
     got = mixing.mix_documents(table(spark, rows)).collect()
     assert len(got) == len(rows)
