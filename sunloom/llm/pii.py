@@ -6,19 +6,23 @@ calendar, social security numbers by their area. A valid value is replaced by a
 permutation of itself within its format: a Feistel network of ``ROUNDS`` rounds in which
 the halves of the symbols shift each other, each symbol within its own alphabet. Equal
 values get equal pseudonyms in all documents, different values different ones, and the
-pseudonym of a valid value is valid. Mail addresses are permuted the same way in what
+pseudonym of a valid value is valid. Addresses that begin with 0 or with 224 and more, and
+dates before 1900 and after 2099, are permuted among themselves. Mail addresses are permuted the same way in what
 stands before the ``@``. Only built-in functions are used.
 """
 
 from __future__ import annotations
 
+from datetime import date
+from math import ceil, sqrt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: dates from the first to the last day of these years are permuted among themselves
-FIRST_DAY, DAYS, DATE_HALF = "1900-01-01", 73_049, 271
+#: dates from the first day of one of these years to that of the next are permuted among themselves; the last range ends with 9999
+YEARS = (1, 1900, 2100)
 
 MAIL = r"(?<![\w.+-])[\w.+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}"
 IPV4 = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)"
@@ -117,23 +121,38 @@ def card(value: Column, key: str) -> Column:
 
 
 def ipv4(value: Column, key: str) -> Column:
-    radices = F.array(*(F.lit(r) for r in (223, 256, 256, 256)))
-    octets = F.transform(F.split(value, "\\."), lambda x, i: x.cast("int") - F.when(i == 0, 1).otherwise(0))
-    return let(octets, lambda o: F.when(
-        ~F.exists(F.zip_with(o, radices, lambda x, r: (x < 0) | (x >= r)), lambda bad: bad),
-        F.array_join(F.transform(feistel(o, radices, key), lambda x, i: (x + F.when(i == 0, 1).otherwise(0)).cast("string")), "."),
-    ))
+    """The first octet stays 0, between 1 and 223, or from 224 on, as it was."""
+    def renewed(o: Column) -> Column:
+        first = F.get(o, F.lit(0))
+        low = F.when(first == 0, 0).when(first < 224, 1).otherwise(224)
+        radices = F.array(F.when(first == 0, 1).when(first < 224, 223).otherwise(32), *(F.lit(256) for _ in range(3)))
+        moved = feistel(F.transform(o, lambda x, i: x - F.when(i == 0, low).otherwise(0)), radices, key)
+        return F.array_join(F.transform(moved, lambda x, i: (x + F.when(i == 0, low).otherwise(0)).cast("string")), ".")
+
+    return let(F.transform(F.split(value, "\\."), lambda x: x.cast("int")), lambda o: F.when(~F.exists(o, lambda x: x > 255), renewed(o)))
 
 
 def calendar_day(value: Column, form: str, key: str) -> Column:
-    def once(day: Column) -> Column:
-        new = feistel(F.array(F.floor(day / DATE_HALF).cast("int"), (day % DATE_HALF).cast("int")), F.array(F.lit(-(-DAYS // DATE_HALF)), F.lit(DATE_HALF)), key)
-        return let(new, lambda n: F.get(n, F.lit(0)) * DATE_HALF + F.get(n, F.lit(1)))
-
-    # a number past the last day is permuted again until it is a day; at most 1 in 600 is past it
-    inside = lambda day: F.aggregate(F.sequence(F.lit(1), F.lit(40)), once(day), lambda x, _: F.when(x < DAYS, x).otherwise(once(x)))
-    day = F.datediff(F.to_date(F.try_to_timestamp(value, F.lit(form))), F.lit(FIRST_DAY).cast("date"))
-    return let(day, lambda d: F.when((d >= 0) & (d < DAYS), F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), inside(d)), form)))
+    bounds = [date(year, 1, 1).toordinal() - 1 for year in YEARS] + [date.max.toordinal()]
+
+    def spread(start: int, stop: int) -> Column:
+        half = ceil(sqrt(stop - start))
+        return F.struct(F.lit(start).alias("start"), F.lit(stop - start).alias("days"), F.lit(ceil((stop - start) / half)).alias("rows"), F.lit(half).alias("half"))
+
+    def renewed(d: Column, r: Column) -> Column:
+        def once(day: Column) -> Column:
+            new = feistel(F.array(F.floor(day / r["half"]).cast("int"), (day % r["half"]).cast("int")), F.array(r["rows"], r["half"]), key)
+            return let(new, lambda n: F.get(n, F.lit(0)) * r["half"] + F.get(n, F.lit(1)))
+
+        # a number past the last day is permuted again until it is a day; at most 1 in 600 is past it
+        inside = F.aggregate(F.sequence(F.lit(1), F.lit(40)), once(d - r["start"]), lambda x, _: F.when(x < r["days"], x).otherwise(once(x)))
+        return F.date_format(F.date_add(epoch, r["start"] + inside), form)
+
+    epoch = F.lit("0001-01-01").cast("date")
+    ranges = [spread(*x) for x in zip(bounds[:-1], bounds[1:], strict=True)]
+    day = F.datediff(F.to_date(F.try_to_timestamp(value, F.lit(form))), epoch)
+    of = lambda d: F.when(d < bounds[1], ranges[0]).when(d < bounds[2], ranges[1]).otherwise(ranges[2])
+    return let(day, lambda d: F.when((d >= 0) & (d < bounds[-1]), let(of(d), lambda r: renewed(d, r))))
 
 
 def ssn(value: Column, key: str) -> Column:

@@ -365,6 +365,20 @@ def test_pseudonyms_are_a_permutation(spark):
     assert len({r["text"].split(" ")[0] for r in got}) == len({r["text"].split(" ")[2] for r in got}) == 600
 
 
+def test_every_address_and_every_day_gets_a_pseudonym(spark):
+    ips = ["233.233.171.252", "224.145.138.68", "227.5.221.1", "255.255.255.255", "0.0.0.0", "0.17.3.9", "1.0.0.1", "223.255.255.255"] + [f"240.1.{i}.7" for i in range(200)]
+    days = ["0001-01-01", "1066-10-14", "1899-12-31", "1900-01-01", "2099-12-31", "2100-01-01", "9999-12-31", "2400-02-29"] + [str(np.datetime64("1850-01-01") + i) for i in range(100)] + [str(np.datetime64("2150-01-01") + i) for i in range(100)]
+    data = list(zip(ips, days, strict=True))
+    got = pii.pseudonymise(table(spark, [(i, f"{a} on {b}", "s") for i, (a, b) in enumerate(data)] + [(1000, "256.1.1.1 on 1899-02-29", "s")]), "k").orderBy("doc_id").collect()
+    assert [r["n_private"] for r in got] == [2] * len(data) + [0] and got[-1]["text"] == "256.1.1.1 on 1899-02-29"
+    new = [r["text"].split(" on ") for r in got[:-1]]
+    assert len({a for a, _ in new}) == len({b for _, b in new}) == len(data)
+    for (ip, day), (a, b) in zip(data, new, strict=True):
+        assert a != ip and b != day and str(np.datetime64(b)) == b and all(0 <= int(x) <= 255 for x in a.split("."))
+        kind = lambda v: np.searchsorted([1, 224], int(v.split(".")[0]), "right")
+        assert kind(a) == kind(ip) and np.searchsorted([1900, 2100], int(b[:4]), "right") == np.searchsorted([1900, 2100], int(day[:4]), "right")
+
+
 def test_sharding(spark, rows):
     got = sharding.shard_documents(table(spark, rows)).collect()
     assert len(got) == len(rows)
