@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sunloom.llm import fingerprint, linededup, mixing, neardup, packing, pii, quality, sharding, tokencounts, toxicity
+from sunloom.llm import fingerprint, hardnegatives, importance, linededup, mixing, neardup, packing, pii, quality, sharding, substrings, tokencounts, toxicity
 from sunloom.llm.sql import SQL
 
 
@@ -66,6 +67,20 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
 
+def op11_hardnegatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardnegatives.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.dedup_substrings(documents(spark, sf_dir).select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
@@ -77,6 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_linededup": op8_linededup,
     "op9_tokencounts": op9_tokencounts,
     "op10_neardup": op10_neardup,
+    "op11_hardnegatives": op11_hardnegatives,
+    "op12_substrings": op12_substrings,
+    "op13_importance": op13_importance,
 }
 
 __all__ = ["QUERIES", "SQL"]

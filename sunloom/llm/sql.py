@@ -109,4 +109,67 @@ select d.doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, component_id, d.d
 from d left join sizes using (doc_id) join least on least.doc_id = d.doc_id
 """
 
-SQL = {"op2_mixing": MIXING, "op4_quality": QUALITY, "op7_sharding": sharding(), "op10_neardup": NEAR_DUPLICATES}
+HARD_NEGATIVES = r"""
+with e as (select row_number() over () as rid, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+  from embeddings where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.rid as anchor, a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same,
+    cast(list_dot_product(a.v, b.v) as bigint) as score
+  from e a join e b on a.vec_id % 100 = 0 and a.rid <> b.rid),
+p as (select anchor, anchor_id, other_id as positive_id, score as positive_score, row_number() over (partition by anchor order by score desc, other_id) as place
+  from s where same qualify place <= 5),
+n as (select p.anchor_id, p.positive_id, s.other_id as negative_id, p.positive_score, s.score as negative_score,
+    row_number() over (partition by p.anchor, p.place order by s.score desc, s.other_id) as rank
+  from p join s on s.anchor = p.anchor and not s.same and 30 * p.positive_score <= 100 * s.score and 100 * s.score <= 90 * p.positive_score)
+select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score from n where rank <= 10
+"""
+
+SUBSTRINGS = r"""
+with d as (select row_number() over () as rid, coalesce(doc_id, 9223372036854775807) as id, doc_id, encode(coalesce(text, '')) as raw from documents),
+w as (select rid, id, i, raw[i:i + 49] as s from (select rid, id, raw, unnest(range(1, octet_length(raw) - 48)) as i from d)),
+gone as (select rid, i from w qualify min(id) over (partition by s) < id),
+heads as (select rid, i, coalesce(i > lag(i) over (partition by rid order by i) + 50, true) as head from gone),
+runs as (select rid, i, sum(cast(head as int)) over (partition by rid order by i) as run from heads),
+spans as (select rid, run, min(i) as first, max(i) + 50 as stop from runs group by rid, run),
+parts as (select rid, coalesce(lag(stop) over (partition by rid order by first), 1) as begin, first - 1 as until from spans
+  union all select rid, max(stop), 9223372036854775807 from spans group by rid),
+kept as (select rid, unhex(string_agg(hex(raw[begin:least(until, octet_length(raw))]), '' order by begin)) as kept from parts join d using (rid) group by rid),
+sums as (select rid, cast(sum(stop - first) as bigint) as n_removed, count(*) as n_spans from spans group by rid)
+select doc_id, cast(octet_length(raw) as bigint) as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(coalesce(kept, raw)) as kept_sha256
+from d left join sums using (rid) left join kept using (rid)
+"""
+
+_FEATURE_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+IMPORTANCE = rf"""
+with recursive bits(b, c, n) as (select cast(range as ubigint), cast(range as ubigint), 0 from range(256)
+  union all select b, case when c % 2 = 1 then xor(c // 2, cast(3988292384 as ubigint)) else c // 2 end, n + 1 from bits where n < 8),
+crc as (select list(c order by b) as t from bits where n = 8),
+d as (select row_number() over () as rid, doc_id, {_FEATURE_WORDS} as w from documents),
+b as (select {_FEATURE_WORDS} as w from benchmark),
+fd as (select rid, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as f from d),
+fb as (select unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as f from b),
+f as (select f, hex(encode(f)) as h from (select f from fd union select f from fb)),
+k as (select f, cast(xor(list_reduce(list_prepend(cast(4294967295 as ubigint),
+    list_transform(range(1, length(h), 2), lambda i: cast((strpos('0123456789ABCDEF', h[i]) - 1) * 16 + strpos('0123456789ABCDEF', h[i + 1]) - 1 as ubigint))),
+    lambda x, y: xor(x // 256, crc.t[cast(1 + xor(x % 256, y) as bigint)])), cast(4294967295 as ubigint)) % 10000 as int) as bucket from f, crc),
+cs as (select bucket, count(*) as s from fd join k using (f) group by bucket),
+ct as (select bucket, count(*) as t from fb join k using (f) group by bucket),
+g as (select range as bucket, cast(floor(1000 * ln((coalesce(t, 0) + 1)::double * ((select count(*) from fd) + 10000)::double
+    / ((coalesce(s, 0) + 1)::double * ((select count(*) from fb) + 10000)::double))) as bigint) as gain
+  from range(10000) left join cs on cs.bucket = range left join ct on ct.bucket = range),
+m as (select rid, count(*) as n_features, sum(gain) as total from fd join k using (f) join g using (bucket) group by rid),
+x as (select rid, doc_id, len(w) as n_words, coalesce(n_features, 0) as n_features, cast(coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0) as bigint) as weight,
+    cast('0x' || substr(sha256('7:' || coalesce(cast(doc_id as varchar), '')), 1, 8) as bigint) as h
+  from d left join m using (rid)),
+y as (select *, weight + cast(floor(-1000 * ln(-ln((h + 0.5e0) / 4294967296))) as bigint) as score from x),
+r as (select *, case when n_words >= 20 then row_number() over (partition by n_words >= 20 order by score desc, doc_id nulls last, n_features, n_words) end as place from y)
+select doc_id, n_features, weight, score, case when place <= 25 * (select count(*) from y where n_words >= 20) // 100 then place end as rank from r
+"""
+
+SQL = {
+    "op2_mixing": MIXING, "op4_quality": QUALITY, "op7_sharding": sharding(), "op10_neardup": NEAR_DUPLICATES,
+    "op11_hardnegatives": HARD_NEGATIVES, "op12_substrings": SUBSTRINGS, "op13_importance": IMPORTANCE,
+}

@@ -57,9 +57,14 @@ class Steps:
 
     def finish(self, result: DataFrame) -> DataFrame:
         """The result, stored apart from the steps, which are removed."""
-        result = stored(result)
+        try:
+            return stored(result)
+        finally:
+            self.close()
+
+    def close(self) -> None:
+        """Remove the tables of the steps, also where the job failed."""
         remove(self.spark, self.folder)
-        return result
 
 
 def remove(spark: SparkSession, folder: str) -> None:
