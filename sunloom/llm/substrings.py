@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sunloom.llm.words import batches, group_starts, mix, powers
+from sunloom.llm.words import STEP, batches, group_starts, mix, powers
 
 LENGTH = 50
 GRAM = 16
@@ -38,6 +38,7 @@ PASS_BYTES, SORT_BYTES = 64 << 20, 4 << 20
 SAMPLE, COMMON, MOST_COMMON = 512, 8, 65_536
 _SLOT_BITS = 22
 _LAST = np.uint64(1 << 63)
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64))
 _OUTPUT = ("n_bytes", "n_removed", "n_spans", "removed", "kept")
 
 
@@ -46,8 +47,15 @@ def grams(raw: np.ndarray) -> np.ndarray:
     n = len(raw) - GRAM + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    word = np.ndarray((n + 8,), "<u8", raw, strides=(1,)).copy()
-    return mix(word[:n] ^ mix(word[8:] + np.uint64(1)))
+    word = np.ndarray((n + 8,), "<u8", raw, strides=(1,)).astype(np.uint64)
+    return gram_hash(word[:n], word[8:])
+
+
+def gram_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Of the two halves of a gram as numbers."""
+    h = (first ^ (first >> np.uint64(31))) * STEP + second
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
 
 
 def slots(hashes: np.ndarray) -> np.ndarray:
@@ -100,7 +108,7 @@ def fragments(raw: np.ndarray, bounds: np.ndarray, last: np.ndarray, length: int
     return first, stop - first, at, h[first + at]
 
 
-def string_hashes(raw: np.ndarray, first: np.ndarray, size: np.ndarray, block: int = 2 << 20) -> np.ndarray:
+def string_hashes(raw: np.ndarray, first: np.ndarray, size: np.ndarray, block: int = 256 << 10) -> np.ndarray:
     """Hash of each of the strings ``raw[first:first + size]``, which come in the order of ``first``."""
     out = np.empty(len(first), np.uint64)
     a = 0
@@ -109,7 +117,7 @@ def string_hashes(raw: np.ndarray, first: np.ndarray, size: np.ndarray, block: i
         begin, end = int(first[a]), int((first[a:b] + size[a:b]).max())
         up, down = powers(end - begin + 1)
         total = np.zeros(end - begin + 1, np.uint64)
-        np.cumsum(mix(raw[begin:end].astype(np.uint64) + np.uint64(1)) * up[: end - begin], out=total[1:])
+        np.cumsum(_BYTES[raw[begin:end]] * up[: end - begin], out=total[1:])
         at = first[a:b] - begin
         out[a:b] = mix((total[at + size[a:b]] - total[at]) * down[at] + size[a:b].astype(np.uint64))
         a = b
@@ -131,11 +139,31 @@ def equal_strings(raw: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarra
     return out
 
 
+def gathered_bytes(raw: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The strings ``raw[first:first + size]`` one after the other."""
+    return raw[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+
+
+def in_several(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether the key of each entry stands in more than one document."""
+    if not len(key):
+        return np.zeros(0, bool)
+    order = np.argsort(key)
+    cuts = np.flatnonzero(np.concatenate([[True], key[order[1:]] != key[order[:-1]]]))
+    own = doc[order]
+    apart = np.minimum.reduceat(own, cuts) < np.maximum.reduceat(own, cuts)
+    out = np.empty(len(key), bool)
+    out[order] = np.repeat(apart, np.diff(np.append(cuts, len(key))))
+    return out
+
+
 def later_copies(raw: np.ndarray, first: np.ndarray, size: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Strings that stand, byte for byte, in an earlier document of these."""
     later = np.zeros(len(first), bool)
     if len(first) < 2:
         return later
+    raw = gathered_bytes(raw, first, size)
+    first = np.cumsum(size) - size
     h = string_hashes(raw, first, size)
     order = np.lexsort((doc, size, h))
     head = np.ones(len(order), bool)
@@ -260,15 +288,17 @@ class Run:
         parts: list[tuple[np.ndarray, ...]] = []
         a = 0
         while a < len(keys):  # a few megabytes at a time
-            b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + (2 << 20), "right")) - 1)
+            b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + (256 << 10), "right")) - 1)
             first, windows, at, h = fragments(raw[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], self.last, self.length)
-            parts.append((first + bounds[a], windows, at, mix(h) % np.uint64(self.buckets)))
+            parts.append((first + bounds[a], windows, at, h))
             a = b
-        first, windows, at, bucket = (np.concatenate(x) for x in zip(*parts, strict=True))
-        bucket = bucket.astype(np.int64)
+        first, windows, at, h = (np.concatenate(x) for x in zip(*parts, strict=True))
+        bucket = (mix(h) % np.uint64(self.buckets)).astype(np.int64)
         ordinal = np.searchsorted(bounds, first, "right") - 1
         place, size = first - bounds[ordinal] + bases[ordinal], windows + self.length - 1
-        later = later_copies(raw, first, size, docs[ordinal])
+        later = in_several(h, docs[ordinal])
+        met = np.flatnonzero(later)
+        later[met] = later_copies(raw, first[met], size[met], docs[ordinal[met]])
         home = self.number % self.buckets
         yield home, 2, packed(_TEXTS, docs, tags)
         if later.any():
@@ -281,7 +311,7 @@ class Run:
             found = np.unique(ordinal[own])
             which = np.searchsorted(found, ordinal[own])
             yield int(bucket[own[0]]), 0, packed(
-                _FRAGMENTS, raw[np.repeat(first[own], n) + group_starts(n)], windows[own], at[own], steps_of(ordinal[own]),
+                _FRAGMENTS, gathered_bytes(raw, first[own], n), windows[own], at[own], steps_of(ordinal[own]),
                 steps_of(place[own]), np.concatenate([steps_of(docs[found]), np.bincount(which)]),
             )
 
@@ -328,29 +358,30 @@ def compared(blobs: list[tuple[int, bytes]], length: int, share: int, shares: in
         docs = np.repeat(np.cumsum(ids[: len(ids) // 2]), ids[len(ids) // 2 :])
         first = np.cumsum(size) - size
         gram = np.ascontiguousarray(raw[(first + at)[:, None] + np.arange(GRAM)]).view("<u8")
-        h = mix(gram[:, 0] ^ mix(gram[:, 1] + np.uint64(1)))
+        h = gram_hash(gram[:, 0].astype(np.uint64), gram[:, 1].astype(np.uint64))
         if shares > 1:
             own = mix(h + np.uint64(1)) % np.uint64(shares) == share
             raw = raw[np.repeat(own, size)]
             windows, ordinal, place, size, docs, h = (x[own] for x in (windows, ordinal, place, size, docs, h))
             first = np.cumsum(size) - size
-        columns.append((raw, np.full(len(h), run), ordinal, place, first + base, size, docs, h))
+            at = at[own]
+        columns.append((raw, np.full(len(h), run), ordinal, place, first + base, size, docs, h, at.astype(np.int64)))
         base += len(raw)
-    raw, run, ordinal, place, first, size, doc, h = (np.concatenate(c) for c in zip(*columns, strict=True))
-
-    def meeting(at: np.ndarray) -> np.ndarray:
-        """Those whose gram stands in more than one document, gram by gram."""
-        at = at[np.argsort(h[at], kind="stable")]
-        if not len(at):
-            return at
-        cuts = np.flatnonzero(np.concatenate([[True], h[at[1:]] != h[at[:-1]]]))
-        apart = np.minimum.reduceat(doc[at], cuts) < np.maximum.reduceat(doc[at], cuts)
-        return at[np.repeat(apart, np.diff(np.append(cuts, len(at))))]
-
-    met = np.sort(meeting(np.arange(len(h))))
+    raw, run, ordinal, place, first, size, doc, h, at = (np.concatenate(c) for c in zip(*columns, strict=True))
+    met = np.flatnonzero(in_several(h, doc))
     later = later_copies(raw, first[met], size[met], doc[met])
-    gone = met[later]
-    rest = meeting(met[~later])
+    gone, rest = met[later], met[~later]
+    rest = rest[in_several(h[rest], doc[rest])]
+    # a window reaches half of its other bytes to one side of the gram at least, so it needs company on that side
+    half = GRAM + (length - GRAM + 1) // 2
+    company = np.zeros(len(rest), bool)
+    for begin in (at[rest], at[rest] + GRAM - half):
+        able = np.flatnonzero((begin >= 0) & (begin + half <= size[rest]))
+        own = rest[able]
+        side = gathered_bytes(raw, first[own] + begin[able], np.full(len(own), half))
+        company[able] |= in_several(string_hashes(side, np.arange(len(own)) * half, np.full(len(own), half)), doc[own])
+    rest = rest[company]
+    rest = rest[np.argsort(h[rest], kind="stable")]
     out = [(run[gone], ordinal[gone], place[gone], place[gone] + size[gone])]
     # whole grams together, in portions
     cuts = np.flatnonzero(np.concatenate([[True], h[rest[1:]] != h[rest[:-1]]])) if len(rest) else np.zeros(0, np.int64)
@@ -362,7 +393,7 @@ def compared(blobs: list[tuple[int, bytes]], length: int, share: int, shares: in
         own = rest[cuts[a] : ends[b - 1]]
         own = own[np.lexsort((place[own], ordinal[own], run[own], doc[own]))]
         n = size[own]
-        data = raw[np.repeat(first[own], n) + group_starts(n)]
+        data = gathered_bytes(raw, first[own], n)
         windows = n - length + 1
         within = group_starts(windows)
         starts = np.repeat(np.cumsum(n) - n, windows) + within
