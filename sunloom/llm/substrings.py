@@ -26,10 +26,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sunloom.llm.words import STEP, batches, group_starts, mix, powers
+from sunloom.llm.words import STEP, batches, group_starts, mix, run_hashes
 
 LENGTH = 50
-GRAM = 16
+GRAM = 12
 #: bytes of text that are cut into fragments together, and by which buckets are dealt
 RUN_BYTES, BUCKET_BYTES = 16 << 20, 8 << 20
 #: bytes of fragments that are compared at a time, and of those whose suffixes are sorted together
@@ -47,12 +47,12 @@ def grams(raw: np.ndarray) -> np.ndarray:
     n = len(raw) - GRAM + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    word = np.ndarray((n + 8,), "<u8", raw, strides=(1,)).astype(np.uint64)
-    return gram_hash(word[:n], word[8:])
+    word = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,)).astype(np.uint64)
+    return gram_hash(word[:n], word[GRAM - 8 :])
 
 
 def gram_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Of the two halves of a gram as numbers."""
+    """Of the first and the last eight bytes of a gram as numbers."""
     h = (first ^ (first >> np.uint64(31))) * STEP + second
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
@@ -108,20 +108,9 @@ def fragments(raw: np.ndarray, bounds: np.ndarray, last: np.ndarray, length: int
     return first, stop - first, at, h[first + at]
 
 
-def string_hashes(raw: np.ndarray, first: np.ndarray, size: np.ndarray, block: int = 256 << 10) -> np.ndarray:
+def string_hashes(raw: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Hash of each of the strings ``raw[first:first + size]``, which come in the order of ``first``."""
-    out = np.empty(len(first), np.uint64)
-    a = 0
-    while a < len(first):
-        b = max(a + 1, int(np.searchsorted(first, first[a] + block)))
-        begin, end = int(first[a]), int((first[a:b] + size[a:b]).max())
-        up, down = powers(end - begin + 1)
-        total = np.zeros(end - begin + 1, np.uint64)
-        np.cumsum(_BYTES[raw[begin:end]] * up[: end - begin], out=total[1:])
-        at = first[a:b] - begin
-        out[a:b] = mix((total[at + size[a:b]] - total[at]) * down[at] + size[a:b].astype(np.uint64))
-        a = b
-    return out
+    return mix(run_hashes(lambda a, b: _BYTES[raw[a:b]], first, first + size) + size.astype(np.uint64))
 
 
 def equal_strings(raw: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, block: int = 4 << 20) -> np.ndarray:
@@ -219,7 +208,7 @@ def earlier_factors(data: np.ndarray, starts: np.ndarray, doc: np.ndarray, lengt
     return out
 
 
-_SQUEEZE = zstandard.ZstdCompressor(level=3)
+_SQUEEZE = zstandard.ZstdCompressor(level=6)
 _EXPAND = zstandard.ZstdDecompressor()
 #: columns of a packed set of fragments: bytes, windows, offset of the gram, steps of ordinal and of place, documents' steps
 _FRAGMENTS = ("<u1", "<i4", "<i4", "<i4", "<i8", "<i8")
@@ -357,8 +346,8 @@ def compared(blobs: list[tuple[int, bytes]], length: int, share: int, shares: in
         ordinal, place, size = np.cumsum(ordinal), np.cumsum(place), windows.astype(np.int64) + length - 1
         docs = np.repeat(np.cumsum(ids[: len(ids) // 2]), ids[len(ids) // 2 :])
         first = np.cumsum(size) - size
-        gram = np.ascontiguousarray(raw[(first + at)[:, None] + np.arange(GRAM)]).view("<u8")
-        h = gram_hash(gram[:, 0].astype(np.uint64), gram[:, 1].astype(np.uint64))
+        word = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+        h = gram_hash(word[first + at].astype(np.uint64), word[first + at + GRAM - 8].astype(np.uint64))
         if shares > 1:
             own = mix(h + np.uint64(1)) % np.uint64(shares) == share
             raw = raw[np.repeat(own, size)]
@@ -485,7 +474,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, **sizes: int) -> Dat
     than ``length`` bytes lose nothing. Only strings in smaller doc_ids count, null is
     the greatest; rows of one doc_id, repeated rows among them, take nothing from each
     other, and repetition within one text stays. Very long texts are compared in pieces
-    that overlap. ``length`` is 17 at least. An empty table gives no rows.
+    that overlap. ``length`` is 13 at least. An empty table gives no rows.
     """
     if length <= GRAM:
         raise ValueError(f"length must be above {GRAM}")
