@@ -101,7 +101,7 @@ class Block:
     def met_at(self, anchors: np.ndarray) -> np.ndarray:
         """For each anchor and row, the least depth at which sorted access meets the row."""
         n = len(self.ids)
-        met = np.full((len(anchors), n), n, np.int32)
+        met = np.full((len(anchors), n), n - 1, np.int32)  # an anchor of zeros has no lists to go down
         for d in range(anchors.shape[1]):
             sign = np.sign(anchors[:, d])
             up, down = np.flatnonzero(sign > 0), np.flatnonzero(sign < 0)
