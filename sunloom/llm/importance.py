@@ -57,6 +57,8 @@ def crc_of_equal(matrix: np.ndarray) -> np.ndarray:
 def crc_of(flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """CRC-32 of strings that lie one after the other in ``flat``, in ascending order of length."""
     out = np.empty(len(lengths), np.uint32)
+    if not len(lengths):
+        return out
     sizes, first = np.unique(lengths, return_index=True)
     at = 0
     for size, begin, end in zip(sizes.tolist(), first.tolist(), [*first[1:].tolist(), len(lengths)], strict=True):
