@@ -6,9 +6,10 @@ once; what is done per word occurrence is done by Arrow and NumPy.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -116,16 +117,42 @@ _BACK = np.uint64(pow(int(STEP), -1, 1 << 64))
 _BYTES = np.random.default_rng(20_240_607).integers(0, 1 << 64, 256, np.uint64, endpoint=False) | np.uint64(1)
 _BYTES[_IS_SPACE] = 0
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: values that are summed together; the table of powers is as long, unless one run is longer
+SUMMED = 1 << 18
 
 
 def powers(n: int) -> list[np.ndarray]:
-    """Powers of STEP and of its inverse, at least ``n`` of each; kept for the next call."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((STEP, _BACK)):
-            steps = np.full(max(n, 1 << 20), base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    return _powers
+    """Powers of STEP and of its inverse, at least ``n`` of each; a table of SUMMED is kept for the next call."""
+    if len(_powers[0]) >= n:
+        return _powers
+    made = []
+    for base in (STEP, _BACK):
+        steps = np.full(max(n, SUMMED), base, np.uint64)
+        steps[0] = 1
+        made.append(np.cumprod(steps))
+    if n <= SUMMED:
+        _powers[:] = made
+    return made
+
+
+def run_hashes(values: Callable[[int, int], np.ndarray], first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hash of each run ``first[i]:last[i]`` of a row of numbers: a polynomial mod 2**64 over its numbers.
+
+    Runs come in the order of ``first``; ``values`` gives the numbers of a range. Prefix
+    sums over bounded stretches give the hashes of all runs that begin in one.
+    """
+    out = np.empty(len(first), np.uint64)
+    a = 0
+    while a < len(first):
+        b = max(a + 1, int(np.searchsorted(first, first[a] + SUMMED // 2)))
+        begin, end = int(first[a]), int(last[a:b].max())
+        up, down = powers(end - begin + 1)
+        total = np.zeros(end - begin + 1, np.uint64)
+        np.cumsum(values(begin, end) * up[: end - begin], out=total[1:])
+        at = first[a:b] - begin
+        out[a:b] = (total[last[a:b] - begin] - total[at]) * down[at]
+        a = b
+    return out
 
 
 @dataclass
@@ -169,10 +196,7 @@ def hash_words(column: pa.Array) -> HashedWords:
         starts[inner] = solid[inner]
         stops[inner - 1] = solid[inner - 1]
     first, last = np.flatnonzero(starts), np.flatnonzero(stops) + 1
-    up, down = powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTES[raw] * up[: len(raw)], out=total[1:])
-    run = (total[last] - total[first]) * down[first]
+    run = run_hashes(lambda a, b: _BYTES[raw[a:b]], first, last)
     return HashedWords(mix(run ^ mix((last - first).astype(np.uint64))), np.searchsorted(first, begin), first, last, raw, begin)
 
 
@@ -264,13 +288,25 @@ def tokens(path: str, plain_specials: bool = False) -> Tokens:
     return Tokens(path, plain_specials)
 
 
-def batches(source: Iterator[pa.RecordBatch], rows: int = 2_000, size: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+def give_back() -> None:
+    """Return what a Python worker holds unused, which lives on for many tasks, to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def batches(source: Iterator[pa.RecordBatch], rows: int = 2_000, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Batches of bounded rows and bytes; a single row may be longer."""
-    for batch in source:
-        at = 0
-        while at < len(batch):
-            part = batch.slice(at, rows)
-            while len(part) > 1 and part.nbytes > size:
-                part = part.slice(0, max(1, len(part) // 2))
-            yield part
-            at += len(part)
+    try:
+        for batch in source:
+            at = 0
+            while at < len(batch):
+                part = batch.slice(at, rows)
+                while len(part) > 1 and part.nbytes > size:
+                    part = part.slice(0, max(1, len(part) // 2))
+                yield part
+                at += len(part)
+    finally:
+        give_back()
