@@ -80,15 +80,20 @@ def source_weights(sizes: DataFrame, cycle: tuple[float, ...]) -> DataFrame:
     return sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, cycle)), (place % len(cycle) + 1).cast("int")))
 
 
-def mix_documents(docs: DataFrame, cycle: tuple[float, ...] = (5, 2, 1), share: float = 1.5, max_epochs: int = 2, seed: int = 17) -> DataFrame:
-    """One row per document: doc_id, size, source, source_size, target, epochs, taken.
+def mix_documents(
+    docs: DataFrame, cycle: tuple[float, ...] = (5, 2, 1), share: float = 1.5, max_epochs: int = 2, seed: int = 17, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """One row per document: doc_id, size, source, source_size, target, epochs, taken, and the columns ``carry``.
 
     Null text has size 0; a null source is a source of its own. Repeated doc_ids share
-    their place in the order. An empty table gives no rows. Other columns are not read.
+    their hash in the order and are told apart by their size and by ``carry``, so each row
+    has a place of its own. A very long text counts by its words alone. An empty table gives
+    no rows. Columns but those of ``carry`` are not read, so none can clash.
     """
-    slim = stored(docs.select("doc_id", "source", word_count("text").alias("size")))
+    slim = stored(docs.select("doc_id", "source", word_count("text").alias("size"), *carry))
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     total = F.sum("source_size") * F.lit(share)
     targets = water_fill(source_weights(sizes, cycle), total, max_epochs)
-    mixed = mix(slim, "size", "source", F.broadcast(targets), seeded_key(seed, F.col("doc_id")), [F.col("doc_id"), F.col("size")])
+    order = [F.col("doc_id"), F.col("size"), *(F.col(c) for c in carry)]
+    mixed = mix(slim, "size", "source", F.broadcast(targets), seeded_key(seed, F.col("doc_id")), order)
     return mixed.withColumn("taken", F.col("epochs") * F.col("size"))

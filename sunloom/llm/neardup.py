@@ -83,17 +83,20 @@ def list_column(sets: list[np.ndarray], size: int | None = None) -> pa.ListArray
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(kept)))
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_hash, sieve and its first values (scouts) of every row."""
+def sketches(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, set_hash, sieve and its first values (scouts) of every row, and the columns ``carry``."""
+    names = ["doc_id", *carry]
+
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source):
             sets = shingle_sets(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) for s in sets], pa.binary()), list_column(sets, SIEVE), list_column(sets, SCOUTS)],
-                names=["doc_id", "n_shingles", "set_hash", "sieve", "scouts"],
+                [*(batch.column(c) for c in names), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) for s in sets], pa.binary()), list_column(sets, SIEVE), list_column(sets, SCOUTS)],
+                names=[*names, "n_shingles", "set_hash", "sieve", "scouts"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, sieve array<long>, scouts array<long>")
+    carried = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in names)
+    return docs.select(*names, "text").mapInArrow(run, f"{carried}n_shingles long, set_hash binary, sieve array<long>, scouts array<long>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -257,17 +260,22 @@ def linked(lists: DataFrame, hashes: DataFrame, k: int, link: tuple[int, int], s
     return labels
 
 
-def near_duplicates(docs: DataFrame, k: int = SKETCH, link: tuple[int, int] = LINK) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = SKETCH, link: tuple[int, int] = LINK, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row.
 
+    With columns to ``carry``, such as a key of rows that share a doc_id, these and
+    component_row are added: a number that the rows of one component have in common
+    (null without words).
+
     Texts without words (null, empty, white space) have empty sets and link with nothing.
     Rows with equal sets are linked whatever their doc_id. component_id is the smallest
     doc_id of the component (nulls last; null if it has none) and ``kept`` is
     doc_id = component_id, so repeated rows with the smallest doc_id are all kept and a
-    row without doc_id is kept where no other is linked. Other columns are not read.
+    row without doc_id is kept where no other is linked. A very long text is hashed in
+    bounded stretches; its set is held by one task. Other columns are not read.
     """
     stored = Steps(docs.sparkSession)
-    table = stored(sketches(docs).withColumn("row", F.monotonically_increasing_id()))
+    table = stored(sketches(docs, carry).withColumn("row", F.monotonically_increasing_id()))
     filled = table.filter("n_shingles > 0").select("row", "doc_id", "set_hash")
     classes = stored(filled.groupBy("set_hash").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")))
     first = table.select("row", "n_shingles", "scouts").join(classes.select(F.col("node").alias("row")), "row")
@@ -283,7 +291,8 @@ def near_duplicates(docs: DataFrame, k: int = SKETCH, link: tuple[int, int] = LI
     labels = linked(lists, hashes, k, link, stored)
     named = classes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("least").alias("component"))
-    of_class = named.join(least, "comp").select("set_hash", "component")
-    out = table.select("doc_id", "n_shingles", "set_hash").join(of_class, "set_hash", "left")
+    of_class = named.join(least, "comp").select("set_hash", "component", F.col("comp").alias("component_row"))
+    out = table.select("doc_id", *carry, "n_shingles", "set_hash").join(of_class, "set_hash", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return stored.finish(out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")))
+    more = [*carry, F.when(F.col("n_shingles") > 0, F.col("component_row")).alias("component_row")] if carry else []
+    return stored.finish(out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *more))

@@ -456,7 +456,8 @@ def test_ordinal_fit_recovers_ordered_grades():
 @pytest.mark.parametrize("name", list(SQL))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{SMALL}/documents.parquet'")
+    for t in ("documents", "embeddings", "benchmark"):
+        con.execute(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
     want = con.execute(SQL[name])
     columns = sorted(d[0] for d in want.description)
     index = {d[0]: i for i, d in enumerate(want.description)}
