@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sunloom.llm.words import chain, group_starts, hash_words, mix
+from sunloom.llm.words import chain, group_starts, hash_words, mix, trimmed
 
 PARTS = 3
 #: cells of each part of the stored sketch
@@ -236,4 +236,4 @@ def fingerprint_documents(docs: DataFrame, rows_a_bucket: int = 2_000, together:
         if ids:
             yield flush()
 
-    return with_next(docs, rows_a_bucket).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return with_next(docs, rows_a_bucket).mapInArrow(trimmed(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

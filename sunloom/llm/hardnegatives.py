@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sunloom.llm.words import Steps
+from sunloom.llm.words import Steps, trimmed
 
 POSITIVES, NEGATIVES = 5, 10
 #: a negative's score lies between these per cents of its positive's
@@ -237,7 +237,7 @@ def best_of(candidates: DataFrame, anchors: np.ndarray, labels: np.ndarray, low:
                 names=["anchor", "window", "score", "id"],
             )
 
-    out = candidates.mapInArrow(run, "anchor int, window int, score long, id long")
+    out = candidates.mapInArrow(trimmed(run), "anchor int, window int, score long, id long")
     order = Window.partitionBy("anchor", "window").orderBy(F.col("score").desc(), F.col("id").asc_nulls_last())
     return out.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sunloom.llm.ordinals import bucket_count
-from sunloom.llm.words import batches, group_starts, plain, stored
+from sunloom.llm.words import batches, group_starts, plain, stored, trimmed
 
 BUCKETS = 10_000
 SEED = 7
@@ -138,7 +138,7 @@ def bucket_counts(texts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
 
     out = np.zeros(buckets, np.int64)
-    for r in texts.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in texts.select("text").mapInArrow(trimmed(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[r["bucket"]] = r["n"]
     return out
 
@@ -163,7 +163,7 @@ def weigh(docs: DataFrame, gains: np.ndarray) -> DataFrame:
             weight = np.where(n > 0, total // np.maximum(n, 1), 0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x.astype(np.int64)) for x in (words, n, weight))], names=["doc_id", "n_words", "n_features", "weight"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_features long, weight long")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, n_words long, n_features long, weight long")
 
 
 def noisy_score(weight: str, doc_id: str, seed: int) -> F.Column:

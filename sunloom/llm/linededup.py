@@ -23,14 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sunloom.llm.substrings import gathered, merged, packed, steps_of, unpacked
-from sunloom.llm.words import batches, chain, hash_words, mix, run_hashes
+from sunloom.llm.words import batches, chain, hash_words, mix, run_hashes, trimmed
 
 LINES = 3
 MIN_WORDS = 15
 #: so many words in a row hold the end of a line at least; 6 * FOLD <= 51 for the promise on 50 words
 FOLD = 8
 #: windows of a task that are sorted together, and bytes of text by which buckets are dealt
-RUN_WINDOWS, BUCKET_BYTES = 750_000, 32 << 20
+RUN_WINDOWS, BUCKET_BYTES = 400_000, 16 << 20
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?")] = True
 
@@ -163,7 +163,7 @@ def cut(docs: DataFrame, lines: int, min_words: int, buckets: int) -> DataFrame:
         if now.size:
             yield from out()
 
-    return docs.select("id", "tag", "text").mapInArrow(run, "bucket int, run long, kind int, blob binary")
+    return docs.select("id", "tag", "text").mapInArrow(trimmed(run), "bucket int, run long, kind int, blob binary")
 
 
 def match(cuts: DataFrame) -> DataFrame:
@@ -200,7 +200,7 @@ def match(cuts: DataFrame) -> DataFrame:
         if blobs:
             yield from rows(blobs)
 
-    return cuts.mapInArrow(run, "run long, kind int, blob binary")
+    return cuts.mapInArrow(trimmed(run), "run long, kind int, blob binary")
 
 
 def later_spans(docs: DataFrame, lines: int, min_words: int) -> DataFrame:
@@ -277,4 +277,4 @@ def dedup_lines(docs: DataFrame, lines: int = LINES, min_words: int = MIN_WORDS)
             yield pa.RecordBatch.from_arrays([*columns, *counts], names=[*names, "removed_runs", "removed_words"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return joined.mapInArrow(run, f"{schema}, removed_runs long, removed_words long")
+    return joined.mapInArrow(trimmed(run), f"{schema}, removed_runs long, removed_words long")

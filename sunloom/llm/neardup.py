@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sunloom.llm.words import Steps, batches, chain, hash_words
+from sunloom.llm.words import Steps, batches, chain, hash_words, trimmed
 
 WIDTH = 5
 #: values of the long sketches, of the sketches of all documents, and of their first sifting
@@ -96,7 +96,7 @@ def sketches(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
             )
 
     carried = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in names)
-    return docs.select(*names, "text").mapInArrow(run, f"{carried}n_shingles long, set_hash binary, sieve array<long>, scouts array<long>")
+    return docs.select(*names, "text").mapInArrow(trimmed(run), f"{carried}n_shingles long, set_hash binary, sieve array<long>, scouts array<long>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
             sets = shingle_sets(batch.column("text"))
             yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in sets], pa.binary()), list_column(sets)], names=["set_hash", "hashes"])
 
-    return docs.select("text").mapInArrow(run, "set_hash binary, hashes array<long>")
+    return docs.select("text").mapInArrow(trimmed(run), "set_hash binary, hashes array<long>")
 
 
 def prefix_length(n: Column, k: int, link: tuple[int, int]) -> Column:
@@ -178,7 +178,7 @@ def passing(pairs: DataFrame, hashes: DataFrame, test, k: int, link: tuple[int,
 
     of_a = hashes.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
     of_b = hashes.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
-    return pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
+    return pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "ha", "hb").mapInArrow(trimmed(run), "a long, b long")
 
 
 def components(edges: DataFrame, stored: Steps) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sunloom.llm.ordinals import bucket_count, with_ordinals
-from sunloom.llm.words import batches, group_starts, stored, tokens
+from sunloom.llm.words import batches, group_starts, stored, tokens, trimmed
 
 CAPACITY = 4096
 
@@ -191,7 +191,7 @@ def pack(pieces: DataFrame, key: list[str], capacity: int = CAPACITY) -> DataFra
             )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return numbered.select(*columns, "_rank").mapInArrow(look_up, f"{schema}, sequence_id long, offset long")
+    return numbered.select(*columns, "_rank").mapInArrow(trimmed(look_up), f"{schema}, sequence_id long, offset long")
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, end: int = 1, capacity: int = CAPACITY) -> DataFrame:
@@ -217,7 +217,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end: int = 1, capacity: int =
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, end: int = 1, capacity: int = CAPACITY) -> DataFrame:

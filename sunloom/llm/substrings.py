@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sunloom.llm.words import STEP, batches, group_starts, mix, run_hashes
+from sunloom.llm.words import STEP, batches, group_starts, mix, run_hashes, trimmed
 
 LENGTH = 50
 GRAM = 12
@@ -74,7 +74,7 @@ def common_slots(docs: DataFrame, rows: int, sample: int = SAMPLE) -> list[int]:
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["slot", "n"])
 
     share = min(1.0, max(sample, rows / 5_000) / max(1, rows))
-    counts = docs.sample(share, seed=1).select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    counts = docs.sample(share, seed=1).select("text").mapInArrow(trimmed(run), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     return [r["slot"] for r in counts.filter(F.col("n") >= COMMON).orderBy(F.col("n").desc(), "slot").limit(MOST_COMMON).collect()]
 
 
@@ -334,7 +334,7 @@ def cut(texts: DataFrame, last: list[int], length: int, buckets: int, run_bytes:
         if now.texts:
             yield from out()
 
-    return texts.select("id", "tag", "text").mapInArrow(run, "bucket int, run long, kind int, blob binary")
+    return texts.select("id", "tag", "text").mapInArrow(trimmed(run), "bucket int, run long, kind int, blob binary")
 
 
 def compared(blobs: list[tuple[int, bytes]], length: int, share: int, shares: int) -> tuple[np.ndarray, ...]:
@@ -422,7 +422,7 @@ def match(cuts: DataFrame, length: int) -> DataFrame:
         if blobs:
             yield from rows(blobs)
 
-    return cuts.mapInArrow(run, "run long, kind int, blob binary")
+    return cuts.mapInArrow(trimmed(run), "run long, kind int, blob binary")
 
 
 def gathered(found: DataFrame) -> DataFrame:
@@ -449,7 +449,7 @@ def gathered(found: DataFrame) -> DataFrame:
         if blobs:
             yield from rows(blobs)
 
-    return found.mapInArrow(run, "id long, tag long, spans array<long>")
+    return found.mapInArrow(trimmed(run), "id long, tag long, spans array<long>")
 
 
 def repeated_spans(texts: DataFrame, length: int, run_bytes: int = RUN_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -501,4 +501,4 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, **sizes: int) -> Dat
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *counts, spans, pa.array(kept, pa.binary())], names=[*names, *_OUTPUT])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return joined.mapInArrow(run, f"{schema}, n_bytes long, n_removed long, n_spans long, removed array<struct<first: long, size: long>>, kept binary")
+    return joined.mapInArrow(trimmed(run), f"{schema}, n_bytes long, n_removed long, n_spans long, removed array<struct<first: long, size: long>>, kept binary")

@@ -19,7 +19,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sunloom.llm.words import batches, remove, stored, tokens
+from sunloom.llm.words import batches, remove, stored, tokens, trimmed
 from sunloom.session import ensure_checkpoint_dir
 
 ID_BYTES = 2
@@ -54,7 +54,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end: int) -
         if out is not None:
             out.close()
 
-    return stored(docs.select("doc_id", "text").mapInArrow(run, "file string, nth long, doc_id long"))
+    return stored(docs.select("doc_id", "text").mapInArrow(trimmed(run), "file string, nth long, doc_id long"))
 
 
 def blocks(spark: SparkSession, folder: str, files: DataFrame, block_tokens: int) -> DataFrame:
@@ -67,7 +67,7 @@ def blocks(spark: SparkSession, folder: str, files: DataFrame, block_tokens: int
                 at = np.arange(0, size, block_tokens)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(np.arange(len(at))), pa.array(at)], names=["file", "block", "at"])
 
-    return files.select("file").mapInArrow(run, "file string, block long, at long")
+    return files.select("file").mapInArrow(trimmed(run), "file string, block long, at long")
 
 
 def separator_scan(spark: SparkSession, folder: str, files: DataFrame, end: int, block_tokens: int = 1 << 20) -> DataFrame:
@@ -109,7 +109,7 @@ def separator_scan(spark: SparkSession, folder: str, files: DataFrame, end: int,
     schema = "file string, block long, at long"
     listed = blocks(spark, folder, files, block_tokens)
     spread = listed.repartition("file", "block")
-    found = stored(spread.mapInArrow(summary, f"{schema}, ends long, tail long"))
+    found = stored(spread.mapInArrow(trimmed(summary), f"{schema}, ends long, tail long"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     # tails add up from the last block that has an end; its own tail is the first of them
     run_of = F.sum(F.when(F.col("ends") > 0, 1).otherwise(0)).over(Window.partitionBy("file").orderBy("block"))
@@ -120,7 +120,7 @@ def separator_scan(spark: SparkSession, folder: str, files: DataFrame, end: int,
         F.coalesce(F.lag("until").over(Window.partitionBy("file").orderBy("block")), F.lit(0)).alias("carried"),
         F.lead("block").over(Window.partitionBy("file").orderBy("block")).isNull().alias("last"),
     )
-    return scanned.repartition("file", "block").mapInArrow(documents, "file string, nth long, start long, n_tokens long, complete boolean")
+    return scanned.repartition("file", "block").mapInArrow(trimmed(documents), "file string, nth long, start long, n_tokens long, complete boolean")
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, end: int, block_tokens: int = 1 << 20) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sunloom.llm.words import batches, hash_strings, split_words
+from sunloom.llm.words import batches, hash_strings, split_words, trimmed
 
 #: labelled documents that the fit sees at most
 FIT_ROWS = 8_000
@@ -146,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, features: int
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *lists], names=["doc_id", "toxic", "feature", "count"])
 
     known = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    sample = known.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "doc_id long, toxic int, feature array<long>, count array<int>")
+    sample = known.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(trimmed(run), "doc_id long, toxic int, feature array<long>, count array<int>")
     table = sample.toArrow().sort_by("doc_id").combine_chunks()
     toxic = (table["toxic"].to_numpy() > 0).astype(int)
     if not len(toxic) or toxic.min() == toxic.max():
@@ -190,4 +190,4 @@ def score(docs: DataFrame, model: OrdinalModel, reject_above: float = 0.5) -> Da
             )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, severity double, grade int, kept boolean")
+    return docs.mapInArrow(trimmed(run), f"{schema}, severity double, grade int, kept boolean")

@@ -297,16 +297,24 @@ def give_back() -> None:
         pass
 
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same work on a task's batches; what it held is given back when it ends."""
+    def inner(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(source)
+        finally:
+            give_back()
+
+    return inner
+
+
 def batches(source: Iterator[pa.RecordBatch], rows: int = 2_000, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Batches of bounded rows and bytes; a single row may be longer."""
-    try:
-        for batch in source:
-            at = 0
-            while at < len(batch):
-                part = batch.slice(at, rows)
-                while len(part) > 1 and part.nbytes > size:
-                    part = part.slice(0, max(1, len(part) // 2))
-                yield part
-                at += len(part)
-    finally:
-        give_back()
+    for batch in source:
+        at = 0
+        while at < len(batch):
+            part = batch.slice(at, rows)
+            while len(part) > 1 and part.nbytes > size:
+                part = part.slice(0, max(1, len(part) // 2))
+            yield part
+            at += len(part)
