@@ -2,10 +2,12 @@
 
 A configuration says how many pieces of each length share one sequence. The program
 asks for the least number of sequences whose configurations cover the histogram of
-lengths. It is solved by multiplicative weights: each step finds the most valuable
-configuration at the present prices by knapsack dynamic programming, uses it, and
-lowers the prices of the lengths it covers. The solution is rounded down, the rest
-is solved again, and what rounding leaves in the end is packed best fit. All of this
+lengths. It is solved by multiplicative weights: prices fall where lengths are covered, the
+most valuable configuration at the present prices is used next, and knapsack dynamic
+programming finds it; the prices also bound from below how few sequences can do, which
+tells the gap. Lengths are counted in units of 1/256 of a sequence. The
+solution is rounded to whole sequences, what that leaves is solved again, and the last pieces,
+the shortest among them, are packed best fit into the room that is left over. All of this
 works on the histogram (one number per length), so its cost and the size of the plan
 depend on the capacity and not on the number of documents. The pieces themselves stay
 in Spark: they are numbered within their length and look up their place.
@@ -14,7 +16,7 @@ in Spark: they are numbered within their length and look up their place.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,16 +38,11 @@ class Group:
     times: int
 
 
-def price_knapsack(lengths: np.ndarray, prices: np.ndarray, most: np.ndarray, capacity: int, width: int = 384) -> np.ndarray:
-    """How many of each length the best configuration has, at most ``most`` of each.
-
-    Dynamic program over capacity; the ``width`` lengths of the best price per token
-    take part, which the best configuration is nearly always made of.
-    """
-    best = np.argsort(-prices / lengths, kind="stable")[:width]
+def price_knapsack(lengths: np.ndarray, prices: np.ndarray, most: np.ndarray, capacity: int) -> np.ndarray:
+    """How many of each length the best configuration has, at most ``most`` of each; dynamic program over capacity."""
     value = np.zeros(capacity + 1)
     moves: list[tuple[int, int, np.ndarray]] = []
-    for k in best:
+    for k in np.argsort(-prices / lengths, kind="stable"):
         left, n, length = min(int(most[k]), capacity // int(lengths[k])), 1, int(lengths[k])
         while left > 0:  # 1, 2, 4, ... of a kind make every number up to the bound
             n = min(n, left)
@@ -67,26 +64,50 @@ def price_knapsack(lengths: np.ndarray, prices: np.ndarray, most: np.ndarray, ca
     return counts
 
 
-def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, steps: int, rate: float = 0.5) -> dict[tuple, float]:
-    """Multiplicative weights: configurations and how often each is used, as fractions."""
-    prices = lengths / capacity
+#: the program stops when it needs at most this many times what its prices show to be needed
+GAP = 1.05
+#: how full a sequence of each phase is at least
+FULL = (0.9995, 0.9995, 0.999, 0.998, 0.995, 0.99, 0.97, 0.9, 0.8, 0.6)
+#: units of a sequence in which the program counts lengths
+UNITS = 256
+
+
+def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP, most_priced: int = 120, uses: int = 80, rate: float = 0.25) -> tuple[np.ndarray, np.ndarray, float]:
+    """Configurations (one a row), how often each is used as fractions, and the gap reached.
+
+    Every length is covered in full. A round prices one new configuration and then uses
+    those known, the most valuable at a time, ``uses`` times.
+    """
+    known = np.diag(np.minimum(demand, capacity // lengths))  # one kind alone, so that each is covered at all
+    used = np.zeros(len(known))
+    price = lengths / capacity
     covered = np.zeros(len(lengths))
-    used: dict[tuple, float] = {}
-    for _ in range(steps):
-        counts = price_knapsack(lengths, prices, demand, capacity)
-        has = counts > 0
-        step = (demand[has] / counts[has]).min() * rate
-        gain = np.where(has, counts * step / demand, 0.0)
-        covered += gain
-        prices = prices * np.exp(-gain)
-        prices /= prices.max()
-        key = tuple((int(length), int(n)) for length, n in zip(lengths[has], counts[has], strict=True))
-        used[key] = used.get(key, 0.0) + step
-    return {k: x / covered.max() for k, x in used.items()}
-
-
-def best_fit(histogram: np.ndarray, capacity: int) -> list[Group]:
-    """Best fit from the longest down, on runs of equal sequences."""
+    best, least = np.inf, 0.0
+    answer = used
+    for _ in range(most_priced):
+        counts = price_knapsack(lengths, price, demand, capacity)
+        least = max(least, float(price @ demand) / float(price @ counts))
+        known, used = np.vstack([known, counts]), np.append(used, 0.0)
+        share = known / demand
+        for _ in range(uses):
+            j = int(np.argmax(known @ price))
+            has = known[j] > 0
+            step = rate / share[j, has].max()
+            used[j] += step
+            covered += share[j] * step
+            price = price * np.exp(-share[j] * step)
+            price /= price.max()
+        if covered.min() > 0 and used.sum() / covered.min() < best:
+            best, answer = used.sum() / covered.min(), used / covered.min()
+        if best <= gap * least:
+            break
+    answer = np.append(answer, np.zeros(len(known) - len(answer)))
+    chosen = np.flatnonzero(answer)
+    return known[chosen], answer[chosen], best / least
+
+
+def best_fit(histogram: np.ndarray, capacity: int, begun: Sequence[Group] = ()) -> list[Group]:
+    """Best fit from the longest down, on runs of equal sequences, into those ``begun`` first."""
     open_: dict[int, list[tuple[dict[int, int], int]]] = {}
     done: list[Group] = []
     free_sizes = np.zeros(capacity + 1, bool)
@@ -98,6 +119,8 @@ def best_fit(histogram: np.ndarray, capacity: int) -> list[Group]:
         else:
             done.append(Group(tuple(sorted(items.items())), times))
 
+    for g in begun:
+        put(capacity - sum(length * n for length, n in g.items), dict(g.items), g.times)
     for length in range(capacity, 0, -1):
         left = int(histogram[length])
         while left:
@@ -122,30 +145,77 @@ def best_fit(histogram: np.ndarray, capacity: int) -> list[Group]:
     return done
 
 
-def plan(histogram: np.ndarray, capacity: int = CAPACITY, steps: int = 40, phases: int = 3, part: float = 0.5, small: int = 3_000) -> list[Group]:
-    """Groups of sequences that hold exactly the histogram (index: length).
+def taken_from(left: np.ndarray, spans: list[np.ndarray], counts: dict[int, int], times: int, capacity: int, enough: float) -> Iterator[Group]:
+    """``times`` sequences of a configuration (kind: how many) in real lengths, taken out of ``left``.
 
-    Each phase uses up at most ``part`` of any length, so that the short pieces, which
-    fill every gap, last until the end.
+    Of each kind the longest goes first; one piece, of the kind that has most left, is
+    the longest of all lengths that still fits, which takes up what rounding to kinds
+    lost. Ends early where a sequence would not be full enough. Sequences differ only where
+    a length runs out, so there are few groups.
+    """
+    free = max(counts, key=lambda k: int(left[spans[k]].sum()))
+    while times > 0:
+        items: dict[int, int] = {}
+        for kind, n in counts.items():
+            n -= kind == free
+            for length in spans[kind].tolist():
+                now = min(n, int(left[length]))
+                if now:
+                    items[length] = now
+                    n -= now
+        room = capacity - sum(length * n for length, n in items.items())
+        fits = np.flatnonzero(left[: max(room, 0) + 1])
+        while len(fits) and left[fits[-1]] <= items.get(int(fits[-1]), 0):
+            fits = fits[:-1]
+        if not len(fits) or room - int(fits[-1]) > (1 - enough) * capacity:
+            return
+        items[int(fits[-1])] = items.get(int(fits[-1]), 0) + 1
+        same = min(times, *(int(left[length]) // n for length, n in items.items()))
+        for length, n in items.items():
+            left[length] -= n * same
+        times -= same
+        yield Group(tuple(sorted(items.items())), same)
+
+
+def programmed(histogram: np.ndarray, capacity: int, full: Sequence[float] = FULL, share: float = 0.91) -> tuple[list[Group], np.ndarray]:
+    """Groups that the program places, and what is left of the histogram.
+
+    A phase solves for what is left and takes its configurations by use, each in whole
+    sequences; one of which some pieces are gone is taken without them while it is full
+    enough, which is asked less of later phases. It ends once ``share`` of the pieces are
+    placed: the shortest of the others are what fills the gaps afterwards.
     """
     left = np.array(histogram, np.int64)
+    most_left = int((1 - share) * left.sum())
+    unit = -(-capacity // UNITS)
+    whole = capacity // unit
+    kind = np.clip((np.arange(len(left)) + unit // 2) // unit, 1, whole)
+    kind[0] = 0
+    spans = [np.flatnonzero(kind == k)[::-1] for k in range(whole + 1)]
     groups: list[Group] = []
-    for _ in range(phases):
-        lengths = np.flatnonzero(left)
-        if left.sum() <= small:
+    for enough in full:
+        demand = np.bincount(kind, left, whole + 1).astype(np.int64)
+        kinds = np.flatnonzero(demand)
+        if not len(kinds) or left.sum() <= most_left:
             break
-        placed = 0
-        for items, x in sorted(fractional(lengths, left[lengths], capacity, steps).items(), key=lambda kv: -kv[1]):
-            full = sum(length * n for length, n in items) == capacity  # others wait for better company
-            times = min(int(x * part), *(int(left[length]) // n for length, n in items)) if full else 0
-            if times > 0:
-                groups.append(Group(items, times))
-                for length, n in items:
-                    left[length] -= n * times
-                placed += times
-        if not placed:
-            break
-    return groups + best_fit(left, capacity)
+        known, used, _ = fractional(kinds, demand[kinds], whole)
+        for j in np.argsort(-used, kind="stable"):
+            have = np.minimum(known[j], demand[kinds])
+            if (have * kinds).sum() < 0.9 * enough * whole:
+                continue
+            has = have > 0
+            times = min(max(1, int(used[j])), int((demand[kinds][has] // have[has]).min()))
+            groups += taken_from(left, spans, dict(zip(kinds[has].tolist(), have[has].tolist(), strict=True)), times, capacity, enough)
+            demand = np.bincount(kind, left, whole + 1).astype(np.int64)
+            if left.sum() <= most_left:
+                break
+    return groups, left
+
+
+def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> list[Group]:
+    """Groups of sequences that hold exactly the histogram (index: length)."""
+    groups, left = programmed(histogram, capacity)
+    return best_fit(left, capacity, groups)
 
 
 def places(groups: list[Group]) -> dict[str, np.ndarray]:
@@ -165,33 +235,39 @@ def places(groups: list[Group]) -> dict[str, np.ndarray]:
 def pack(pieces: DataFrame, key: list[str], capacity: int = CAPACITY) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` (long) to rows with a ``length`` from 1 to ``capacity``.
 
-    ``key`` names the columns that order pieces of one length. Rows come back with the
-    same columns; an empty table gives none. The driver gets one count per length.
+    ``key`` names columns that pieces of one length are dealt by. Equal rows are packed as
+    often as they stand. Input columns named sequence_id or offset are left out, all others
+    come back; an empty table gives no rows. The driver gets one count per length.
     """
-    pieces = stored(pieces)
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    inner = [f"c{i}" for i in range(len(names))]
+    at = f"c{names.index('length')}"
+    rows = stored(pieces.select(*(F.col(f"`{c}`").alias(i) for c, i in zip(names, inner, strict=True))))
     histogram = np.zeros(capacity + 1, np.int64)
-    for r in pieces.groupBy("length").count().collect():
-        histogram[r["length"]] = r["count"]
+    for r in rows.groupBy(at).count().collect():
+        histogram[r[at]] = r["count"]
     table = places(plan(histogram, capacity))
     n = bucket_count(int(histogram.sum()))
-    bucket = F.pmod(F.xxhash64(*key), F.lit(n))
-    numbered = with_ordinals(pieces, ["length"], bucket, [F.col(c) for c in key], "_rank")
-    columns = pieces.columns
+    keys = [f"c{names.index(k)}" for k in key]
+    # any order will do, so equal rows are dealt to all buckets
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    bucket = F.pmod(F.xxhash64(*keys, "row"), F.lit(n))
+    numbered = with_ordinals(rows, [at], bucket, [*(F.col(c) for c in keys), F.col("row")], "rank")
 
     def look_up(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = table["length"] * (1 << 40) + table["first"]
         for batch in source:
-            length, rank = (batch.column(c).to_numpy() for c in ("length", "_rank"))
-            at = np.searchsorted(first, length * (1 << 40) + rank, "right") - 1
-            within = rank - table["first"][at]
-            each = table["each"][at]
+            length, rank = (batch.column(c).to_numpy() for c in (at, "rank"))
+            place = np.searchsorted(first, length * (1 << 40) + rank, "right") - 1
+            within = rank - table["first"][place]
+            each = table["each"][place]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in columns), pa.array(table["sequence"][at] + within // each), pa.array(table["offset"][at] + within % each * length)],
-                names=[*columns, "sequence_id", "offset"],
+                [*(batch.column(c) for c in inner), pa.array(table["sequence"][place] + within // each), pa.array(table["offset"][place] + within % each * length)],
+                names=[*names, "sequence_id", "offset"],
             )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return numbered.select(*columns, "_rank").mapInArrow(trimmed(look_up), f"{schema}, sequence_id long, offset long")
+    schema = ", ".join(f"`{c}` {pieces.schema[c].dataType.simpleString()}" for c in names)
+    return numbered.select(*inner, "rank").mapInArrow(trimmed(look_up), f"{schema}, sequence_id long, offset long")
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, end: int = 1, capacity: int = CAPACITY) -> DataFrame:
@@ -221,5 +297,11 @@ def token_pieces(docs: DataFrame, vocabulary: str, end: int = 1, capacity: int =
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, end: int = 1, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of all documents with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """Pieces of all documents with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    A null or empty text is the end alone. A text of any length is cut into pieces; its
+    tokens are held by one task. Repeated rows and null doc_ids are packed as they stand, ties
+    of length go in any order, and an empty table gives no rows. Other columns are not
+    read, so none can clash.
+    """
     return pack(token_pieces(docs, vocabulary, end, capacity), ["doc_id", "piece", "ids_crc32", "start"], capacity)
