@@ -26,6 +26,8 @@ from sunloom.llm.words import batches, hash_strings, split_words, trimmed
 
 #: labelled documents that the fit sees at most
 FIT_ROWS = 8_000
+#: features of a text that the fit sees at most
+FIT_FEATURES = 2_000
 #: features that take part in the fit at most
 FEATURES = 20_000
 STEMS = (4, 5)
@@ -132,7 +134,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, features: int
     """Fit on at most ``rows`` labelled documents, chosen by a hash of doc_id.
 
     Labels without doc_id or label, and documents without text, take no part; of repeated
-    doc_ids one label, the higher, counts. With one class only, the model is the base
+    doc_ids one label, the higher, and one text count. Of a text with more than
+    ``FIT_FEATURES`` features, a very long one, those of the smallest hashes are seen, so
+    what the driver gets is bounded. Other columns are not read. With one class only, the model is the base
     rate and has no weights.
     """
     marked = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -141,13 +145,16 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, features: int
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source, rows=500):
             row, feature, count = counted(*occurrences(batch.column("text")))
+            few = np.arange(len(row)) - np.searchsorted(row, row) < FIT_FEATURES
+            row, feature, count = row[few], feature[few], count[few]
             bounds = np.searchsorted(row, np.arange(len(batch) + 1)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(x)) for x in (feature.view(np.int64), count.astype(np.int32))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *lists], names=["doc_id", "toxic", "feature", "count"])
 
     known = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     sample = known.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(trimmed(run), "doc_id long, toxic int, feature array<long>, count array<int>")
-    table = sample.toArrow().sort_by("doc_id").combine_chunks()
+    once = F.min_by(F.struct("toxic", "feature", "count"), F.xxhash64("feature", "count")).alias("s")
+    table = sample.groupBy("doc_id").agg(once).select("doc_id", "s.*").toArrow().sort_by("doc_id").combine_chunks()
     toxic = (table["toxic"].to_numpy() > 0).astype(int)
     if not len(toxic) or toxic.min() == toxic.max():
         rate = (toxic.sum() + 0.5) / (len(toxic) + 1) if len(toxic) else 0.0
@@ -175,9 +182,12 @@ def score(docs: DataFrame, model: OrdinalModel, reject_above: float = 0.5) -> Da
     """All columns of all rows with ``severity`` (double), ``grade`` (int) and ``kept``.
 
     ``severity`` is the expected grade, ``grade`` the nearest whole one. A text without
-    words (null, empty) has no sign of toxicity: severity of the base rate, kept.
+    words (null, empty) has no sign of toxicity: severity of the base rate, kept. Each row
+    stands alone, so ties and repeated rows need no rule; a very long text is one row's
+    work. Input columns named like an added one are left out; an empty table gives no rows.
     """
-    names = docs.columns
+    names = [c for c in docs.columns if c not in ("severity", "grade", "kept")]
+    docs = docs.select(*(F.col(f"`{c}`") for c in names))
     shared = docs.sparkSession.sparkContext.broadcast((model.features, model.weights, model.cuts))
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
