@@ -19,6 +19,8 @@ from math import ceil, sqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sunloom.llm.words import aside
+
 ROUNDS = 8
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: dates from the first day of one of these years to that of the next are permuted among themselves; the last range ends with 9999
@@ -195,8 +197,10 @@ def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     """All columns of all rows, the text with pseudonyms, and ``n_private`` (long), how many.
 
     Null stays null with 0; texts without a candidate stay as they are. Each row stands
-    alone, so ties and repeated rows need no rule.
+    alone, so ties and repeated rows need no rule; a very long text is one row's work. An
+    input column n_private is left out; an empty table gives no rows.
     """
+    docs, named = aside(docs, [column], ["n_private"])
     text = F.col(f"`{column}`")
     may = text.rlike("[0-9@]")
     df = docs.withColumn("_found", F.when(may, F.regexp_extract_all(text, F.lit(ANY), 0)))
@@ -204,4 +208,4 @@ def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     joined = F.array_join(F.flatten(F.zip_with(F.split(text, ANY, -1), F.zip_with("_new", "_found", lambda a, b: F.coalesce(a, b)), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
     df = df.withColumn("_text", F.when(F.size("_found") > 0, joined).otherwise(text))
     df = df.withColumn("n_private", F.coalesce(F.size(F.filter("_new", lambda x: x.isNotNull())), F.lit(0)).cast("long"))
-    return df.withColumn("n_private", F.greatest("n_private", F.lit(0))).withColumn(column, F.col("_text")).drop("_found", "_new", "_text")
+    return named(df.withColumn("n_private", F.greatest("n_private", F.lit(0))).withColumn(column, F.col("_text")))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sunloom.llm.words import SPACE
+from sunloom.llm.words import SPACE, aside
 
 MARKS_A_WORD = 0.8
 #: share of the words' characters that a document may lose with its lines
@@ -69,13 +69,19 @@ def bad_line(line: Column) -> Column:
     return punctuation | navigation | line.rlike(BOILERPLATE)
 
 
+JUDGED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_chars", "base_failed", "kept", "clean_text")
+
+
 def judge(docs: DataFrame, may_lose: float = MAY_LOSE) -> DataFrame:
     """All columns with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost_chars,
     base_failed, kept and ``clean_text`` (the good lines).
 
     A null text has no words and fails the base; its clean text is empty. Lines without a
-    word count for nothing and are not part of the clean text.
+    word count for nothing and are not part of the clean text. Each row stands alone, so
+    ties and repeated rows need no rule; a very long text is one row's work. Input columns
+    named like an added one are left out, all others come back; an empty table gives no rows.
     """
+    docs, named = aside(docs, ["text"], JUDGED)
     df = docs.withColumn("_t", F.coalesce("text", F.lit("")))
     df = df.withColumn("_w", F.filter(F.split("_t", f"[{SPACE}]+"), lambda w: w != ""))
     df = df.withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: solid(x) != ""))
@@ -90,4 +96,4 @@ def judge(docs: DataFrame, may_lose: float = MAY_LOSE) -> DataFrame:
     df = df.withColumn("lost_chars", F.col("word_chars") - good_chars)
     df = df.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     df = df.withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") <= F.lit(may_lose) * F.col("word_chars")))
-    return df.withColumn("clean_text", F.array_join("_good", "\n")).drop("_t", "_w", "_l", "_h", "_p", "_at", "_good")
+    return named(df.withColumn("clean_text", F.array_join("_good", "\n")))

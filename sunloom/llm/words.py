@@ -9,7 +9,7 @@ from __future__ import annotations
 import ctypes
 import os
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import cache
 
@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sunloom.session import ensure_checkpoint_dir
 
@@ -73,6 +74,18 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def aside(docs: DataFrame, needed: Sequence[str], outputs: Sequence[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The rows with all but the ``needed`` columns renamed, and what gives them their names back.
+
+    So no name that an operator uses inside can clash. Columns named like an output are
+    left out; the second function returns the other columns in their order and then the outputs.
+    """
+    names = [c for c in docs.columns if c not in outputs]
+    inner = [c if c in needed else f"in{i}" for i, c in enumerate(names)]
+    renamed = docs.select(*(F.col(f"`{c}`").alias(i) for c, i in zip(names, inner, strict=True)))
+    return renamed, lambda df: df.select(*(F.col(f"`{i}`").alias(c) for c, i in zip(names, inner, strict=True)), *outputs)
+
+
 @dataclass
 class Words:
     """Words of a column of texts: row i has ``codes[bounds[i]:bounds[i + 1]]`` into ``distinct``."""

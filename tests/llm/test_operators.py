@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sunloom.llm import fingerprint, linededup, mixing, neardup, packing, pii, quality, sharding, tokencounts, toxicity
 from sunloom.llm.queries import QUERIES, SQL, vocabulary
@@ -453,6 +454,47 @@ def test_ordinal_fit_recovers_ordered_grades():
     assert np.abs(w - true).max() < 0.3 and np.abs(cuts - [0.5, 2.5]).max() < 0.4 and cuts[0] < cuts[1]
 
 
+def test_columns_named_like_outputs_and_inner_ones(spark):
+    text = "Fine words stand here and end well, call +1 (939) 555-8456 now. " * 3
+    taken = {"severity": 1, "grade": 2, "kept": 3, "removed_runs": 4, "removed_words": 5, "_rank": 6, "rank": 7, "_found": 8, "_new": 9, "_text": 10, "_t": 11, "_w": 12, "n_words": 13, "n_private": 14, "sequence_id": 15, "offset": 16, "in1": 17, "c0": 18}
+    docs = spark.createDataFrame([(1, text, *taken.values()), (2, None, *taken.values())], "doc_id long, text string, " + ", ".join(f"`{c}` int" for c in taken))
+    model = toxicity.OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.array([1.0]))
+    pieces = docs.withColumns({"length": F.lit(7).cast("long")})
+    for out, added in (
+        (toxicity.score(docs, model), {"severity", "grade", "kept"}), (linededup.dedup_lines(docs), {"removed_runs", "removed_words"}),
+        (quality.judge(docs), set(quality.JUDGED)), (pii.pseudonymise(docs, "k"), {"n_private"}), (packing.pack(pieces, ["doc_id"]), {"sequence_id", "offset"}),
+    ):
+        got = {r["doc_id"]: r.asDict() for r in out.collect()}
+        assert len(out.columns) == len(set(out.columns)) and added <= set(out.columns) and set(docs.columns) <= set(out.columns)
+        for c, v in taken.items():
+            assert c in added or (got[1][c] == v and got[2][c] == v), c
+    for empty in (quality.judge(docs.limit(0)), pii.pseudonymise(docs.limit(0), "k"), toxicity.score(docs.limit(0), model)):
+        assert empty.count() == 0
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_the_program_places_nine_tenths(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    lengths = packing.token_pieces(docs, vocabulary()).groupBy("length").count().collect()
+    histogram = np.zeros(packing.CAPACITY + 1, np.int64)
+    for r in lengths:
+        histogram[r["length"]] = r["count"]
+    groups, left = packing.programmed(histogram, packing.CAPACITY)
+    assert sum(n * g.times for g in groups for _, n in g.items) == histogram.sum() - left.sum() >= 0.9 * histogram.sum()
+    sequences = sum(g.times for g in packing.best_fit(left, packing.CAPACITY, groups))
+    assert sequences <= 1.01 * -(-int(histogram @ np.arange(len(histogram))) // packing.CAPACITY) + 1
+
+
+def test_the_fractional_solution_covers_all_lengths_to_its_gap():
+    rng = np.random.default_rng(2)
+    lengths, capacity = np.sort(rng.choice(np.arange(1, 200), 30, replace=False)), 256
+    demand = rng.integers(1, 400, 30)
+    known, used, gap = packing.fractional(lengths, demand, capacity)
+    assert (known @ lengths <= capacity).all() and (used @ known >= demand * (1 - 1e-9)).all()
+    least = float(demand @ lengths) / capacity
+    assert gap <= 1.06 and least <= used.sum() + 1e-9
+
+
 @pytest.mark.parametrize("name", list(SQL))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
