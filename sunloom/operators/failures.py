@@ -99,6 +99,31 @@ def performance_multiplier(
     return active.groupBy(*by, *point_key, "component_id").agg(F.product(severity_value(PERFORMANCE_FACTORS)).alias("multiplier"))
 
 
+# minutes without a failing reading after which an outage of that severity counts as over
+OUTAGE_GAPS = {"CRITICAL": 60, "HIGH": 30, "MEDIUM": 20, "LOW": 10}
+
+
+def outage_sessions(
+    failing: DataFrame, by: Sequence[str] = ("plant_id", "component_id"), ts: str = "ts", gaps: dict[str, int] | None = None, severity: str = "severity",
+) -> DataFrame:
+    """Outages as sessions of failing readings: start_ts, end_ts, readings, worst severity, kinds.
+
+    A reading keeps its outage open for the gap of its severity, which is that of LOW for
+    any other; readings whose stretches overlap belong together, so a late one can join
+    two outages. ``end_ts`` is when the last stretch ends. Takes a table or a stream; a
+    stream needs a watermark on ``ts`` and gives an outage once the watermark has passed its end.
+    """
+    gaps = OUTAGE_GAPS if gaps is None else gaps
+    minutes = F.expr("case " + " ".join(f"when {severity} = '{n}' then '{m} minutes'" for n, m in gaps.items() if n != "LOW") + f" else '{gaps['LOW']} minutes' end")
+    rank = sum((F.when(F.col(severity) == n, i).otherwise(0) for i, n in enumerate(("MEDIUM", "HIGH", "CRITICAL"), 1)), F.lit(0))
+    sessions = failing.groupBy(*by, F.session_window(ts, minutes).alias("_s")).agg(
+        F.count(F.lit(1)).alias("readings"), F.max(rank).alias("_worst"), F.max(ts).alias("last_ts"),
+        F.array_sort(F.collect_set("failure_type")).alias("failure_types"),
+    )
+    worst = F.element_at(F.array(*map(F.lit, ("LOW", "MEDIUM", "HIGH", "CRITICAL"))), F.col("_worst") + 1)
+    return sessions.select(*by, F.col("_s.start").alias("start_ts"), F.col("_s.end").alias("end_ts"), "last_ts", "readings", worst.alias("severity"), "failure_types")
+
+
 def failure_episodes(silver: DataFrame, by: Sequence[str] = ("plant_id", "inverter_id"), ts: str = "ts", max_rows: int | None = None) -> DataFrame:
     """Runs of readings with active failures, as ``start_ts`` and ``end_ts``.
 

@@ -84,6 +84,12 @@ def asof_nearest(
     return found.select("_l.*", pick.alias("_r")).select(*left.columns, *[F.col(f"_r.{c}").alias(c) for c in payload])
 
 
+def dyadic_level(start: str, end: str) -> Column:
+    """Power of two, in microseconds, that a time interval is not longer than: the bits of its length less one."""
+    length = F.unix_micros(F.col(end).cast("timestamp")) - F.unix_micros(F.col(start).cast("timestamp"))
+    return F.length(F.bin(length - 1)).cast("int")
+
+
 def interval_join(
     points: DataFrame,
     intervals: DataFrame,
@@ -91,25 +97,25 @@ def interval_join(
     ts: str = "ts",
     start: str = "start_ts",
     end: str = "end_ts",
-    width_seconds: int | None = None,
 ) -> DataFrame:
     """Points with every interval that covers them, ``start <= ts < end``.
 
-    Intervals are listed under each time cell they touch and meet the points of the
-    cell in an equi-join, so only neighbours in time are compared. Skewed cells are
-    split by adaptive execution. The cells are as wide as the mean interval unless
-    given, so an interval is listed about twice whatever its scale.
+    An interval is listed under the time cells it touches of the least power of two
+    that is not shorter than it: two at most, whatever its length. A point asks one cell of
+    each power that occurs (a list of 63 at most, read as a scalar), so a long interval
+    among short ones adds two rows and no pairs but with points near it. Cells meet in an
+    equi-join, and skewed ones are split by adaptive execution.
     """
-    if width_seconds is None:
-        length = F.unix_micros(F.col(end).cast("timestamp")) - F.unix_micros(F.col(start).cast("timestamp"))
-        mean = intervals.filter(F.col(start) < F.col(end)).agg(F.avg(length)).first()[0]
-        width_seconds = max(1, math.ceil((mean or 0) / 1_000_000))
-    width = width_seconds * 1_000_000
-    p = points.withColumn("_c", skew.time_bucket(ts, width))
-    cells = F.sequence(skew.time_bucket(start, width), skew.time_bucket(F.col(end).cast("timestamp") - F.expr("interval 1 microsecond"), width))
-    i = intervals.filter(F.col(start) < F.col(end)).withColumn("_c", F.explode(cells))
-    joined = p.join(i, [*by, "_c"])
-    return joined.filter((F.col(start) <= F.col(ts)) & (F.col(ts) < F.col(end))).drop("_c")
+    def cell(micros: Column) -> Column:
+        return F.call_function("shiftright", micros, F.col("_level"))
+
+    live = intervals.filter(F.col(start) < F.col(end)).withColumn("_level", dyadic_level(start, end))
+    levels = live.agg(F.collect_set("_level").alias("l")).scalar()
+    p = points.withColumn("_level", F.explode(levels)).withColumn("_c", cell(F.unix_micros(F.col(ts).cast("timestamp"))))
+    touched = F.sequence(cell(F.unix_micros(F.col(start).cast("timestamp"))), cell(F.unix_micros(F.col(end).cast("timestamp")) - 1))
+    i = live.withColumn("_c", F.explode(touched))
+    joined = p.join(i, [*by, "_level", "_c"])
+    return joined.filter((F.col(start) <= F.col(ts)) & (F.col(ts) < F.col(end))).drop("_c", "_level")
 
 
 def time_gaps(df: DataFrame, by: Sequence[str], ts: str = "ts", tie: Sequence[str] = (), name: str = "gap_seconds", max_rows: int | None = None) -> DataFrame:

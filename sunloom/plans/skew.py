@@ -208,49 +208,76 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 BRACKET = 10_000
 
 
-def quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
+def quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], probs: Sequence[float], max_rows: int | None = None) -> DataFrame:
     """Exact interpolated quantiles per key: one array column per measure.
 
-    A sketch of fixed size (``percentile_approx``) brackets each wanted rank; then the
-    values below the bracket are counted and only those inside it are ordered, a few in
-    ten thousand of a key. NULL takes no part, NaN ranks above infinity, as in Spark's
-    ``percentile``; a rank between two values is interpolated, which gives NaN between
-    opposite infinities.
+    Keys that fit a task use Spark's ``percentile``. Beyond that, a sketch of fixed size (``percentile_approx``) brackets each wanted rank, one row a
+    key; then one aggregate counts the values below each bracket and tells those inside it
+    apart, a few in ten thousand of a key, which alone are put in order. NULL takes no part,
+    NaN ranks above infinity, as in Spark's ``percentile``; a rank between two values is
+    interpolated, which gives NaN between opposite infinities.
     """
-    by = list(by)
-    key = [*by, "_m"]
-    pairs = F.array(*[F.struct(F.lit(c).alias("m"), F.col(c).cast("double").alias("v")) for c in cols])
-    long = df.select(*by, F.explode(pairs).alias("_e")).select(*by, F.col("_e.m").alias("_m"), F.col("_e.v").alias("_v")).filter("_v is not null")
-    number = F.when(~F.isnan("_v"), F.col("_v"))
-    sorted_as = F.coalesce(number, F.lit(float("inf")))
-    wide = 4 / BRACKET
+    by, wide = list(by), 4 / BRACKET
+    if fits(df, by, MAX_GROUP_ROWS if max_rows is None else max_rows, None):
+        return df.groupBy(*by).agg(*(F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, probs))).alias(c) for c in cols))
+    values = [f"_v{i}" for i in range(len(cols))]
+    rows = df.select(*by, *(F.col(c).cast("double").alias(v) for c, v in zip(cols, values, strict=True)))
     ends = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-wide, wide)]
-    seen = long.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.count(number).alias("_k"), F.percentile_approx(sorted_as, ends, BRACKET).alias("_ends"), F.min(sorted_as).alias("_min"), F.max(sorted_as).alias("_max"))
-    wanted = F.array(*[
-        F.struct(
-            F.lit(i).alias("i"), ((F.col("_n") - 1) * float(p)).alias("h"),
-            # a bracket must be wider than the ranks around it; near the ends it reaches to the end
-            F.when(F.lit(p <= 2 * wide) | (F.col("_n") * wide < 4), F.col("_min")).otherwise(F.col("_ends")[2 * i]).alias("lo"),
-            F.when(F.lit(p >= 1 - 2 * wide) | (F.col("_n") * wide < 4), F.col("_max")).otherwise(F.col("_ends")[2 * i + 1]).alias("hi"),
-        )
-        for i, p in enumerate(probs)
-    ])
-    ranks = seen.select(*key, "_k", F.explode(wanted).alias("_w")).select(*key, "_k", "_w.*")
-    brackets = ranks.groupBy(*key).agg(F.collect_list(F.struct("i", "lo", "hi")).alias("_w"))
-    hit = F.filter("_w", lambda w: (F.col("_v") <= w["hi"]))
-    inside = null_safe_join(long.filter(~F.isnan("_v")), brackets, key).select(*key, "_v", F.explode(hit).alias("w"))
-    counted = inside.groupBy(*key, F.col("w.i").alias("i"), F.when(F.col("_v") >= F.col("w.lo"), F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    order = Window.partitionBy(*key, "i").orderBy(F.col("_v").asc_nulls_first())
-    running = counted.withColumn("_to", F.sum("_c").over(order)).withColumn("_from", F.col("_to") - F.col("_c"))
-    placed = null_safe_join(ranks, running, [*key, "i"], "left")
+    seen = []
+    for v in values:
+        number = F.when(~F.isnan(v), F.col(v))
+        sorted_as = F.when(F.isnan(v), float("inf")).otherwise(F.col(v))
+        seen.append(F.struct(
+            F.count(v).alias("n"), F.count(number).alias("k"), F.percentile_approx(sorted_as, ends, BRACKET).alias("ends"),
+            F.min(sorted_as).alias("least"), F.max(sorted_as).alias("most"),
+        ).alias(v))
+
+    def bracket(v: str, i: int) -> Column:
+        s, p = F.col(v), float(probs[i])
+        few = s["n"] * wide < 4
+        # a bracket must be wider than the ranks around it; near the ends it reaches to the end
+        low = F.when(F.lit(p <= 2 * wide) | few, s["least"]).otherwise(s["ends"][2 * i])
+        high = F.when(F.lit(p >= 1 - 2 * wide) | few, s["most"]).otherwise(s["ends"][2 * i + 1])
+        return F.struct(((s["n"] - 1) * p).alias("h"), s["k"].alias("k"), low.alias("lo"), high.alias("hi"))
+
+    pairs = [(j, i) for j in range(len(cols)) for i in range(len(probs))]
+    names = {(j, i): f"_b{j}_{i}" for j, i in pairs}
+    brackets = rows.groupBy(*by).agg(*seen).select(*by, *(bracket(values[j], i).alias(names[j, i]) for j, i in pairs))
+    brackets = lookup(brackets)
+    if by:
+        placed = null_safe_join(rows, brackets, by)
+    else:
+        placed = rows.withColumns({n: brackets.select(n).scalar() for n in names.values()})
+
+    def inside(j: int, i: int) -> Column:
+        v, w = F.col(values[j]), F.col(names[j, i])
+        return F.when(~F.isnan(v) & (v >= w["lo"]) & (v <= w["hi"]), F.struct(F.lit(j).alias("_j"), F.lit(i).alias("_i"), v.alias("_v")))
+
+    held = F.array_compact(F.array(*(inside(j, i) for j, i in pairs)))
+    below = [F.count_if(~F.isnan(values[j]) & (F.col(values[j]) < F.col(names[j, i])["lo"])).alias(f"_n{j}_{i}") for j, i in pairs]
+    counted = placed.groupBy(*by, held.alias("_held")).agg(F.count(F.lit(1)).alias("_c"), *below)
+    ensure_checkpoint_dir(df.sparkSession)
+    counted = counted.checkpoint()
+    under = counted.groupBy(*by).agg(*(F.sum(f"_n{j}_{i}").alias(f"_n{j}_{i}") for j, i in pairs))
+    listed = counted.select(*by, "_c", F.explode("_held").alias("_e")).groupBy(*by, "_e._j", "_e._i", "_e._v").agg(F.sum("_c").alias("_c"))
+    order = Window.partitionBy(*by, "_j", "_i").orderBy("_v")
+    running = listed.withColumn("_to", F.sum("_c").over(order)).withColumn("_from", F.col("_to") - F.col("_c"))
+    wanted = F.explode(F.array(*(F.struct(F.lit(j).alias("_j"), F.lit(i).alias("_i"), F.col(f"_n{j}_{i}").alias("_under"), F.col(names[j, i]).alias("_w")) for j, i in pairs)))
+    base = null_safe_join(under, brackets, by) if by else under.withColumns({n: brackets.select(n).scalar() for n in names.values()})
+    ranks = base.select(*by, wanted.alias("_e")).select(*by, "_e._j", "_e._i", "_e._under", F.col("_e._w.h").alias("_h"), F.col("_e._w.k").alias("_k"))
+    near = null_safe_join(ranks, running, [*by, "_j", "_i"], "left")
 
     def at(rank: Column) -> Column:
-        found = F.max(F.when((F.col("_from") <= rank) & (rank < F.col("_to")), F.col("_v")))
+        place = rank - F.col("_under")
+        found = F.max(F.when((F.col("_from") <= place) & (place < F.col("_to")), F.col("_v")))
         return F.when(F.first(rank) >= F.first("_k"), F.lit(float("nan"))).otherwise(found)
 
-    low, high = at(F.floor("h")), at(F.ceil("h"))
-    share = F.first("h") - F.floor(F.first("h"))
-    value = F.when(share == 0, low).when(low == high, low).otherwise(low * (1 - share) + high * share)
-    per_rank = placed.groupBy(*key, "i").agg(value.alias("_q"))
-    packed = per_rank.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "_q"))), lambda x: x["_q"]).alias("_qs"))
-    return packed.groupBy(*by).agg(*[F.first(F.when(F.col("_m") == c, F.col("_qs")), True).alias(c) for c in cols])
+    low, high = at(F.floor("_h")), at(F.ceil("_h"))
+    share = F.first("_h") - F.floor(F.first("_h"))
+    value = F.when(F.first("_h") < 0, None).when(share == 0, low).when(low == high, low).otherwise(low * (1 - share) + high * share)
+    per_rank = near.groupBy(*by, "_j", "_i").agg(value.alias("_q"))
+    columns = []
+    for j, c in enumerate(cols):
+        mine = F.array_sort(F.collect_list(F.when(F.col("_j") == j, F.struct("_i", "_q"))))
+        columns.append(F.when(F.exists(mine, lambda x: x["_q"].isNotNull()), F.transform(mine, lambda x: x["_q"])).alias(c))
+    return per_rank.groupBy(*by).agg(*columns)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from sunloom.functions.quality import clean
-from sunloom.operators import reads
+from sunloom.operators import failures, reads
 from sunloom.plans.medallion import SILVER, Warehouse, refresh
 from sunloom.schemas import KINDS
 from sunloom.sources import messages, tables
@@ -122,6 +122,43 @@ def hourly_energy(stream: DataFrame, delay: str = "10 minutes", samples_per_hour
     return out.select("plant_id", "inverter_id", F.col("window.start").alias("timestamp_hour"), "energy_kwh", "avg_power_kw", "record_count")
 
 
+def outage_sessions(stream: DataFrame, by: Sequence[str] = ("plant_id", "component_id"), ts: str = "ts", delay: str = "1 hour", gaps: dict[str, int] | None = None) -> DataFrame:
+    """Final outages of each component, for an append sink; a reading within the delay can still join two."""
+    return failures.outage_sessions(stream.withWatermark(ts, delay), by, ts, gaps)
+
+
+def nearest_joined(
+    left: DataFrame, right: DataFrame, tolerance: str = "30 minutes", delay: str = "1 hour", by: Sequence[str] = ("plant_id",), ts: str = "ts",
+    key: str = "id", right_order: Sequence[str] | None = None,
+) -> DataFrame:
+    """Rows of one stream with the nearest row of another, for an append sink.
+
+    Both streams wait for ``delay``; the range of the condition bounds the state of the
+    join, and the rows it pairs meet again under the left ``key``. The nearest is chosen
+    as in :func:`sunloom.operators.timeseries.asof_nearest`: a tie goes to the earlier
+    side, there to the last by ``right_order``, on the later side to the first. Left rows
+    without a match come with nulls once no match can arrive any more.
+    """
+    payload = [c for c in right.columns if c not in (*by, ts)]
+    order = F.struct(*(f"_r.{c}" for c in (right_order or payload)))
+    lefts = left.withWatermark(ts, delay)
+    rights = right.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col(ts).alias("_at"), F.struct(*payload).alias("_r")).withWatermark("_at", delay)
+    span = F.expr(f"interval {tolerance}")
+    near = (F.col("_at") >= F.col(ts) - span) & (F.col("_at") <= F.col(ts) + span)
+    for c in by:
+        near = near & (F.col(c) == F.col(f"_by_{c}"))
+    pairs = lefts.join(rights, near, "leftOuter")
+    gap = F.abs(F.unix_micros("_at") - F.unix_micros(ts))
+    earlier = F.col("_at") <= F.col(ts)
+    # of each side its best row first, then the nearer side
+    before = F.max_by(F.struct("_r", gap.alias("gap")), F.when(earlier, F.struct(-gap, order)))
+    after = F.min_by(F.struct("_r", gap.alias("gap")), F.when(~earlier, F.struct(gap, order)))
+    rest = [c for c in left.columns if c not in (ts, key)]
+    met = pairs.groupBy(ts, key).agg(*(F.first(c).alias(c) for c in rest), before.alias("_before"), after.alias("_after"))
+    pick = F.when(F.col("_before").isNotNull() & (F.col("_after").isNull() | (F.col("_before.gap") <= F.col("_after.gap"))), F.col("_before._r")).otherwise(F.col("_after._r"))
+    return met.withColumn("_r", pick).select(*left.columns, *(F.col(f"_r.{c}").alias(c) for c in payload))
+
+
 def score_new_rows(house: Warehouse, score: Callable[[DataFrame], DataFrame], reprocess_from: str | None = None) -> bool:
     """Score silver rows later than the watermark of their inverter, then move it.
 

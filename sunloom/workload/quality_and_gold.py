@@ -14,14 +14,14 @@ from sunloom.workload.relations import Relations
 # ---- messages -------------------------------------------------------------
 
 MESSAGE = """
-case when event_type = 'click' then to_json(named_struct('guid', concat('P', user_id % 2), 'inverter_id', concat('I', user_id % 14),
+case when event_type = 'click' then to_json(named_struct('guid', concat('P', event_id % 2), 'inverter_id', concat('I', user_id % 14),
    'timestamp', date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"), 'state', if(k < 50, '1.0', '0'), 'ac_power_kW', value,
    'inverter_temp_C', if(k = 37, 'hot', cast(k * 1.1D as string)), 'healthy_strings', k % 13, 'failure_types', if(k % 2 = 0, array('a', 'b'), array())))
- when event_type = 'view' then to_json(named_struct('guid', concat('P', user_id % 2), 'timestamp', if(k = 3, 'yesterday', date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+01:00'")),
+ when event_type = 'view' then to_json(named_struct('guid', concat('P', event_id % 2), 'timestamp', if(k = 3, 'yesterday', date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+01:00'")),
    'amb_temp_C', k - 20D, 'poa_irradiance_wm2', value * 5))
- when event_type = 'purchase' then to_json(named_struct('guid', if(k = 9, null, concat('P', user_id % 2)), 'timestamp', date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+ when event_type = 'purchase' then to_json(named_struct('guid', if(k = 9, null, concat('P', event_id % 2)), 'timestamp', date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"),
    'export_active_power_kW', value, 'connection_issues', case when k % 4 = 0 then 'true' when k % 4 = 1 then 'false' when k % 4 = 2 then '0' end))
- when event_type = 'signup' then concat('{"guid":"P', user_id % 2, '","timestamp":"', date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+ when event_type = 'signup' then concat('{"guid":"P', event_id % 2, '","timestamp":"', date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"),
    '","system_impact":{"total_failures":', k % 4, ',"stress_level":', k * 0.0111D, ',"affected_components":',
    case k % 4 when 0 then '[]' when 1 then '["inverter_A0"]' when 2 then '["inverter_A0","poi"]' else '"none"' end,
    ',"critical_failures":null},"component_status":{"total":16,"healthy":', 16 - k % 4, ',"failed":', k % 4, '}}')
@@ -49,7 +49,7 @@ def bronze(r: Relations, kind: str) -> DataFrame:
 
 @query(
     "bronze_projection",
-    """select event_id, concat('P', user_id % 2) as plant_id, concat('I', user_id % 14) as inverter_id, date_trunc('second', ts) as ts,
+    """select event_id, concat('P', event_id % 2) as plant_id, concat('I', user_id % 14) as inverter_id, date_trunc('second', ts) as ts,
  case when k < 50 then 1 else 0 end as state, case when k <> 37 then k * 1.1e0 end as inverter_temp_c, value as ac_power_kw,
  k % 13 as healthy_strings, case when k % 2 = 0 then 'a+b' else '' end as failure_types from e where event_type = 'click'
  union all select event_id, null, null, null, null, null, null, null, '' from e where event_type = 'error' and k between 60 and 79""",
@@ -62,7 +62,7 @@ def _(r):
 
 @query(
     "status_flatten",
-    """select event_id, concat('P', user_id % 2) as plant_id, date_trunc('second', ts) as ts, k % 4 as total_failures, k * 0.0111e0 as stress_level,
+    """select event_id, concat('P', event_id % 2) as plant_id, date_trunc('second', ts) as ts, k % 4 as total_failures, k * 0.0111e0 as stress_level,
  case k % 4 when 1 then 1 when 2 then 2 else 0 end as affected_components, cast(null as bigint) as critical_failures,
  16 as total_components, 16 - k % 4 as healthy_components, k % 4 as failed_components from e where event_type = 'signup'""",
     "e", "stress_level", "total_failures affected_components critical_failures total_components healthy_components failed_components",

@@ -20,7 +20,7 @@ EVENTS = [
     "event_id", "ts", "user_id", "event_type", "value", "cast(regexp_extract(props, '[0-9]+', 0) as int) as k",
 ]
 PLACE = [
-    "concat('P', cast(cast(floor(user_id / 14e0) as bigint) % 2 as string)) as plant_id",
+    "concat('P', cast(event_id % 2 as string)) as plant_id",
     "substr('A0A1A2A3B0B1B2B3C0C1C2C3C4C5', cast(1 + 2 * (user_id % 14) as int), 2) as inverter_id",
 ]
 PLANT = PLACE[:1]

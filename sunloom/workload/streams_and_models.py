@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sunloom import models
+from sunloom import forests, models
 from sunloom.functions.quality import anomaly_label
 from sunloom.operators import dashboard, metrics, splits, timeseries
 from sunloom.plans.medallion import Warehouse
@@ -15,7 +15,7 @@ from sunloom.session import ensure_checkpoint_dir
 from sunloom.streaming import jobs
 from sunloom.workload.quality_and_gold import MESSAGE
 from sunloom.workload.registry import query
-from sunloom.workload.relations import EVENTS, INVERTER, INVERTER_KEY, Relations
+from sunloom.workload.relations import EVENTS, FAILURES, INVERTER, INVERTER_KEY, METEO, Relations
 
 
 def scratch(r: Relations) -> str:
@@ -56,10 +56,78 @@ def _(r):
     return landed(r, jobs.deduplicated(hours, [*INVERTER_KEY, "hour"], "hour"))
 
 
+@query(
+    "stream_failure_sessions",
+    """with f as (select plant_id, start_ts as ts, severity, failure_type, start_ts + interval 1 minute * (case severity when 'CRITICAL' then 60 when 'HIGH' then 30 when 'MEDIUM' then 20 else 10 end) as until from failures),
+ s as (select *, coalesce(ts > max(until) over (partition by plant_id order by ts, until rows between unbounded preceding and 1 preceding), true) as new from f),
+ n as (select *, sum(cast(new as int)) over (partition by plant_id order by ts, until rows unbounded preceding) as session from s)
+ select plant_id, min(ts) as start_ts, max(until) as end_ts, max(ts) as last_ts, count(*) as readings,
+ case max(case severity when 'CRITICAL' then 3 when 'HIGH' then 2 when 'MEDIUM' then 1 else 0 end) when 3 then 'CRITICAL' when 2 then 'HIGH' when 1 then 'MEDIUM' else 'LOW' end as severity,
+ array_to_string(list_sort(list(distinct failure_type)), ',') as failure_types
+ from n group by plant_id, session having max(until) <= (select max(start_ts) - interval 1 hour from failures)""",
+    "failures",
+)
+def _(r):
+    failing = events_stream(r).filter("event_type = 'error'").selectExpr(*FAILURES).withColumn("ts", F.col("start_ts").cast("timestamp"))
+    sessions = landed(r, jobs.outage_sessions(failing.select("plant_id", "ts", "severity", "failure_type"), ["plant_id"]))
+    return sessions.withColumn("failure_types", F.array_join("failure_types", ","))
+
+
+NEAR = """l as (select event_id as id, concat('P', event_id % 2) as plant_id, ts from e where event_type = 'click'),
+ r as (select event_id as meteo_id, concat('P', event_id % 2) as plant_id, ts, case when k = 3 then -60e0 else k - 20e0 end as amb_temp_c from e where event_type = 'view'),
+ b as (select l.id, r.meteo_id as bid, epoch_us(l.ts) - epoch_us(r.ts) as bd from l asof left join r on r.plant_id = l.plant_id and l.ts >= r.ts),
+ f as (select l.id, r.meteo_id as fid, epoch_us(r.ts) - epoch_us(l.ts) as fd from l asof left join r on r.plant_id = l.plant_id and l.ts < r.ts),
+ c as (select l.*, case when bd <= 1.8e9 and (fd is null or bd <= fd) then bid when fd <= 1.8e9 then fid end as meteo_id from l join b using (id) join f using (id))"""
+
+
+@query(
+    "stream_asof_nearest",
+    f"""with {NEAR} select c.id, c.plant_id, c.ts, c.meteo_id, r.amb_temp_c from c left join r using (meteo_id)
+ where c.ts <= least((select max(ts) from l), (select max(ts) from r)) - interval 90 minutes""",
+    "e", "amb_temp_c",
+)
+def _(r):
+    e = events_stream(r).withColumn("ts", F.col("ts").cast("timestamp"))
+    left = e.filter("event_type = 'click'").selectExpr(*INVERTER).select("id", "plant_id", "ts")
+    right = e.filter("event_type = 'view'").selectExpr(*METEO).select("plant_id", "ts", F.col("id").alias("meteo_id"), "amb_temp_c")
+    return landed(r, jobs.nearest_joined(left, right, right_order=["meteo_id"]))
+
+
+FOREST_BINS = "[hour(ts), minute(ts) // 15, isodow(ts) - 1, month(ts), dayofyear(ts) // 5]"
+
+
+@query(
+    "forest_first_splits",
+    f"""with v as (select plant_id, inverter_id, {FOREST_BINS} as b, cast(round(ac_power_kw * 1000) as bigint) as y from inverter_s where ac_power_kw is not null),
+ x as (select plant_id, inverter_id, y, unnest(range(5)) as feature, unnest(b) as bin from v),
+ h as (select plant_id, inverter_id, feature, bin, count(*) as n, sum(y) as g from x group by all),
+ s as (select *, sum(n) over u as nl, sum(g) over u as gl, sum(n) over w as na, sum(g) over w as ga from h
+   window u as (partition by plant_id, inverter_id, feature order by bin rows unbounded preceding), w as (partition by plant_id, inverter_id, feature)),
+ q as (select *, gl * (gl + 0e0) / (nl + 1e0) + (ga - gl) * (ga - gl + 0e0) / (na - nl + 1e0) - ga * (ga + 0e0) / (na + 1e0) as gain from s where nl >= 5 and na - nl >= 5),
+ d as (select *, cast(floor(log10(gain)) as int) - 8 as digits from q where gain > 1e-9)
+ select plant_id, inverter_id, cast(feature as int) as feature, cast(bin as int) as bin from d
+ qualify row_number() over (partition by plant_id, inverter_id order by digits desc, round(gain * pow(10e0, -digits)) desc, feature, bin) = 1""",
+    "inverter_s", ints="feature bin",
+)
+def _(r):
+    cells = forests.cells(r.inverter_s)
+    return forests.best_splits(cells.withColumn("node", F.lit(1)).withColumn("g", F.col("y")), INVERTER_KEY, F.lit(5), F.lit(1.0)).drop("node")
+
+
+@query("forest_scores")
+def _(r):
+    """Held-out error of the forests of all inverters beside that of their own mean."""
+    ensure_checkpoint_dir(r.spark)
+    parts = splits.chronological_split(r.inverter_s.select("id", *INVERTER_KEY, "ts", "ac_power_kw").filter("ac_power_kw is not null"), INVERTER_KEY).checkpoint()
+    forest, _ = forests.grow(forests.cells(parts.filter("split = 'train'")), trees=4)
+    scored = forests.predict(parts.filter("split = 'test'"), forest)
+    return metrics.regression_metrics(scored, INVERTER_KEY, "ac_power_kw", "predicted")
+
+
 @query(
     "stream_bronze_to_gold",
     """select 'inverter_hourly' as layer, plant_id, date_trunc('hour', ts) as at, count(*) as records, sum(value) / 60 as energy_kwh from (
-   select concat('P', user_id % 2) as plant_id, user_id % 14 as inv, date_trunc('second', ts) as ts, arg_max(value, event_id) as value
+   select concat('P', event_id % 2) as plant_id, user_id % 14 as inv, date_trunc('second', ts) as ts, arg_max(value, event_id) as value
    from e where event_type = 'click' group by all) group by plant_id, date_trunc('hour', ts)
  union all select 'dead_letters', kind, null, count(*), null from (select case when event_type = 'purchase' then 'poi_meter' when event_type = 'view' then 'meteo'
    when k < 30 or k >= 80 then 'unreadable' when k < 60 then 'unknown' else 'inverter' end as kind from e

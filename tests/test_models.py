@@ -20,14 +20,14 @@ def test_forecaster(rel):
     parts = splits.chronological_split(rows, INVERTER_KEY)
     model = models.fit_forecaster(parts.filter("split = 'train'"), max_iter=3, max_depth=3)
     scores = models.evaluate_forecaster(model, parts.filter("split = 'test'"))
-    assert scores.count() == rows.select("inverter_id").distinct().count()
+    assert scores.count() == rows.select(*INVERTER_KEY).distinct().count()
     assert scores.filter("mae is null or mae < 0").isEmpty()
     last = rows.groupBy(*INVERTER_KEY).agg(F.max("ts").alias("last_ts"))
     grid = timeseries.forecast_grid(last)
     out = models.forecast_rows(model, grid, "run-1")
     assert out.count() == 192 * last.count() and out.filter("predicted_ac_power_kw < 0").isEmpty()
     again = models.fit_forecaster(parts.filter("split = 'train'"), max_iter=3, max_depth=3)
-    assert models.evaluate_forecaster(again, parts.filter("split = 'test'")).orderBy("inverter_id").collect() == scores.orderBy("inverter_id").collect()
+    assert models.evaluate_forecaster(again, parts.filter("split = 'test'")).orderBy(*INVERTER_KEY).collect() == scores.orderBy(*INVERTER_KEY).collect()
 
 
 def test_search(rel):

@@ -132,11 +132,12 @@ def test_splits(series, size):
     assert sizes["P0"].nunique() == 1 and len(sizes["P0"]) == 5
 
 
-def test_quantiles(series):
+@pytest.mark.parametrize("limit", [None, 0])
+def test_quantiles(series, limit):
     df, pdf = series
     probs = [0.0, 0.25, 0.5, 0.9, 0.995, 1.0]
     skewed = df.selectExpr("plant_id", "v", "case when id % 3 = 0 then 7D else exp(coalesce(v, 0) / 20) end as w")
-    rows = {r["plant_id"]: r for r in skew.quantiles(skewed, KEY, ["v", "w"], probs).collect()}
+    rows = {r["plant_id"]: r for r in skew.quantiles(skewed, KEY, ["v", "w"], probs, limit).collect()}
     for plant, group in skewed.toPandas().groupby("plant_id"):
         for c in ("v", "w"):
             values = group[c].dropna()
@@ -153,7 +154,7 @@ def test_quantiles_of_odd_values_equal_the_builtin(spark):
     data = [(None if k == 4 else k, float(v)) for k, values in enumerate(ODD) for v in values] + [(0, None), (99, None)]
     df = spark.createDataFrame(data, "k int, v double")
     want = {r["k"]: r["q"] for r in df.groupBy("k").agg(F.percentile("v", probs).alias("q")).collect()}
-    got = {r["k"]: r["v"] for r in skew.quantiles(df, ["k"], ["v"], probs).collect()}
+    got = {r["k"]: r["v"] for r in skew.quantiles(df, ["k"], ["v"], probs, 0).collect()}
     for k, q in want.items():
         if k != 99:
             np.testing.assert_allclose(got[k], q, rtol=1e-12, err_msg=str(k))
@@ -163,7 +164,7 @@ def test_quantiles_of_a_group_larger_than_the_sketch(spark):
     df = spark.range(60_000).selectExpr("id % 2 as k", "cast(xxhash64(id) % 1000000 as double) as v", "cast(least(id, 59000) as double) as w")
     probs = [0.0, 0.0001, 0.003, 0.25, 0.5, 0.9, 0.9995, 1.0]
     want = {r["k"]: r for r in df.groupBy("k").agg(F.percentile("v", probs).alias("v"), F.percentile("w", probs).alias("w")).collect()}
-    for r in skew.quantiles(df, ["k"], ["v", "w"], probs).collect():
+    for r in skew.quantiles(df, ["k"], ["v", "w"], probs, 0).collect():
         for c in ("v", "w"):
             np.testing.assert_allclose(r[c], want[r["k"]][c], rtol=1e-12)
 
