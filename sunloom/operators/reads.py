@@ -70,9 +70,9 @@ def since_watermark(df: DataFrame, watermark: DataFrame, keys: Sequence[str], ts
 
 
 def advanced_watermark(scored: DataFrame, mode: str = "anomaly", ts: str = "ts") -> DataFrame:
-    """Watermark rows after scoring: the greatest time per inverter."""
-    return scored.groupBy("inverter_id").agg(F.max(ts).alias("last_processed_ts")).select(
-        "inverter_id", F.lit(mode).alias("inference_mode"), "last_processed_ts"
+    """Watermark rows after scoring: the greatest time per plant and inverter."""
+    return scored.groupBy("plant_id", "inverter_id").agg(F.max(ts).alias("last_processed_ts")).select(
+        "plant_id", "inverter_id", F.lit(mode).alias("inference_mode"), "last_processed_ts"
     )
 
 

@@ -74,7 +74,7 @@ KEYS = {
     "failure_daily_summary": ["plant_id", "date", "component_type", "component_id"],
     "anomaly_predictions": ["plant_id", "inverter_id", "ts", "model_run_id"],
     "forecast_predictions": ["plant_id", "inverter_id", "ts", "model_run_id"],
-    "inference_watermark": ["inverter_id", "inference_mode"],
+    "inference_watermark": ["plant_id", "inverter_id", "inference_mode"],
     "dim_plant_config": ["plant_id"],
     "dim_asset": ["plant_id", "asset_id"],
     "dim_thresholds": ["plant_id", "threshold_category", "threshold_name"],

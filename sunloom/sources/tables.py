@@ -123,9 +123,19 @@ def absent_rows(new: DataFrame, existing: DataFrame | None, keys: Sequence[str],
 
 
 def insert_ignore(new: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], ts: str = "ts") -> None:
+    """Add rows whose key is not stored yet.
+
+    Where the time is part of the key, a row can only stand on its own day, so only the
+    days of the batch are read, given as literals that prune the scan.
+    """
     spark = new.sparkSession
     ensure_checkpoint_dir(spark)
     existing = spark.read.parquet(path) if table_exists(spark, path) else None
+    if existing is not None and ts in keys:
+        new = new.checkpoint()
+        # at most one value per calendar day of the batch
+        days = [r[0] for r in new.select(F.to_date(ts)).distinct().collect()]
+        existing = existing.filter(F.col("event_date").isin(days))
     append(absent_rows(new, existing, keys, order).checkpoint(), path, ts)
 
 

@@ -10,8 +10,9 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from sunloom.functions.quality import clean
 from sunloom.operators import failures, reads
-from sunloom.plans.medallion import SILVER, Warehouse, refresh
-from sunloom.schemas import KINDS
+from sunloom.plans.medallion import SILVER, Warehouse, on_days, refresh
+from sunloom.schemas import KEYS, KINDS
+from sunloom.session import ensure_checkpoint_dir
 from sunloom.sources import messages, tables
 
 
@@ -160,27 +161,35 @@ def nearest_joined(
 
 
 def score_new_rows(house: Warehouse, score: Callable[[DataFrame], DataFrame], reprocess_from: str | None = None) -> bool:
-    """Score silver rows later than the watermark of their inverter, then move it.
+    """Score silver rows later than the watermark of their plant and inverter, then move it.
+
+    Weather is read for the days of those rows alone, named as literals.
 
     ``score`` takes telemetry with weather and returns the prediction table's
     columns. Rows that arrive later than the watermark are skipped unless
     ``reprocess_from`` names a time to start from. Returns whether rows were scored.
     """
+    ensure_checkpoint_dir(house.spark)
     telemetry = house.read(SILVER["inverter"])
     if reprocess_from is not None:
         telemetry = telemetry.filter(F.col("ts") > F.lit(reprocess_from).cast("timestamp"))
     elif house.exists("inference_watermark"):
         marks = house.read("inference_watermark").filter("inference_mode = 'anomaly'")
-        telemetry = reads.since_watermark(telemetry, marks, ["inverter_id"])
-    weather = house.read(SILVER["meteo"]).select(
+        telemetry = reads.since_watermark(telemetry, marks, ["plant_id", "inverter_id"])
+    telemetry = telemetry.checkpoint()
+    # one value per calendar day of what is to be scored
+    days = [r[0] for r in telemetry.select("event_date").distinct().collect()]
+    if not days:
+        return False
+    weather = on_days(house.read(SILVER["meteo"]), days).select(
         "plant_id", "ts", "amb_temp_c", "module_temp_c", "wind_speed_ms", "wind_dir_deg", "humidity_percent", "poa_irradiance_wm2"
     )
-    scored = score(reads.with_weather(telemetry, weather)).checkpoint()
+    scored = score(reads.with_weather(telemetry.drop("event_date"), weather)).checkpoint()
     if scored.isEmpty():
         return False
     house.insert_only(scored, "anomaly_predictions", "ts")
     marks = reads.advanced_watermark(scored)
-    tables.upsert(marks, house.path("inference_watermark"), ["inverter_id", "inference_mode"], ["last_processed_ts"], None)
+    tables.upsert(marks, house.path("inference_watermark"), KEYS["inference_watermark"], ["last_processed_ts"], None)
     return True
 
 

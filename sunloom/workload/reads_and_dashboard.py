@@ -71,9 +71,9 @@ def _(r):
 
 @query(
     "incremental_rows",
-    """select i.id, i.inverter_id, i.ts from inverter_s i left join (select inverter_id, max(ts) as last_ts from anomalies
-  where model_run_id <> 'run-0' and ts < timestamp '2024-01-15' and inverter_id <> 'C5' group by inverter_id) w
- on w.inverter_id = i.inverter_id where w.last_ts is null or i.ts > w.last_ts""",
+    """select i.id, i.plant_id, i.inverter_id, i.ts from inverter_s i left join (select plant_id, inverter_id, max(ts) as last_ts from anomalies
+  where model_run_id <> 'run-0' and ts < timestamp '2024-01-15' and inverter_id <> 'C5' group by plant_id, inverter_id) w
+ on w.plant_id = i.plant_id and w.inverter_id = i.inverter_id where w.last_ts is null or i.ts > w.last_ts""",
     "inverter_s anomalies",
 )
 def _(r):
@@ -81,7 +81,7 @@ def _(r):
         (F.col("model_run_id") != "run-0") & (F.col("ts") < F.lit("2024-01-15").cast("timestamp")) & (F.col("inverter_id") != "C5")
     )
     marks = reads.advanced_watermark(scored)
-    return reads.since_watermark(r.inverter_s.select("id", "inverter_id", "ts"), marks, ["inverter_id"])
+    return reads.since_watermark(r.inverter_s.select("id", "plant_id", "inverter_id", "ts"), marks, ["plant_id", "inverter_id"])
 
 
 @query("last_two_days", "select id, ts, ac_power_kw from inverter where ts >= (select max(ts) from inverter) - interval 2 days", "inverter", "ac_power_kw")

@@ -213,6 +213,14 @@ def test_scoring_moves_the_watermark(spark, tmp_path):
     newest = {r["inverter_id"]: r["t"] for r in house.read("silver_inverter").groupBy("inverter_id").agg(F.max("ts").alias("t")).collect()}
     assert marks == newest
     assert house.read("anomaly_predictions").filter("reconstruction_error is null").isEmpty()
+    # a late plant with an inverter id that is known elsewhere is scored from its first row on
+    late = [message(k, m, rng) | {"guid": PLANT[:-1] + "9"} for m in range(0, 30, 3) for k in ("inverter", "meteo")]
+    jobs.store_bronze(house, spark.createDataFrame([(json.dumps(x),) for x in late], "value string"), 2)
+    for kind in ("inverter", "meteo"):
+        jobs.store_silver(house, kind, house.read(f"bronze_{kind}").filter(F.col("batch_id") == 2))
+    assert jobs.score_new_rows(house, score) and not jobs.score_new_rows(house, score)
+    assert house.read("anomaly_predictions").count() == 30
+    assert house.read("inference_watermark").select("plant_id").distinct().count() == 2
 
 
 def test_plants_have_rows_before_all_feeds_do(spark, tmp_path):
