@@ -229,3 +229,18 @@ def test_asof(spark, size):
     across = timeseries.asof_nearest(l.drop("plant_id"), r.drop("plant_id"), 20, by=(), right_order=["rid"], max_rows=size).toPandas().set_index("id")["rid"].sort_index()
     free = pd.merge_asof(lp[["t", "id"]], rp[["t", "rid"]], on="t", direction="nearest", tolerance=20).set_index("id")["rid"].sort_index()
     pd.testing.assert_series_equal(across.astype(float), free.astype(float), check_names=False)
+
+
+def test_a_long_interval_adds_two_rows(spark):
+    short = spark.range(2_000).selectExpr("'P' as plant_id", "id as failure_id", "timestamp_seconds(id * 90) as start_ts", "timestamp_seconds(id * 90 + 60) as end_ts")
+    year = spark.createDataFrame([("P", -1, 100, 100 + 365 * 86_400)], "plant_id string, failure_id long, a long, b long").selectExpr("plant_id", "failure_id", "timestamp_seconds(a) as start_ts", "timestamp_seconds(b) as end_ts")
+    both = short.unionByName(year)
+    level = timeseries.dyadic_level("start_ts", "end_ts")
+    assert both.select(level.alias("l")).distinct().count() == 2
+    points = spark.range(500).selectExpr("'P' as plant_id", "id", "timestamp_seconds(id * 37) as ts")
+    joined = timeseries.interval_join(points, both)
+    got = {(r["id"], r["failure_id"]) for r in joined.select("id", "failure_id").collect()}
+    want = {(p, f) for p in range(500) for f in [p * 37 // 90] if p * 37 < f * 90 + 60} | {(p, -1) for p in range(500) if p * 37 >= 100}
+    assert got == want
+    listed = both.withColumn("w", F.pow(F.lit(2.0), level)).selectExpr("floor((unix_micros(end_ts) - 1) / w) - floor(unix_micros(start_ts) / w) + 1 as cells")
+    assert listed.agg(F.max("cells")).first()[0] <= 2

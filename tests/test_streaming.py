@@ -250,3 +250,41 @@ def test_plants_have_rows_before_all_feeds_do(spark, tmp_path):
     counts = house.read("inference_trigger").count()
     arrives("system_status", [1], 1)
     assert house.read("inference_trigger").count() == counts and plants() == late
+
+
+def rows_stream(spark, folder, parts, schema):
+    """A stream of one file a batch, in order."""
+    for i, part in enumerate(parts):
+        target = folder / f"{i}"
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(target))
+        for f in target.glob("*.parquet"):
+            os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(folder))
+
+
+def ended(spark, stream, folder):
+    jobs.started(stream.writeStream.format("parquet").option("path", str(folder / "out")), str(folder / "ck"), None).awaitTermination()
+    return spark.read.parquet(str(folder / "out"))
+
+
+def test_a_late_reading_joins_two_outages(spark, tmp_path):
+    at = lambda m: START + timedelta(minutes=m)
+    row = lambda m, severity="LOW", part="A0": (PLANT, part, at(m), severity, f"kind{m}")
+    parts = [[row(0), row(15), row(0, "HIGH", "B1")], [row(8)], [row(400)], [row(800)]]
+    stream = rows_stream(spark, tmp_path / "in", parts, "plant_id string, component_id string, ts timestamp, severity string, failure_type string")
+    got = {(r["component_id"], r["start_ts"].replace(tzinfo=timezone.utc)): r for r in ended(spark, jobs.outage_sessions(stream), tmp_path).collect()}
+    one, other = got["A0", at(0)], got["B1", at(0)]
+    assert one["readings"] == 3 and one["end_ts"].replace(tzinfo=timezone.utc) == at(25) and one["failure_types"] == ["kind0", "kind15", "kind8"]
+    assert other["readings"] == 1 and other["end_ts"].replace(tzinfo=timezone.utc) == at(30) and other["severity"] == "HIGH"
+    assert ("A0", at(15)) not in got
+
+
+def test_nearest_rows_of_two_streams(spark, tmp_path):
+    at = lambda m: START + timedelta(minutes=m)
+    lefts = [[(1, "P", at(0)), (2, "P", at(30)), (3, "Q", at(30))], [(4, "P", at(100))], [(9, "P", at(900))], [(10, "P", at(1_000))]]
+    rights = [[("P", at(10), 7)], [("P", at(20), 5), ("P", at(40), 6), ("P", at(20), 8)], [("P", at(900), 9)], [("P", at(1_000), 10)]]
+    left = rows_stream(spark, tmp_path / "l", lefts, "id long, plant_id string, ts timestamp")
+    right = rows_stream(spark, tmp_path / "r", rights, "plant_id string, ts timestamp, meteo_id long")
+    got = {r["id"]: r["meteo_id"] for r in ended(spark, jobs.nearest_joined(left, right, "20 minutes", "1 hour"), tmp_path).collect()}
+    # 2 lies between two at the same distance: the earlier side wins, and of its equals the last
+    assert {k: got[k] for k in (1, 2, 3, 4)} == {1: 7, 2: 8, 3: None, 4: None}
