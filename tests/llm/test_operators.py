@@ -323,6 +323,42 @@ def test_fingerprints(spark, rows):
     assert fingerprint.fingerprint_documents(table(spark, [])).count() == 0
 
 
+def test_likeness_comes_from_the_stored_fingerprints(spark, rows):
+    got = fingerprint.fingerprint_documents(table(spark, rows), rows_a_bucket=7).collect()
+    for r in got:
+        assert fingerprint.likeness([r["fingerprint"]], [r["edited_fingerprint"]])[0] == r["near_edited"]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    prints = {row[1] or "": fingerprint.encoded(*fingerprint.digests(pa.array([row[1] or ""], pa.large_string())))[0] for row in order}
+    assert {r["fingerprint"] for r in got} == set(prints.values())
+    want = Counter((a[0], fingerprint.likeness([prints[a[1] or ""]], [prints[b[1] or ""]])[0]) for a, b in zip(order, order[1:] + order[:1], strict=True))
+    assert Counter((r["doc_id"], r["near_next"]) for r in got) == want
+
+
+def test_sketches_of_all_sizes_and_of_different_sizes():
+    rng = np.random.default_rng(6)
+    pool = np.unique(rng.integers(0, 1 << 63, 9_000).astype(np.uint64))
+    sizes = [0, 0, 1, 2, 3, 7, 20, 64, 300, 2_000, 5_000]
+    sets = [np.sort(rng.choice(pool[: max(2 * n, 1)], n, replace=False)) for n in sizes for _ in range(2)]
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    prints = fingerprint.encoded(np.concatenate(sets), bounds)
+    pairs = [(i, j) for i in range(len(sets)) for j in range(len(sets))]
+    got = fingerprint.likeness([prints[i] for i, _ in pairs], [prints[j] for _, j in pairs])
+    plain = [set(x.tolist()) for x in sets]
+    assert got.tolist() == [len(plain[i] & plain[j]) / len(plain[i] | plain[j]) if plain[i] | plain[j] else 1.0 for i, j in pairs]
+
+
+def test_fingerprints_of_rows_that_share_an_id(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice([None, None, 5, 6]), " ".join(rng.choice("abcdefg") * rng.randint(1, 3) for _ in range(12)) + ".", "s") for _ in range(400)]
+    docs = table(spark, rows)
+    placed = fingerprint.with_next(docs.select("doc_id", "text"), 10)
+    sizes = [r["count"] for r in placed.groupBy("bucket").count().collect()]
+    assert len(sizes) > 20 and max(sizes) < 60
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    want = Counter((a[0], hashlib.sha256((a[1][: len(a[1]) - len(a[1]) // 2] + b[1][: len(a[1]) // 2]).encode()).hexdigest()) for a, b in zip(order, order[1:] + order[:1], strict=True))
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in fingerprint.fingerprint_documents(docs, rows_a_bucket=10).collect()) == want
+
+
 def test_peeling_recovers_the_difference():
     rng = np.random.default_rng(4)
     common, a, b = (rng.integers(0, 1 << 63, n).astype(np.uint64) for n in (500, 9, 14))
