@@ -60,13 +60,18 @@ def on_days(df: DataFrame, days: list) -> DataFrame:
 
 
 def refresh(
-    house: Warehouse, kind: str, changed: DataFrame, samples_per_hour: float = 60.0, capacity: DataFrame | None = None, mode: str = "refresh"
+    house: Warehouse, kind: str, changed: DataFrame, samples_per_hour: float = 60.0, capacity: DataFrame | None = None, mode: str = "refresh",
+    plants: bool = True, batch_id: int | None = None,
 ) -> None:
     """Recompute the hours and days that changed silver rows belong to.
 
     ``changed`` holds the key columns of the batch. Touched hours are aggregated
     again from silver, their days from the hourly table, and the plant tables from
     those. ``mode="insert_only"`` leaves rows alone once they are written.
+
+    The plant tables read all feeds. Where several feeds run at once, pass
+    ``plants=False``: the touched plant hours are then listed in ``plant_work``, for the
+    one job that writes the plant tables (:func:`sunloom.streaming.jobs.plants_to_gold`).
     """
     ensure_checkpoint_dir(house.spark)
     key = ["plant_id", "inverter_id"] if kind == "inverter" else ["plant_id"]
@@ -76,12 +81,7 @@ def refresh(
     if not days:
         return
 
-    def store(df: DataFrame, table: str, ts: str) -> None:
-        if mode == "insert_only":
-            house.insert_only(df, table, ts)
-        else:
-            house.upsert(df, table, [], ts, days)
-
+    store = storing(house, days, mode)
     silver = on_days(house.read(SILVER[kind]), days).withColumn("timestamp_hour", F.date_trunc("hour", "ts"))
     rows = silver.join(hours, [*key, "timestamp_hour"], "left_semi").drop("timestamp_hour", "event_date")
     make = TO_HOURLY[kind]
@@ -92,7 +92,40 @@ def refresh(
     today = on_days(house.read(HOURLY[kind]), days).join(dates.withColumnRenamed("date", "event_date"), [*key, "event_date"], "left_semi")
     store(TO_DAILY[kind](today.drop("event_date")), DAILY[kind], "date")
 
-    refresh_plants(house, hours.select("plant_id", "timestamp_hour").distinct(), days, capacity, store)
+    touched = hours.select("plant_id", "timestamp_hour").distinct()
+    if plants:
+        refresh_plants(house, touched, days, capacity, store)
+    else:
+        tables.replace_batch(touched, house.path("plant_work"), kind, batch_id)
+
+
+def storing(house: Warehouse, days: list, mode: str):
+    """Function that stores rows of these days in a gold table."""
+    def store(df: DataFrame, table: str, ts: str) -> None:
+        if mode == "insert_only":
+            house.insert_only(df, table, ts)
+        else:
+            house.upsert(df, table, [], ts, days)
+
+    return store
+
+
+def refresh_plant_hours(house: Warehouse, hours: DataFrame, capacity: DataFrame | None = None, mode: str = "refresh") -> None:
+    """Plant rows of these hours (plant_id, timestamp_hour) and of their days, from what all feeds have stored."""
+    ensure_checkpoint_dir(house.spark)
+    hours = hours.select("plant_id", "timestamp_hour").distinct().checkpoint()
+    # one value per calendar day of the work
+    days = [r[0] for r in hours.select(F.to_date("timestamp_hour")).distinct().collect()]
+    if days:
+        refresh_plants(house, hours, days, capacity, storing(house, days, mode))
+
+
+def refresh_open_plants(house: Warehouse, **options) -> None:
+    """Plant rows that the inverter tables call for and that are not written yet."""
+    hours, days = open_plants(house)
+    whole = house.read(HOURLY["inverter"]).select("plant_id", "timestamp_hour", F.to_date("timestamp_hour").alias("date"))
+    whole = whole.join(days, ["plant_id", "date"], "left_semi").drop("date")
+    refresh_plant_hours(house, hours.select("plant_id", "timestamp_hour").unionByName(whole), **options)
 
 
 #: what the plant tables read of the feeds beside the inverters

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from sunloom.functions.quality import clean
-from sunloom.operators import failures, reads
-from sunloom.plans.medallion import SILVER, Warehouse, on_days, refresh
+from sunloom.operators import failures, reads, timeseries
+from sunloom.plans.medallion import SILVER, Warehouse, on_days, refresh, refresh_open_plants, refresh_plant_hours
 from sunloom.schemas import KEYS, KINDS
 from sunloom.session import ensure_checkpoint_dir
 from sunloom.sources import messages, tables
@@ -51,10 +51,29 @@ def store_bronze(house: Warehouse, batch: DataFrame, batch_id: int, uuid_plants:
         for part in dead[1:]:
             letters = letters.unionByName(part)
         tables.append_batch(letters, house.path("dead_letters"), batch_id, "ingested_at")
+        store_outcome(house, stored_outcome(house, batch_id), "bronze", batch_id)
     finally:
         routed.unpersist()
 
 
+def stored_outcome(house: Warehouse, batch_id: int) -> DataFrame:
+    """Processed and failed rows per kind, of what a batch has stored in bronze and dead letters."""
+    rows = house.spark.createDataFrame([], "message_type string, error_message string")
+    for kind in KINDS:
+        path = f"{house.path(f'bronze_{kind}')}/batch_id={batch_id}"
+        if tables.table_exists(house.spark, path):
+            rows = rows.unionByName(house.spark.read.parquet(path).select(F.lit(kind).alias("message_type"), F.lit(None).cast("string").alias("error_message")))
+    path = f"{house.path('dead_letters')}/batch_id={batch_id}"
+    if tables.table_exists(house.spark, path):
+        rows = rows.unionByName(house.spark.read.parquet(path).select("message_type", "error_message"))
+    return tables.batch_outcome(rows)
+
+
+def store_outcome(house: Warehouse, outcome: DataFrame, stage: str, batch_id: int | None) -> None:
+    """Counts of a batch in ``run_metrics``; a replay replaces them."""
+    tables.replace_batch(outcome.withColumn("ts", F.current_timestamp()), house.path("run_metrics"), stage, batch_id)
+
+
 def ingest(house: Warehouse, stream: DataFrame, checkpoint: str, seconds: float | None = None, uuid_plants: bool = True) -> StreamingQuery:
     """Messages with a ``value`` column to bronze."""
     writer = stream.writeStream.foreachBatch(lambda df, i: store_bronze(house, df, i, uuid_plants))
@@ -84,9 +103,11 @@ def store_silver(house: Warehouse, kind: str, batch: DataFrame, notify: Callable
         house.upsert(rows, SILVER[kind], arrival, "ts")
         counted = tables.trigger_counts(rows.withColumn("message_type", F.lit(kind))).withColumn("ts", F.current_timestamp())
         tables.replace_batch(counted, house.path("inference_trigger"), kind, batch_id)
+        outcome = tables.batch_outcome(rows.select(F.lit(kind).alias("message_type"), F.lit(None).cast("string").alias("error_message")))
+        store_outcome(house, outcome, f"silver_{kind}", batch_id)
         if notify:
             notify(counted)
-        refresh(house, kind, rows, **options)
+        refresh(house, kind, rows, batch_id=batch_id, **options)
     finally:
         rows.unpersist()
 
@@ -94,8 +115,11 @@ def store_silver(house: Warehouse, kind: str, batch: DataFrame, notify: Callable
 def bronze_to_gold(house: Warehouse, kind: str, checkpoint: str, seconds: float | None = None, max_files: int | None = None, **options) -> StreamingQuery:
     """New bronze rows of one kind to silver and gold.
 
-    ``max_files`` bounds a batch, which throttles a large back-fill.
+    ``max_files`` bounds a batch, which throttles a large back-fill. The plant tables
+    belong to :func:`plants_to_gold`, so that feeds may run at the same time; with
+    ``plants=True`` this stream writes them itself, for a warehouse with one feed at a time.
     """
+    options = {"plants": False} | options
     path = house.path(f"bronze_{kind}")
     reader = house.spark.readStream.schema(house.spark.read.parquet(path).schema)
     if max_files:
@@ -104,6 +128,55 @@ def bronze_to_gold(house: Warehouse, kind: str, checkpoint: str, seconds: float
     return started(writer, checkpoint, seconds)
 
 
+def plants_to_gold(house: Warehouse, checkpoint: str, seconds: float | None = None, max_files: int | None = None, **options) -> StreamingQuery:
+    """The one writer of the plant tables: plant hours that any feed has touched.
+
+    A feed lists its hours after it has stored them, so the rows of all feeds up to then
+    are read. Hours are recomputed whole, which makes replays harmless, and a feed that
+    starts late touches the old hours again. Each batch also takes up what earlier runs left open.
+    """
+    path = house.path("plant_work")
+    reader = house.spark.readStream.schema("plant_id string, timestamp_hour timestamp, feed string, batch_id long")
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+
+    def run(batch: DataFrame, _: int) -> None:
+        if batch.isEmpty():
+            return
+        refresh_plant_hours(house, batch, **options)
+        if house.exists("inverter_hourly"):
+            refresh_open_plants(house, **options)
+
+    return started(reader.parquet(path).writeStream.foreachBatch(run), checkpoint, seconds)
+
+
+def store_forecasts(
+    house: Warehouse, predict: Callable[[DataFrame], DataFrame], run_id: str, horizon_hours: float = 48, step_minutes: int = 15, since: str | None = None,
+) -> bool:
+    """Forecast the horizon after each inverter's last reading and store what is new.
+
+    ``predict`` adds ``predicted_ac_power_kw`` to rows of plant_id, inverter_id and ts; a
+    time it has no value for is not stored. Times this run has stored already are not
+    asked again, and rows are upserted, so the job may be repeated. ``since`` is a date:
+    inverters without a reading from it on are left out and older days are not read.
+    Returns whether rows were stored.
+    """
+    ensure_checkpoint_dir(house.spark)
+    key = ["plant_id", "inverter_id"]
+    telemetry = house.read(SILVER["inverter"])
+    if since is not None:
+        telemetry = telemetry.filter(F.col("event_date") >= F.lit(since).cast("date"))
+    done = None
+    if house.exists("forecast_predictions"):
+        done = house.read("forecast_predictions").filter(F.col("model_run_id") == run_id).groupBy(*key).agg(F.max("ts").alias("last_ts"))
+    grid = timeseries.forecast_grid(telemetry.groupBy(*key).agg(F.max("ts").alias("last_ts")), done, key, horizon_hours, step_minutes)
+    rows = predict(grid).select(*key, "ts", F.lit(run_id).alias("model_run_id"), "predicted_ac_power_kw").dropna(subset=["predicted_ac_power_kw"]).checkpoint()
+    if rows.isEmpty():
+        return False
+    house.upsert(rows, "forecast_predictions", [], "ts")
+    return True
+
+
 def deduplicated(stream: DataFrame, keys: Sequence[str], ts: str = "ts", delay: str = "1 hour") -> DataFrame:
     """Drop repeated messages that arrive within the delay of the first."""
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))

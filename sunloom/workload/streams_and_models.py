@@ -148,6 +148,74 @@ def _(r):
     return both.select("layer", "plant_id", "at", "records", "energy_kwh")
 
 
+@query(
+    "stream_all_feeds_to_plant",
+    """with i as (select concat('P', event_id % 2) as plant_id, user_id % 14 as inv, date_trunc('second', ts) as ts, arg_max(value, event_id) as value from e where event_type = 'click' group by all),
+ m as (select concat('P', event_id % 2) as plant_id, date_trunc('second', ts) - interval 1 hour as ts, arg_max(value * 5e0, event_id) as poa from e where event_type = 'view' and k <> 3 group by all),
+ p as (select concat('P', event_id % 2) as plant_id, date_trunc('second', ts) as ts, arg_max(value, event_id) as export from e where event_type = 'purchase' and k <> 9 group by all),
+ s as (select concat('P', event_id % 2) as plant_id, date_trunc('second', ts) as ts, arg_max(k * 0.0111e0, event_id) as stress from e where event_type = 'signup' group by all),
+ ih as (select plant_id, date_trunc('hour', ts) as timestamp_hour, sum(value) / 60 as generation_kwh, count(distinct inv) as total_inverters from i group by all),
+ mh as (select plant_id, date_trunc('hour', ts) as timestamp_hour, sum(poa) / 60 as irradiation from m group by all),
+ ph as (select plant_id, date_trunc('hour', ts) as timestamp_hour, sum(export) / 60 as export from p group by all),
+ sh as (select plant_id, date_trunc('hour', ts) as timestamp_hour, avg(stress) as stress from s group by all)
+ select plant_id, timestamp_hour, generation_kwh, total_inverters, coalesce(irradiation, 0) as irradiation_wh_m2, coalesce(export, 0) as grid_export_kwh, coalesce(stress, 0) as system_stress_avg
+ from ih left join mh using (plant_id, timestamp_hour) left join ph using (plant_id, timestamp_hour) left join sh using (plant_id, timestamp_hour)""",
+    "e", "generation_kwh irradiation_wh_m2 grid_export_kwh system_stress_avg", "total_inverters", decimals=4,
+)
+def _(r):
+    """All four feeds to the plant rows by their one writer; the weather starts when the others are done."""
+    house = Warehouse(r.spark, scratch(r))
+    e = events_stream(r).withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = e.select(F.expr(MESSAGE).alias("value"), F.col("event_id").alias("offset"))
+    jobs.ingest(house, stream, f"{house.root}/ck-in", uuid_plants=False).awaitTermination()
+    for kinds in (("inverter", "poi_meter", "system_status"), ("meteo",)):
+        running = [jobs.bronze_to_gold(house, kind, f"{house.root}/ck-{kind}") for kind in kinds]
+        for one in running:
+            one.awaitTermination()
+        jobs.plants_to_gold(house, f"{house.root}/ck-plants").awaitTermination()
+    return house.read("plant_hourly_summary").select(
+        "plant_id", "timestamp_hour", F.col("total_generation_kwh").alias("generation_kwh"), "total_inverters", "irradiation_wh_m2", "grid_export_kwh", "system_stress_avg"
+    )
+
+
+@query(
+    "run_metrics",
+    """select case when event_type = 'click' or (event_type = 'error' and k between 60 and 79) then 'inverter' when event_type = 'view' then 'meteo' when event_type = 'purchase' then 'poi_meter'
+  when event_type = 'signup' then 'system_status' when k < 30 or k >= 80 then 'unreadable' else 'unknown' end as message_type,
+ count(*) filter (event_type <> 'error' and not (event_type = 'purchase' and k = 9) and not (event_type = 'view' and k = 3)) as processed,
+ count(*) filter (event_type = 'error' or (event_type = 'purchase' and k = 9) or (event_type = 'view' and k = 3)) as failed from e group by 1""",
+    "e",
+)
+def _(r):
+    house = Warehouse(r.spark, scratch(r))
+    stream = events_stream(r).withColumn("ts", F.col("ts").cast("timestamp")).select(F.expr(MESSAGE).alias("value"), F.col("event_id").alias("offset"))
+    jobs.ingest(house, stream, f"{house.root}/ck", uuid_plants=False).awaitTermination()
+    return house.read("run_metrics").groupBy("message_type").agg(F.sum("processed").alias("processed"), F.sum("failed").alias("failed"))
+
+
+@query(
+    "forecast_job",
+    """with l as (select plant_id, inverter_id, max(ts) as last_ts from inverter_s group by all),
+ g as (select plant_id, inverter_id, last_ts + to_minutes(15 * i) as ts from l, (select unnest(range(1, 193)) as i)),
+ m as (select plant_id, inverter_id, hour(ts) as h, avg(ac_power_kw) as predicted from inverter_s group by all)
+ select g.plant_id, g.inverter_id, g.ts, 'hour-mean' as model_run_id, predicted as predicted_ac_power_kw
+ from g join m on m.plant_id = g.plant_id and m.inverter_id = g.inverter_id and m.h = hour(g.ts) where predicted is not null""",
+    "inverter_s", "predicted_ac_power_kw",
+)
+def _(r):
+    """The stored forecasts of a job that is run twice, with the mean of the hour as model."""
+    house = Warehouse(r.spark, scratch(r))
+    house.upsert(r.inverter_s, "silver_inverter", ["id"], "ts")
+    hours = r.inverter_s.groupBy(*INVERTER_KEY, F.hour("ts").alias("h")).agg(F.avg("ac_power_kw").alias("predicted_ac_power_kw"))
+
+    def predict(grid: DataFrame) -> DataFrame:
+        return grid.withColumn("h", F.hour("ts")).join(hours, [*INVERTER_KEY, "h"])
+
+    for _ in range(2):
+        jobs.store_forecasts(house, predict, "hour-mean")
+    return house.read("forecast_predictions").select(*INVERTER_KEY, "ts", "model_run_id", "predicted_ac_power_kw")
+
+
 @query("anomaly_cells", "select plant_id, inverter_id, ts, avg(reconstruction_error) as error from anomalies group by all", "anomalies", "error")
 def _(r):
     return dashboard.anomaly_cells(r.anomalies)

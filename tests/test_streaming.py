@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sunloom.functions.quality import clean
 from sunloom.operators import gold
-from sunloom.plans.medallion import HOURLY, Warehouse, backlog, open_plants, rebuild
+from sunloom.plans.medallion import HOURLY, Warehouse, backlog, open_plants, rebuild, refresh_open_plants
 from sunloom.sources import messages, tables
 from sunloom.streaming import jobs
 
@@ -65,6 +65,7 @@ def run_all(house, tmp):
     jobs.ingest(house, stream, str(tmp / "ck" / "ingest")).awaitTermination()
     for kind in ("inverter", "meteo", "poi_meter", "system_status"):
         jobs.bronze_to_gold(house, kind, str(tmp / "ck" / kind)).awaitTermination()
+    jobs.plants_to_gold(house, str(tmp / "ck" / "plants")).awaitTermination()
 
 
 GOLD = {
@@ -128,6 +129,74 @@ def test_stream_equals_batch_and_restart(spark, feed):
     assert abs(gained - 10.0) < 1e-9
 
 
+def test_feeds_at_once_lose_no_plant_row(spark, feed):
+    tmp, _ = feed
+    house, apart = Warehouse(spark, str(tmp / "house")), Warehouse(spark, str(tmp / "apart"))
+    jobs.ingest(house, messages.file_messages(spark, str(tmp / "in")), str(tmp / "ck" / "ingest")).awaitTermination()
+    running = [jobs.bronze_to_gold(house, kind, str(tmp / "ck" / kind)) for kind in ("inverter", "poi_meter", "system_status")]
+    for stream in running:
+        stream.awaitTermination()
+    assert not house.exists("plant_hourly_summary")
+    jobs.plants_to_gold(house, str(tmp / "ck" / "plants")).awaitTermination()
+    assert house.read("plant_hourly_summary").agg(F.sum("irradiation_wh_m2")).first()[0] == 0
+    # a feed that starts late touches the hours that are already written
+    jobs.bronze_to_gold(house, "meteo", str(tmp / "ck" / "meteo")).awaitTermination()
+    jobs.plants_to_gold(house, str(tmp / "ck" / "plants")).awaitTermination()
+    jobs.ingest(apart, messages.file_messages(spark, str(tmp / "in")), str(tmp / "ck2" / "ingest")).awaitTermination()
+    for kind in ("inverter", "meteo", "poi_meter", "system_status"):
+        jobs.bronze_to_gold(apart, kind, str(tmp / "ck2" / kind), plants=True).awaitTermination()
+    for table in ("plant_hourly_summary", "plant_daily_summary"):
+        assert rows_of(house.read(table), *GOLD[table]) == rows_of(apart.read(table), *GOLD[table])
+    assert house.read("plant_hourly_summary").agg(F.sum("irradiation_wh_m2")).first()[0] > 0
+    # a replay of the work writes the same rows, and rows lost from a plant table are taken up again
+    before = {t: rows_of(house.read(t), *GOLD[t]) for t in ("plant_hourly_summary", "plant_daily_summary")}
+    jobs.plants_to_gold(house, str(tmp / "ck3" / "plants")).awaitTermination()
+    assert {t: rows_of(house.read(t), *GOLD[t]) for t in before} == before
+    house.read("plant_hourly_summary").limit(1).write.mode("overwrite").partitionBy("event_date").parquet(str(tmp / "cut" / "plant_hourly_summary"))
+    house.read("inverter_hourly").write.partitionBy("event_date").parquet(str(tmp / "cut" / "inverter_hourly"))
+    house.read("inverter_daily").write.partitionBy("event_date").parquet(str(tmp / "cut" / "inverter_daily"))
+    cut = Warehouse(spark, str(tmp / "cut"))
+    refresh_open_plants(cut)
+    assert all(keys.isEmpty() for keys in open_plants(cut))
+    assert cut.read("plant_hourly_summary").count() == len(before["plant_hourly_summary"])
+
+
+def test_counts_of_each_batch_are_stored(spark, feed):
+    tmp, lines = feed
+    house = Warehouse(spark, str(tmp / "house"))
+    batch = spark.createDataFrame([(x,) for x in lines], "value string")
+    for _ in range(2):
+        jobs.store_bronze(house, batch, 3)
+    got = {r["message_type"]: (r["processed"], r["failed"]) for r in house.read("run_metrics").collect()}
+    assert got == {"inverter": (40, 1), "meteo": (20, 0), "poi_meter": (20, 0), "system_status": (20, 0), "unknown": (0, 1), "unreadable": (0, 1)}
+    jobs.store_silver(house, "meteo", house.read("bronze_meteo"), batch_id=3)
+    assert [(r["processed"], r["failed"]) for r in house.read("run_metrics").filter("feed = 'silver_meteo'").collect()] == [(20, 0)]
+
+
+def test_forecasts_are_stored_once(spark, tmp_path):
+    house, rng = Warehouse(spark, str(tmp_path / "house")), random.Random(4)
+    text = messages.route(spark.createDataFrame([(json.dumps(message("inverter", m, rng)),) for m in range(0, 90, 3)], "value string"))
+    jobs.store_silver(house, "inverter", messages.split_valid(messages.bronze(text, "inverter"), "inverter")[0])
+
+    def predict(grid):
+        return grid.withColumn("predicted_ac_power_kw", F.when(F.minute("ts") != 30, F.hour("ts").cast("double")))
+
+    assert jobs.store_forecasts(house, predict, "r1", 6)
+    first = house.read("forecast_predictions")
+    newest = {r[0]: r[1] for r in house.read("silver_inverter").groupBy("inverter_id").agg(F.max("ts")).collect()}
+    got = {r[0]: r[1:] for r in first.groupBy("inverter_id").agg(F.min("ts"), F.max("ts"), F.count("*")).collect()}
+    for inverter, last in newest.items():
+        times = [last + timedelta(minutes=15 * i) for i in range(1, 25)]
+        times = [t for t in times if t.minute != 30]
+        assert got[inverter] == (times[0], times[-1], len(times))
+    assert first.filter("predicted_ac_power_kw <> hour(ts)").isEmpty()
+    rows = first.count()
+    jobs.store_forecasts(house, predict, "r1", 6)
+    assert house.read("forecast_predictions").count() == rows
+    assert jobs.store_forecasts(house, predict, "r2", 6, since="2026-01-15") and not jobs.store_forecasts(house, predict, "r3", 6, since="2026-01-16")
+    assert house.read("forecast_predictions").count() == 2 * rows
+
+
 def test_replayed_batch_is_stored_once(spark, tmp_path):
     house = Warehouse(spark, str(tmp_path / "house"))
     rng = random.Random(2)
