@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -144,3 +145,85 @@ def threshold_alerts(silver: DataFrame, thresholds: DataFrame) -> DataFrame:
     )
     listed = j.select("plant_id", "inverter_id", "ts", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("a"))
     return listed.select("plant_id", "inverter_id", "ts", "a.*")
+
+
+# Measure of each configured limit and whether a reading alerts above it.
+LIMITS = [
+    ("inverter", "temp_warning_c", "inverter", "temperature", True),
+    ("inverter", "temp_critical_c", "inverter", "temperature", True),
+    ("inverter", "efficiency_alert_min", "inverter", "efficiency", False),
+    ("inverter", "efficiency_warning_min", "inverter", "efficiency", False),
+    ("inverter", "freq_deviation_warning_hz", "inverter", "frequency_deviation", True),
+    ("inverter", "freq_deviation_critical_hz", "inverter", "frequency_deviation", True),
+    ("dc_diagnostics", "string_current_imbalance_pct", "inverter", "string_loss_pct", True),
+    ("dc_diagnostics", "voltage_deviation_pct", "inverter", "dc_voltage_deviation_pct", True),
+    ("dc_diagnostics", "min_power_for_efficiency_calc_kw", "inverter", None, None),
+    ("poi_meter", "voltage_deviation_warning_pct", "poi_meter", "grid_voltage_deviation_pct", True),
+    ("poi_meter", "voltage_deviation_critical_pct", "poi_meter", "grid_voltage_deviation_pct", True),
+    ("poi_meter", "power_factor_warning_min", "poi_meter", "power_factor", False),
+    ("poi_meter", "power_factor_critical_min", "poi_meter", "power_factor", False),
+]
+
+
+def off_percent(c: str, nominal: float) -> Column:
+    return F.abs(F.col(c) - nominal) / nominal * 100
+
+
+def limit_measures(nominal_dc_v: float, nominal_grid_v: float) -> dict[str, dict[str, Column]]:
+    """What the limits of each feed are compared with."""
+    strings = F.col("healthy_strings") + F.col("failed_strings")
+    return {
+        "inverter": {
+            "temperature": F.col("inverter_temp_c"), "efficiency": F.col("instant_efficiency"), "frequency_deviation": F.abs(F.col("ac_freq_hz") - 50),
+            "string_loss_pct": F.try_divide(F.col("failed_strings") * 100.0, strings), "dc_voltage_deviation_pct": off_percent("dc_voltage_v", nominal_dc_v),
+        },
+        "poi_meter": {
+            "grid_voltage_deviation_pct": F.greatest(*(off_percent(f"grid_voltage_l{i}_v", nominal_grid_v) for i in (1, 2, 3))),
+            "power_factor": F.col("power_factor"),
+        },
+    }
+
+
+def limit_alerts(feeds: dict[str, DataFrame], thresholds: DataFrame, nominal_dc_v: float, nominal_grid_v: float) -> DataFrame:
+    """Readings beyond any configured limit: plant_id, source, ts, category, alert, measure, value, limit, severity.
+
+    ``feeds`` has silver rows of ``inverter`` and ``poi_meter``; ``thresholds`` are rows as
+    in the threshold dimension. A limit is a row: those of a plant and feed are packed
+    into one array, at most as long as ``LIMITS``, that a reading meets in one join, and
+    only the alerts it raises are listed. Strings of an inverter are judged by the share
+    that failed, voltages by their distance from the nominal one, the grid by its worst
+    phase. Efficiency is judged from ``min_power_for_efficiency_calc_kw`` on. A missing
+    reading or limit raises nothing; a reading equal to its limit does not either.
+    """
+    spark = thresholds.sparkSession
+    # a fixed table of a dozen rows, so broadcasting it is bounded
+    rules = F.broadcast(spark.createDataFrame(LIMITS, "threshold_category string, threshold_name string, feed string, measure string, above boolean"))
+    known = thresholds.join(rules, ["threshold_category", "threshold_name"]).filter("threshold_value is not null")
+    body = F.struct(
+        F.col("threshold_category").alias("category"), F.col("threshold_name").alias("alert"), "measure", "above",
+        F.col("threshold_value").cast("double").alias("limit"), "severity",
+    )
+    packed = known.groupBy("plant_id", "feed").agg(
+        F.collect_list(F.when(F.col("measure").isNotNull(), body)).alias("_limits"),
+        F.max(F.when(F.col("measure").isNull(), F.col("threshold_value").cast("double"))).alias("_least_kw"),
+    )
+    packed = lookup(packed)
+    measures = limit_measures(nominal_dc_v, nominal_grid_v)
+    found = []
+    for feed, rows in feeds.items():
+        mine = packed.filter(F.col("feed") == feed).select(F.col("plant_id").alias("_plant"), "_limits", "_least_kw")
+        met = rows.join(mine, F.col("plant_id") == F.col("_plant"))
+        values = dict(measures[feed])
+        if feed == "inverter":
+            enough = F.col("_least_kw").isNull() | (F.col("ac_power_kw") >= F.col("_least_kw"))
+            values["efficiency"] = F.when(enough, values["efficiency"])
+        of = F.create_map(*(x for name, value in values.items() for x in (F.lit(name), value.cast("double"))))
+        source = F.col("inverter_id") if feed == "inverter" else F.lit(feed)
+        seen = met.select("plant_id", source.alias("source"), "ts", of.alias("_of"), "_limits")
+        hits = F.filter(
+            F.transform("_limits", lambda x: F.struct(x.alias("rule"), F.try_element_at(F.col("_of"), x["measure"]).alias("value"))),
+            lambda x: F.when(x["rule"]["above"], x["value"] > x["rule"]["limit"]).otherwise(x["value"] < x["rule"]["limit"]),
+        )
+        found.append(seen.select("plant_id", "source", "ts", F.explode(hits).alias("h")))
+    listed = reduce(DataFrame.unionByName, found)
+    return listed.select("plant_id", "source", "ts", *(F.col(f"h.rule.{c}").alias(c) for c in ("category", "alert", "measure")), F.col("h.value").alias("value"), F.col("h.rule.limit").alias("limit"), F.col("h.rule.severity").alias("severity"))

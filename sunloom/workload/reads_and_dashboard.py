@@ -329,6 +329,46 @@ def _(r):
     return d.threshold_alerts(r.inverter_s, r.thresholds)
 
 
+_feeds = {
+    "inverter_s": (
+        "inverter_id",
+        [(n, "inverter", {"inverter_temp_c": "temperature", "instant_efficiency": "efficiency"}.get(v, "frequency_deviation"), v, op, n) for n, v, op in _hits if "efficiency" not in n]
+        + [(n, "inverter", "efficiency", "case when ac_power_kw >= 50 then instant_efficiency end", "<", n) for n in ("efficiency_alert_min", "efficiency_warning_min")]
+        + [
+            ("string_current_imbalance_pct", "dc_diagnostics", "string_loss_pct", "failed_strings * 100e0 / nullif(healthy_strings + failed_strings, 0)", ">", "10e0"),
+            ("voltage_deviation_pct", "dc_diagnostics", "dc_voltage_deviation_pct", "abs(dc_voltage_v - 1100e0) / 1100e0 * 100", ">", "5e0"),
+        ],
+    ),
+    "poi_s": (
+        "'poi_meter'",
+        [(f"voltage_deviation_{n}_pct", "poi_meter", "grid_voltage_deviation_pct", "greatest(" + ", ".join(f"abs(grid_voltage_l{i}_v - 400e0) / 400e0 * 100" for i in (1, 2, 3)) + ")", ">", limit) for n, limit in (("warning", "5e0"), ("critical", "10e0"))]
+        + [(f"power_factor_{n}_min", "poi_meter", "power_factor", "power_factor", "<", limit) for n, limit in (("warning", "0.9e0"), ("critical", "0.87e0"))],
+    ),
+}
+# values of the limits that the derived thresholds do not hold
+_more = [
+    ("dc_diagnostics", "string_current_imbalance_pct", 10.0, "warning"), ("dc_diagnostics", "voltage_deviation_pct", 5.0, "warning"),
+    ("dc_diagnostics", "min_power_for_efficiency_calc_kw", 50.0, "info"), ("poi_meter", "voltage_deviation_warning_pct", 5.0, "warning"),
+    ("poi_meter", "voltage_deviation_critical_pct", 10.0, "critical"), ("poi_meter", "power_factor_warning_min", 0.9, "warning"),
+    ("poi_meter", "power_factor_critical_min", 0.87, "critical"),
+]
+
+
+@query(
+    "limit_alerts",
+    " union all ".join(
+        f"""select r.plant_id, {source} as source, ts, '{category}' as category, '{name}' as alert, '{measure}' as measure, {value} as value, {limit} as "limit",
+ '{ {n: s for _, n, _, s in _more}.get(name) or name.rsplit('_', 2)[1] }' as severity from {table} r join thresholds t on t.plant_id = r.plant_id where {value} {op} {limit}"""
+        for table, (source, rules) in _feeds.items() for name, category, measure, value, op, limit in rules
+    ),
+    "inverter_s poi_s thresholds", 'value "limit"',
+)
+def _(r):
+    more = F.inline(F.array(*(F.struct(*(F.lit(x).alias(c) for x, c in zip(row, ("threshold_category", "threshold_name", "threshold_value", "severity"), strict=True))) for row in _more)))
+    limits = r.thresholds.unionByName(r.thresholds.select("plant_id").distinct().select("plant_id", more))
+    return d.limit_alerts({"inverter": r.inverter_s, "poi_meter": r.poi_s}, limits, 1100.0, 400.0)
+
+
 @query(
     "tagged_union",
     """select id, ts, 'train' as split from inverter where ts < timestamp '2024-01-25' union all select id, ts, 'test' from inverter where ts >= timestamp '2024-01-25'""",

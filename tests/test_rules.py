@@ -129,3 +129,29 @@ def test_clear_sky_in_a_zone(spark):
     assert all(abs(r.a - r.b) < 1e-6 for r in got)
     assert max(r.a for r in got) > 900 and min(r.a for r in got) == 0.0
     assert F is not None
+
+
+def test_limits_as_rows(spark):
+    """Every configured limit is judged; null, equal and unknown ones raise nothing."""
+    from sunloom.operators.dashboard import LIMITS, limit_alerts
+
+    values = {
+        "temp_warning_c": 55.0, "temp_critical_c": 65.0, "efficiency_alert_min": 0.95, "efficiency_warning_min": 0.93, "freq_deviation_warning_hz": 0.5,
+        "freq_deviation_critical_hz": 1.0, "string_current_imbalance_pct": 10.0, "voltage_deviation_pct": 5.0, "min_power_for_efficiency_calc_kw": 1.0,
+        "voltage_deviation_warning_pct": 5.0, "voltage_deviation_critical_pct": 10.0, "power_factor_warning_min": 0.9, "power_factor_critical_min": 0.85,
+    }
+    assert sorted(values) == sorted(x[1] for x in LIMITS)
+    limits = [("P", c, n, values[n], "warning") for c, n, *_ in LIMITS] + [("P", "inverter", "unheard_of", 1.0, "info"), ("Q", "inverter", "temp_warning_c", None, "info")]
+    thresholds = spark.createDataFrame(limits, "plant_id string, threshold_category string, threshold_name string, threshold_value double, severity string")
+    inverter = spark.createDataFrame(
+        [("P", "calm", 55.0, 0.95, 50.5, 9, 1, 840.0, 5.0), ("P", "bad", 65.5, 0.9, 51.5, 6, 6, 700.0, 5.0), ("P", "idle", 20.0, 0.1, 50.0, 12, 0, 800.0, 0.5),
+         ("P", "silent", None, None, None, None, None, None, None), ("P", "none", 20.0, 1.0, 50.0, 0, 0, 800.0, 5.0), ("Q", "bad", 99.0, 0.1, 60.0, 0, 9, 1.0, 9.0), ("R", "bad", 99.0, 0.1, 60.0, 0, 9, 1.0, 9.0)],
+        "plant_id string, inverter_id string, inverter_temp_c double, instant_efficiency double, ac_freq_hz double, healthy_strings int, failed_strings int, dc_voltage_v double, ac_power_kw double",
+    ).withColumn("ts", F.lit("2026-01-15").cast("timestamp"))
+    meter = spark.createDataFrame([("P", 400.0, 424.0, 399.0, 0.9), ("P", 400.0, None, 350.0, 0.8)], "plant_id string, grid_voltage_l1_v double, grid_voltage_l2_v double, grid_voltage_l3_v double, power_factor double").withColumn("ts", F.lit("2026-01-15").cast("timestamp"))
+    got = limit_alerts({"inverter": inverter, "poi_meter": meter}, thresholds, 800.0, 400.0).collect()
+    raised = sorted((r["source"], r["alert"]) for r in got)
+    inverter_names = [n for c, n, *_ in LIMITS if c != "poi_meter" and n != "min_power_for_efficiency_calc_kw"]
+    meter_names = [n for c, n, *_ in LIMITS if c == "poi_meter"]
+    assert raised == sorted([("bad", n) for n in inverter_names] + [("poi_meter", n) for n in [*meter_names, "voltage_deviation_warning_pct"]])
+    assert limit_alerts({"inverter": inverter.limit(0)}, thresholds, 800.0, 400.0).isEmpty()
