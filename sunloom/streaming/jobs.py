@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import json
+import pickle
+from bisect import bisect_right
+from collections.abc import Callable, Iterator, Sequence
+from decimal import Decimal
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from sunloom.functions.quality import clean
 from sunloom.operators import failures, reads, timeseries
@@ -207,30 +213,84 @@ def nearest_joined(
 ) -> DataFrame:
     """Rows of one stream with the nearest row of another, for an append sink.
 
-    Both streams wait for ``delay``; the range of the condition bounds the state of the
-    join, and the rows it pairs meet again under the left ``key``. The nearest is chosen
-    as in :func:`sunloom.operators.timeseries.asof_nearest`: a tie goes to the earlier
-    side, there to the last by ``right_order``, on the later side to the first. Left rows
-    without a match come with nulls once no match can arrive any more.
+    Both streams wait for ``delay``. They are laid out in time cells, right rows in every
+    cell that the tolerance reaches, and a cell's state holds the rows that may still be
+    asked for. A left row is answered by a binary search once no match can arrive any
+    more: the work is linear and no pairs are formed. Left rows of one time and ``key``
+    come once. The nearest is chosen as in
+    :func:`sunloom.operators.timeseries.asof_nearest`: a tie goes to the earlier side,
+    there to the last by ``right_order``, on the later side to the first. Left rows
+    without a match come with nulls; those without a time are dropped.
     """
+    by = list(by)
     payload = [c for c in right.columns if c not in (*by, ts)]
-    order = F.struct(*(f"_r.{c}" for c in (right_order or payload)))
-    lefts = left.withWatermark(ts, delay)
-    rights = right.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col(ts).alias("_at"), F.struct(*payload).alias("_r")).withWatermark("_at", delay)
-    span = F.expr(f"interval {tolerance}")
-    near = (F.col("_at") >= F.col(ts) - span) & (F.col("_at") <= F.col(ts) + span)
-    for c in by:
-        near = near & (F.col(c) == F.col(f"_by_{c}"))
-    pairs = lefts.join(rights, near, "leftOuter")
-    gap = F.abs(F.unix_micros("_at") - F.unix_micros(ts))
-    earlier = F.col("_at") <= F.col(ts)
-    # of each side its best row first, then the nearer side
-    before = F.max_by(F.struct("_r", gap.alias("gap")), F.when(earlier, F.struct(-gap, order)))
-    after = F.min_by(F.struct("_r", gap.alias("gap")), F.when(~earlier, F.struct(gap, order)))
-    rest = [c for c in left.columns if c not in (ts, key)]
-    met = pairs.groupBy(ts, key).agg(*(F.first(c).alias(c) for c in rest), before.alias("_before"), after.alias("_after"))
-    pick = F.when(F.col("_before").isNotNull() & (F.col("_after").isNull() | (F.col("_before.gap") <= F.col("_after.gap"))), F.col("_before._r")).otherwise(F.col("_after._r"))
-    return met.withColumn("_r", pick).select(*left.columns, *(F.col(f"_r.{c}").alias(c) for c in payload))
+    order = list(right_order or payload)
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    reach = left.sparkSession.sql(f"select unix_micros(timestamp_micros(0) + interval {tolerance})").first()[0]
+    width = max(reach, timeseries.HOUR_US)
+    text = lambda columns: F.to_json(F.struct(*columns), EXACT_JSON)
+    lefts = left.withWatermark(ts, delay).withColumn("_t", micros).filter("_t is not null").select(
+        *by, ts, "_t", F.floor(F.col("_t") / width).alias("_cell"), F.lit(True).alias("_asks"), text([key]).alias("_k"), text(left.columns).alias("_row"),
+    )
+    reached = F.sequence(F.floor((F.col("_t") - reach) / width), F.floor((F.col("_t") + reach) / width))
+    rights = right.withWatermark(ts, delay).withColumn("_t", micros).dropna(subset=["_t", *by]).select(
+        *by, ts, "_t", F.explode(reached).alias("_cell"), F.lit(False).alias("_asks"), text(order).alias("_k"), text(payload).alias("_row"),
+    )
+    doubles = [c for c in order if right.schema[c].dataType.typeName() in ("double", "float")]
+    met = lefts.union(rights).groupBy(*by, "_cell").applyInPandasWithState(
+        nearest_of_cell(reach, width, doubles), "_l string, _r string", "held binary", "append", "EventTimeTimeout",
+    )
+    read = lambda c, columns, df: F.from_json(c, df.select(*columns).schema, EXACT_JSON | {"mode": "FAILFAST"}).alias(c)
+    back = met.select(read("_l", left.columns, left), read("_r", payload, right))
+    return back.select("_l.*", *(F.col(f"_r.{c}").alias(c) for c in payload))
+
+
+#: rows as text that gives every value back as it was; pandas would make doubles of whole numbers beside nulls
+EXACT_JSON = {"ignoreNullFields": "false", "timeZone": "UTC", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def nearest_of_cell(reach: int, width: int, doubles: Sequence[str]) -> Callable:
+    """The step of :func:`nearest_joined` on one time cell: keep what comes, answer the left rows that are due."""
+    odd = {"-Infinity": (1,), "Infinity": (3,), "NaN": (4,)}
+
+    def place(text: str) -> list[tuple]:
+        # as Spark orders: null first, NaN last
+        values = json.loads(text, parse_float=Decimal).items()
+        return [(0,) if v is None else odd[v] if c in doubles and isinstance(v, str) else (2, v) for c, v in values]
+
+    def run(cell: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        lefts, rights = pickle.loads(state.get[0]) if state.exists else ({}, [])
+        for rows in batches:
+            for at, asks, k, row in zip(rows["_t"].tolist(), rows["_asks"], rows["_k"], rows["_row"], strict=True):
+                if asks:
+                    lefts.setdefault((at, k), row)
+                else:
+                    rights.append((at, k, row))
+        now = state.getCurrentWatermarkMs()
+        due = [k for k in lefts if k[0] + reach <= now * 1000]
+        if due:
+            rights.sort(key=lambda r: (r[0], place(r[1])))
+            times = [at for at, _, _ in rights]
+            found = []
+            for at, _ in due:
+                later = bisect_right(times, at)
+                back = at - times[later - 1] if later else reach + 1
+                ahead = times[later] - at if later < len(times) else reach + 1
+                found.append(rights[later - 1 if back <= ahead else later][2] if min(back, ahead) <= reach else None)
+            yield pd.DataFrame({"_l": [lefts.pop(k) for k in due], "_r": found})
+        closed = (int(cell[-1]) + 1) * width
+        waits = min((at for at, _ in lefts), default=None)
+        if waits is None and closed <= now * 1000:
+            if state.exists:
+                state.remove()
+            return
+        # left rows still to come are later than the watermark
+        least = (now * 1000 if waits is None else min(waits, now * 1000)) - reach
+        state.update((pickle.dumps((lefts, [r for r in rights if r[0] >= least])),))
+        # a timeout has to be passed by the watermark, not met
+        state.setTimeoutTimestamp(max(-(-(closed if waits is None else waits + reach) // 1000) - 1, now + 1))
+
+    return run
 
 
 def score_new_rows(house: Warehouse, score: Callable[[DataFrame], DataFrame], reprocess_from: str | None = None) -> bool:

@@ -10,7 +10,7 @@ from conftest import rows_of
 from pyspark.sql import functions as F
 
 from sunloom.functions.quality import clean
-from sunloom.operators import gold
+from sunloom.operators import gold, timeseries
 from sunloom.plans.medallion import HOURLY, Warehouse, backlog, open_plants, rebuild, refresh_open_plants
 from sunloom.sources import messages, tables
 from sunloom.streaming import jobs
@@ -357,3 +357,24 @@ def test_nearest_rows_of_two_streams(spark, tmp_path):
     got = {r["id"]: r["meteo_id"] for r in ended(spark, jobs.nearest_joined(left, right, "20 minutes", "1 hour"), tmp_path).collect()}
     # 2 lies between two at the same distance: the earlier side wins, and of its equals the last
     assert {k: got[k] for k in (1, 2, 3, 4)} == {1: 7, 2: 8, 3: None, 4: None}
+
+
+def test_nearest_rows_of_streams_hold_no_pairs(spark, tmp_path):
+    """Many rows within one tolerance, in two batches: answers as of the batch operator, cell by cell, and no join."""
+    rng = random.Random(4)
+    step = lambda n: [rng.randrange(n * 7_200_000_000, (n + 1) * 7_200_000_000) for _ in range(600)]
+    at = lambda us: START + timedelta(microseconds=us)
+    schema = "id long, plant_id string, ts timestamp, seen timestamp"
+    lefts = [[((1 << 60) + n * 600 + i, rng.choice(["P", "Q", None]), at(us), at(us + 1)) for i, us in enumerate(step(n))] for n in range(2)]
+    rights = [[((1 << 61) + n * 600 + i, rng.choice(["P", "Q", None]), at(us // 60_000_000 * 60_000_000), at(us)) for i, us in enumerate(step(n))] for n in range(2)]
+    named = lambda df: df.withColumnsRenamed({"id": "rid", "seen": "read"})
+    stream = jobs.nearest_joined(rows_stream(spark, tmp_path / "l", lefts, schema), named(rows_stream(spark, tmp_path / "r", rights, schema)), right_order=["rid"])
+    got = ended(spark, stream, tmp_path)
+    batch = lambda parts: spark.createDataFrame([r for p in parts for r in p], schema)
+    l, r = batch(lefts), batch(rights)
+    done = min(df.agg({"ts": "max"}).first()[0] for df in (l, r)) - timedelta(minutes=90)
+    want = timeseries.asof_nearest(l, named(r), 1800, right_order=["rid"]).withColumn("no_plant", F.col("plant_id").isNull())
+    want = want.filter(F.col("ts") <= F.lit(done)).withColumns({c: F.when(~F.col("no_plant"), F.col(c)) for c in ("rid", "read")}).drop("no_plant")
+    assert rows_of(got, *want.columns) == rows_of(want, *want.columns) and got.count() > 500
+    plan = stream._jdf.queryExecution().logical().toString()
+    assert "Join" not in plan
