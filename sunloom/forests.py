@@ -58,7 +58,8 @@ def best_splits(state: DataFrame, key: Sequence[str], least_rows: Column, dampin
         *node, "feature", "bin", "_least", "_damping",
         F.sum("n").over(upto).alias("nl"), F.sum("g").over(upto).alias("gl"), F.sum("n").over(whole).alias("na"), F.sum("g").over(whole).alias("ga"),
     )
-    score = lambda g, n: g * g / (n + F.col("_damping"))
+    # squares of whole sums pass the range of a long
+    score = lambda g, n: g.cast("double") * g / (n + F.col("_damping"))
     gain = score(F.col("gl"), F.col("nl")) + score(F.col("ga") - F.col("gl"), F.col("na") - F.col("nl")) - score(F.col("ga"), F.col("na"))
     able = sides.filter((F.col("nl") >= F.col("_least")) & (F.col("na") - F.col("nl") >= F.col("_least"))).withColumn("gain", gain).filter("gain > 1e-9")
     digits = F.floor(F.log10("gain")).cast("int") - 8

@@ -51,6 +51,14 @@ def test_root_splits(rows):
     assert len(by) == 3 and got == {k: plain_split(v, 5, 1.0) for k, v in by.items()}
 
 
+def test_root_splits_of_large_sums(spark):
+    """Sums of targets whose square is beyond a long, as whole numbers."""
+    large = [([h, 0], 400_000, (h % 5) * 20_000_000_000) for h in range(24)]
+    state = spark.createDataFrame([("P", "A0", b, n, y) for b, n, y in large], "plant_id string, inverter_id string, bins array<int>, n long, g long").withColumn("node", F.lit(1))
+    got = forests.best_splits(state, KEY, F.lit(5), F.lit(1.0)).first()
+    assert (got["feature"], got["bin"]) == plain_split(large, 5, 1.0)
+
+
 def test_forests_beat_a_pooled_one_on_held_out_rows(rows):
     able = rows.filter("ts is not null and ac_power_kw is not null and not isnan(ac_power_kw)")
     train, test = (able.filter(f"(unix_seconds(ts) div 86400) % 4 {op} 0") for op in ("<>", "="))
