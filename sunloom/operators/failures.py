@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,10 @@ def _levels() -> dict[str, Column]:
     return {**known, "low": F.coalesce(~s.isin("CRITICAL", "HIGH", "MEDIUM"), F.lit(True))}
 
 
+def _counts() -> dict[str, Column]:
+    return {n: F.coalesce(c, F.lit(False)).cast("long") for n, c in _levels().items()}
+
+
 def system_impact(
     points: DataFrame, failures: DataFrame, by: Sequence[str] = ("plant_id",), ts: str = "ts", max_rows: int | None = None
 ) -> DataFrame:
@@ -49,8 +54,7 @@ def system_impact(
     # a failure gives at most two counts and two component changes
     bound = 4 * skew.largest_group(live, by) + skew.largest_group(points, by)
     names = list(_levels())
-    counts = {n: F.coalesce(c, F.lit(False)).cast("long") for n, c in _levels().items()}
-    marked = live.withColumns(counts)
+    marked = live.withColumns(_counts())
     sides = F.array(
         F.struct(F.col("start_ts").alias("at"), F.lit(1).alias("sign")), F.struct(F.col("end_ts").alias("at"), F.lit(-1).alias("sign"))
     )
@@ -91,12 +95,36 @@ def system_impact(
 
 def performance_multiplier(
     points: DataFrame, failures: DataFrame, point_key: Sequence[str], by: Sequence[str] = ("plant_id",), ts: str = "ts",
-    failure_types: Sequence[str] | None = None,
+    failure_types: Sequence[str] | None = None, max_rows: int | None = None,
 ) -> DataFrame:
-    """Product of the severity factors of the failures active at a point, per component."""
+    """Product of the severity factors of the failures active at a point, per component.
+
+    A sweep over each component's starts and ends gives the stretches between which its
+    product is constant; a point meets one stretch of a component at most, so no point is
+    paired with a failure, however many are active at once.
+    """
     chosen = failures if failure_types is None else failures.filter(F.col("failure_type").isin(*failure_types))
-    active = interval_join(points.select(*by, *point_key, ts), chosen, by, ts)
-    return active.groupBy(*by, *point_key, "component_id").agg(F.product(severity_value(PERFORMANCE_FACTORS)).alias("multiplier"))
+    # as a struct, a component without a name equals itself in joins
+    part = [*by, "_part"]
+    limit = skew.MAX_GROUP_ROWS if max_rows is None else max_rows
+    names = list(_levels())
+    sides = F.array(F.struct(F.col("start_ts").alias("at"), F.lit(1).alias("sign")), F.struct(F.col("end_ts").alias("at"), F.lit(-1).alias("sign")))
+    edges = (
+        chosen.filter("start_ts < end_ts").withColumns(_counts())
+        .select(*by, F.struct("component_id").alias("_part"), F.explode(sides).alias("_e"), *names)
+    )
+    steps = edges.groupBy(*part, F.col("_e.at").alias("start_ts")).agg(*[F.sum(F.col(n) * F.col("_e.sign")).alias(n) for n in names])
+    steps = steps.filter(" or ".join(f"{n} <> 0" for n in names))
+    bound = skew.largest_group(steps, part)
+    if bound > limit:
+        ensure_checkpoint_dir(points.sparkSession)
+        steps = steps.checkpoint()
+    swept = skew.running_totals(steps, part, "start_ts", [], names, limit, bound)
+    fr = skew.ordered_frames(swept, part, "start_ts", after=1, max_rows=limit, at_most=bound)
+    stretches = fr.finish(fr.df.withColumn("end_ts", F.lead("start_ts").over(fr.window))).filter(" or ".join(f"{n} > 0" for n in names))
+    factor = reduce(Column.__mul__, (F.pow(F.lit(PERFORMANCE_FACTORS[n.upper()]), F.col(n)) for n in names))
+    active = interval_join(points.select(*by, *point_key, ts), stretches.select(*by, "_part.component_id", "start_ts", "end_ts", factor.alias("_factor")), by, ts)
+    return active.groupBy(*by, *point_key, "component_id").agg(F.product("_factor").alias("multiplier"))
 
 
 # minutes without a failing reading after which an outage of that severity counts as over

@@ -213,6 +213,36 @@ def test_system_impact(spark, size):
     assert {r["id"]: r["count"] for r in pairs} == {t: r["active_failures"] for t, r in got.items() if r["active_failures"]}
 
 
+@pytest.mark.parametrize("size", SIZES)
+def test_performance_multiplier_pairs_no_failures(spark, size):
+    """Dense failures, some of a component without a name, against a plain product; a point meets a component's stretches, not its failures."""
+    rng = random.Random(8)
+    fails = [("P%d" % rng.randrange(2), rng.randrange(400), rng.choice(["A", "B", None]), rng.choice(["LOW", "MEDIUM", "HIGH", "CRITICAL", None])) for _ in range(150)]
+    fails = [(p, s, s + rng.randrange(0, 9 if v == "CRITICAL" else 60), c, v) for p, s, c, v in fails] * 20
+    fails += [("P0", 600, 700, "A", "LOW"), ("P0", 620, 640, "A", "HIGH"), ("P0", 640, 650, "A", "HIGH")]
+    f = spark.createDataFrame(fails, "plant_id string, s long, e long, component_id string, severity string").selectExpr(
+        "plant_id", "timestamp_seconds(s) as start_ts", "timestamp_seconds(e) as end_ts", "component_id", "severity"
+    )
+    p = spark.range(0, 720, 3).selectExpr("concat('P', id % 2) as plant_id", "id", "timestamp_seconds(id) as ts")
+    got = fl.performance_multiplier(p, f, ["id"], max_rows=size)
+    want = {}
+    for t in range(0, 720, 3):
+        for plant, start, end, part, severity in fails:
+            if plant == f"P{t % 2}" and start <= t < end:
+                want[t, part] = want.get((t, part), 1.0) * fl.PERFORMANCE_FACTORS.get(severity, 0.9)
+    rows = {(r["id"], r["component_id"]): r["multiplier"] for r in got.collect()}
+    assert rows.keys() == want.keys() and len(rows) == got.count()
+    assert all(abs(rows[k] - want[k]) < 1e-9 for k in want) and 0 < rows[630, "A"] < 0.9
+    asked = []
+    met = timeseries.interval_join
+    fl.interval_join = lambda l, r, *a: asked.append(met(l, r, *a)) or asked[-1]
+    try:
+        fl.performance_multiplier(p, f, ["id"], max_rows=size)
+    finally:
+        fl.interval_join = met
+    assert asked[0].count() == len(want)
+
+
 @pytest.mark.parametrize("size", SIZES)
 def test_asof(spark, size):
     """Nearest match with ties, equal times on the right, and a one-second cell."""
