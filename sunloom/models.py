@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import product
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import PCA, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
@@ -36,18 +36,27 @@ def fit_forecaster(
     """Boosted trees on the calendar inputs.
 
     The pooled model takes the inverter as an input and is fit once over all rows;
-    for one inverter pass its rows with ``pooled=False``.
+    for one inverter pass its rows with ``pooled=False``. Rows with equal inputs are one
+    instance, weighed by their number, with their mean as label: for the squared error
+    splits and leaves are those of the single rows, and a tree's passes are over the
+    distinct inputs (hours of the calendar times inverters) instead of the rows.
     """
-    stages = []
     inputs = list(CALENDAR_COLUMNS)
+    rows = calendar_inputs(train).dropna(subset=[target])
+    stages = []
     if pooled:
-        stages.append(StringIndexer(inputCol="inverter_id", outputCol="inverter_no", handleInvalid="keep"))
+        stages.append(StringIndexer(inputCol="inverter_id", outputCol="inverter_no", handleInvalid="keep").fit(rows))
         inputs.append("inverter_no")
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
-    stages.append(
-        GBTRegressor(labelCol=target, featuresCol="features", predictionCol="predicted", maxIter=max_iter, maxDepth=max_depth, stepSize=step, seed=seed)
+    # the other calendar columns follow from these
+    same = ["hour", "day_of_week", "day_of_month", "month", *(["inverter_id"] if pooled else [])]
+    rest = [F.first(c).alias(c) for c in CALENDAR_COLUMNS if c not in same]
+    counted = rows.groupBy(*same).agg(*rest, F.avg(F.col(target).cast("double")).alias("_label"), F.count(F.lit(1)).cast("double").alias("_weight"))
+    trees = GBTRegressor(
+        labelCol="_label", weightCol="_weight", featuresCol="features", predictionCol="predicted", maxIter=max_iter, maxDepth=max_depth, stepSize=step, seed=seed
     )
-    return Pipeline(stages=stages).fit(calendar_inputs(train).dropna(subset=[target]))
+    ready = PipelineModel(stages).transform(counted)
+    return PipelineModel([*stages, trees.fit(ready)])
 
 
 def predict_power(model: PipelineModel, rows: DataFrame, name: str = "predicted") -> DataFrame:

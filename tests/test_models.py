@@ -2,6 +2,8 @@
 
 import pytest
 from conftest import SMALL
+from pyspark.ml import PipelineModel
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from sunloom import models
@@ -30,6 +32,22 @@ def test_forecaster(rel):
     assert models.evaluate_forecaster(again, parts.filter("split = 'test'")).orderBy(*INVERTER_KEY).collect() == scores.orderBy(*INVERTER_KEY).collect()
 
 
+def test_forecaster_fits_distinct_inputs(rel, spark, monkeypatch):
+    """The model of rows with equal inputs as one instance is that of the single rows, and copies of the rows add no instance."""
+    rows = rel.inverter_s.select(*INVERTER_KEY, "ts", "ac_power_kw").dropna()
+    seen = []
+    fit = GBTRegressor._fit
+    monkeypatch.setattr(GBTRegressor, "_fit", lambda self, df: seen.append(df.count()) or fit(self, df))
+    model = models.fit_forecaster(rows, max_iter=4, max_depth=3)
+    often = models.fit_forecaster(rows.withColumn("_", F.explode(F.sequence(F.lit(1), F.lit(5)))).drop("_"), max_iter=4, max_depth=3)
+    assert seen[0] == seen[1] == rows.select("inverter_id", F.date_trunc("hour", "ts")).distinct().count() < rows.count()
+    plain = GBTRegressor(labelCol="ac_power_kw", predictionCol="predicted", maxIter=4, maxDepth=3, stepSize=0.1, seed=42)
+    single = plain.fit(PipelineModel(model.stages[:-1]).transform(models.calendar_inputs(rows)))
+    both = single.transform(model.transform(models.calendar_inputs(rows)).withColumnRenamed("predicted", "p"))
+    assert both.agg(F.max(F.abs(F.col("p") - F.col("predicted")))).first()[0] < 1e-6
+    assert often.stages[-1].totalNumNodes == model.stages[-1].totalNumNodes
+
+
 def test_search(rel):
     rows = rel.inverter_s.select("id", *INVERTER_KEY, "ts", "ac_power_kw")
     best = models.search_forecaster(rows, {"max_depth": [2, 3], "max_iter": [2]}, folds=2)
