@@ -17,7 +17,7 @@ def numbered(df: DataFrame, by: Sequence[str], ts: str, tie: Sequence[str], max_
     """
     sizes = skew.lookup(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")))
     largest = int(sizes.agg(F.max("_n")).first()[0] or 0)
-    return skew.with_ordinal(df, by, ts, tie, "_i", max_rows, at_most=largest).join(sizes, list(by))
+    return skew.with_ordinal(df, by, ts, tie, "_i", skew.group_rows(df, max_rows), at_most=largest).join(sizes, list(by))
 
 
 def chronological_split(

@@ -211,9 +211,9 @@ def fill_gaps(df: DataFrame, by: Sequence[str], cols: Sequence[str], ts: str = "
     """Forward fill, then backward fill, within the key and in time order.
 
     Chunks of a large key learn the last value before them and the first after
-    them from a summary of one row per chunk.
+    them from a summary of one row per chunk. Wide rows make a key large sooner.
     """
-    max_rows = skew.MAX_GROUP_ROWS if max_rows is None else max_rows
+    max_rows = skew.group_rows(df, max_rows)
     upto = (Window.unboundedPreceding, Window.currentRow)
     if skew.largest_group(df, by) <= max_rows:
         up = [F.asc(ts), *[F.asc(c) for c in tie]]

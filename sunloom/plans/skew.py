@@ -13,12 +13,16 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sunloom.session import ensure_checkpoint_dir
 
 #: rows one task may hold for one key before the key is cut into pieces
 MAX_GROUP_ROWS = 5_000_000
 
+#: bytes of the rows one task may hold for one key, as :func:`row_bytes` counts them; a sort and a window hold them twice
+MAX_GROUP_BYTES = 128 << 20
+
 #: values (rows times columns) of a table that may be broadcast, about 32 MB
 BROADCAST_CELLS = 4_000_000
 
@@ -26,6 +30,20 @@ BROADCAST_CELLS = 4_000_000
 BUCKET_WIDTHS = (86_400_000_000, 3_600_000_000, 60_000_000, 1_000_000, 1_000, 1)
 
 
+def row_bytes(kind: T.DataType) -> int:
+    """About how many bytes a value or row of this type takes in a sort."""
+    if isinstance(kind, T.StructType):
+        return 16 + sum(row_bytes(f.dataType) for f in kind)
+    if isinstance(kind, (T.ArrayType, T.MapType)):
+        return 64
+    return 24 if isinstance(kind, (T.StringType, T.BinaryType)) else 8
+
+
+def group_rows(df: DataFrame, max_rows: int | None = None) -> int:
+    """Rows one task may hold for one key: fewer when they are wide, unless a bound is given."""
+    return max(1, min(MAX_GROUP_ROWS, MAX_GROUP_BYTES // row_bytes(df.schema))) if max_rows is None else max_rows
+
+
 def largest_group(df: DataFrame, by: Sequence[Column | str]) -> int:
     """Rows of the largest group: a map-side combined count, one number to the driver."""
     top = df.groupBy(*by).count().agg(F.max("count").alias("n")).first()

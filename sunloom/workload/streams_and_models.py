@@ -241,6 +241,9 @@ def _(r):
     weather = r.meteo.select("plant_id", "ts", F.col("id").alias("meteo_id"), "amb_temp_c", "module_temp_c", "wind_speed_ms", "humidity_percent", "poa_irradiance_wm2")
     joined = timeseries.asof_nearest(r.inverter_s, weather, 7200, right_order=["meteo_id"]).withColumn("is_anomaly", anomaly_label())
     columns = [c for c in models.ANOMALY_COLUMNS if c in joined.columns]
-    parts = splits.normal_only_split(timeseries.fill_gaps(joined, INVERTER_KEY, columns), INVERTER_KEY).checkpoint()
+    # stored, because keys are measured before they are cut
+    rows = joined.select("id", *INVERTER_KEY, "ts", *columns, "is_anomaly").checkpoint()
+    filled = timeseries.fill_gaps(rows, INVERTER_KEY, columns).checkpoint()
+    parts = splits.normal_only_split(filled, INVERTER_KEY).checkpoint()
     model = models.fit_anomaly_model(parts.filter("split = 'train'"), k=5)
     return models.evaluate_anomaly_model(model, parts.filter("split = 'test'"))

@@ -274,3 +274,16 @@ def test_a_long_interval_adds_two_rows(spark):
     assert got == want
     listed = both.withColumn("w", F.pow(F.lit(2.0), level)).selectExpr("floor((unix_micros(end_ts) - 1) / w) - floor(unix_micros(start_ts) / w) + 1 as cells")
     assert listed.agg(F.max("cells")).first()[0] <= 2
+
+
+def test_wide_rows_are_cut_sooner(spark, monkeypatch):
+    """Keys whose bytes are too many for a task are worked on in pieces, with the values of the whole key."""
+    rows = spark.range(400).selectExpr("'P' as plant_id", "timestamp_seconds(id * 60) as ts", "if(id % 7 = 3, id, null) as v", *[f"id * {i} as w{i}" for i in range(20)])
+    assert skew.group_rows(rows) < skew.group_rows(rows.select("plant_id", "ts")) and skew.group_rows(rows, 9) == 9
+    whole = {r["ts"]: r["v"] for r in timeseries.fill_gaps(rows, ["plant_id"], ["v"]).collect()}
+    monkeypatch.setattr(skew, "MAX_GROUP_BYTES", 50 * skew.row_bytes(rows.schema))
+    cut = timeseries.fill_gaps(rows, ["plant_id"], ["v"])
+    assert "_chunk" in cut._jdf.queryExecution().analyzed().toString()
+    assert {r["ts"]: r["v"] for r in cut.collect()} == whole
+    part = splits.chronological_split(rows, ["plant_id"])
+    assert "_start" in part._jdf.queryExecution().analyzed().toString() and part.filter("split = 'train'").count() == 320
