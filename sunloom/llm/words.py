@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -239,12 +240,44 @@ def group_starts(lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
 
 
+#: stands between chunks that are encoded together; a token by itself, which no chunk without it has
+MARK = "\x01"
+_KINDS = np.zeros(256, np.uint8)  # 1: ASCII letters and digits, 2: ASCII punctuation but the apostrophe, 3: white space
+_KINDS[[c for c in range(0x21, 0x7F) if c != 0x27]] = 2
+_KINDS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+_KINDS[_IS_SPACE] = 3
+
+
+def punctuation_apart(column: pa.Array) -> pa.Array:
+    """Texts with a space before the punctuation that ends a word, where an ASCII letter or digit stands before it.
+
+    Runs of ASCII punctuation without apostrophes, up to white space. A run that meets one of the next
+    text is also set apart, as it ends its own text; some at the ends of texts are left.
+    """
+    column = plain(column)
+    begin = np.frombuffer(column.buffers()[1], np.int64)[: len(column) + 1]
+    data = column.buffers()[2]
+    if data is None or begin[-1] < 3:
+        return column
+    raw = np.frombuffer(data, np.uint8)[: begin[-1]]
+    kind = _KINDS[raw]
+    edges = np.diff((kind == 2).view(np.int8))
+    first, last = np.flatnonzero(edges == 1) + 1, np.flatnonzero(edges == -1)
+    last = last[1:] if kind[0] == 2 else last
+    first = first[: len(last)]
+    at = first[(kind[first - 1] == 1) & (kind[last + 1] == 3)]
+    spaced = np.insert(raw, at, np.uint8(0x20))
+    bounds = begin + np.searchsorted(at, begin)
+    return pa.Array.from_buffers(pa.large_string(), len(column), [None, pa.py_buffer(bounds), pa.py_buffer(spaced)])
+
+
 class Tokens:
     """Token ids of texts by a tokenizer that treats what stands between spaces apart.
 
-    Holds for vocabularies whose pre-tokenizer drops white space and whose normaliser
-    lower-cases; checked by the tests. A chunk is encoded when a worker first sees it;
-    what is remembered is bounded by starting anew at ``remember`` chunks.
+    Holds for vocabularies whose pre-tokenizer drops white space and sets punctuation apart
+    from letters and digits, whose normaliser lower-cases, and where MARK is one token; checked
+    by the tests. A chunk is encoded when a worker first sees it, many in one text; what is
+    remembered is bounded by starting anew at ``remember`` chunks.
     """
 
     def __init__(self, path: str, plain_specials: bool = False, remember: int = 1_000_000):
@@ -253,42 +286,53 @@ class Tokens:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = plain_specials
         self.remember = remember
+        (self.mark,) = self._ids([MARK])[0]
         self._clear()
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, chunks: list[str]) -> None:
-        new = [c for c in chunks if c not in self.known]
-        if len(self.known) + len(new) > self.remember and self.known:
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encoded(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks in a row, and how many each has."""
+        ids = np.array(self._ids([f" {MARK} ".join(chunks)])[0], np.uint32)
+        marks = np.flatnonzero(ids == self.mark)
+        if len(marks) == len(chunks) - 1:
+            return np.delete(ids, marks), np.diff(marks, prepend=-1, append=len(ids)) - 1
+        each = self._ids(chunks)  # one of them has the mark in it
+        return np.array([i for e in each for i in e], np.uint32), np.array([len(e) for e in each], np.int64)
+
+    def _entries(self, chunks: list[str]) -> np.ndarray:
+        """Where each of the distinct chunks is remembered; new ones are encoded."""
+        entry = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
+        unknown = np.flatnonzero(entry < 0)
+        if len(self.known) + len(unknown) > self.remember and self.known:
             self._clear()
-            new = chunks
-        if not new:
-            return
-        ids: list[int] = []
-        lengths = np.empty(len(new), np.int64)
-        for at in range(0, len(new), 5_000):
-            for k, e in enumerate(self.model.encode_batch_fast(new[at : at + 5_000], add_special_tokens=False), at):
-                got = e.ids
-                lengths[k] = len(got)
-                ids += got
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, np.array(ids, np.uint32)])
+            unknown = np.arange(len(chunks))
+        if len(unknown):
+            new = [chunks[i] for i in unknown.tolist()]
+            parts = [self._encoded(new[at : at + 1_000]) for at in range(0, len(new), 1_000)]
+            lengths = np.concatenate([n for _, n in parts])
+            entry[unknown] = np.arange(len(self.known), len(self.known) + len(new))
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+            self.lengths = np.concatenate([self.lengths, lengths])
+            self.flat = np.concatenate([self.flat, *(ids for ids, _ in parts)])
+        return entry
 
     def encode(self, column: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row and the bounds of each text; every text ends with ``end`` if given."""
         if not pc.any(pc.match_substring(column, "<|")).as_py():  # special tokens are found before lower-casing
-            column = pc.ascii_lower(column)
+            column = punctuation_apart(pc.ascii_lower(column))
         words = split_words(column)
-        chunks = words.distinct.to_pylist()
-        self._learn(chunks)
-        entry = np.fromiter((self.known[c] for c in chunks), np.int64, len(chunks))[words.codes]
+        entry = self._entries(words.distinct.to_pylist())[words.codes]
         size = self.lengths[entry]
-        ids = self.flat[np.repeat(self.starts[entry], size) + group_starts(size)]
-        bounds = np.concatenate([[0], np.cumsum(size)])[words.bounds]
+        after = np.cumsum(size)
+        ids = self.flat[np.repeat(self.starts[entry] - after + size, size) + np.arange(after[-1] if len(after) else 0)]
+        bounds = np.concatenate([[0], after])[words.bounds]
         if end is None:
             return ids, bounds
         return np.insert(ids, bounds[1:], np.uint32(end)), bounds + np.arange(len(bounds))

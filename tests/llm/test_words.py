@@ -44,3 +44,23 @@ def test_token_ids_are_those_of_the_tokenizer(texts):
     ids, bounds = model.encode(pa.array(texts, pa.string()), 1)
     for i, t in enumerate(texts):
         assert ids[bounds[i] : bounds[i + 1]].tolist() == [*model.model.encode(t, add_special_tokens=False).ids, 1]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="aB'sté́.,!~^1\x01 \n\x0b\x1c İΣ<>漢“", max_size=25), max_size=6))
+def test_token_ids_where_punctuation_is_set_apart(texts):
+    model = Tokens(vocabulary(), remember=40)
+    texts = [*texts, "it's, 'so'. a!", "! b?", ".", "3.\t≮ x", "", "q\x01. \x01 r,"]
+    ids, bounds = model.encode(pa.array(texts, pa.string()), 1)
+    for i, t in enumerate(texts):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == [*model.model.encode(t, add_special_tokens=False).ids, 1]
+
+
+def test_words_before_punctuation_are_encoded_once_and_many_together():
+    model = Tokens(vocabulary())
+    sizes, ids = [], model._ids
+    model._ids = lambda texts: sizes.append(len(texts)) or ids(texts)
+    words = [f"w{i}" for i in range(50)]
+    model.encode(pa.array([" ".join(f"{w} {w}, {w}. ({w}" for w in words)]), 1)
+    assert len(model.known) == 2 * 50 + 2  # before: four chunks a word
+    assert sizes == [1]  # before: as many texts as chunks
