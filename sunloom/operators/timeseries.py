@@ -90,6 +90,10 @@ def dyadic_level(start: str, end: str) -> Column:
     return F.length(F.bin(length - 1)).cast("int")
 
 
+#: pairs that one task of an interval join tries, about
+MAX_PAIRS = 100_000_000
+
+
 def interval_join(
     points: DataFrame,
     intervals: DataFrame,
@@ -97,6 +101,7 @@ def interval_join(
     ts: str = "ts",
     start: str = "start_ts",
     end: str = "end_ts",
+    max_pairs: int | None = None,
 ) -> DataFrame:
     """Points with every interval that covers them, ``start <= ts < end``.
 
@@ -104,18 +109,41 @@ def interval_join(
     that is not shorter than it: two at most, whatever its length. A point asks one cell of
     each power that occurs (a list of 63 at most, read as a scalar), so a long interval
     among short ones adds two rows and no pairs but with points near it. Cells meet in an
-    equi-join, and skewed ones are split by adaptive execution.
+    equi-join.
+
+    The rows may be far more than the input, so where ``max_pairs`` is given, the pairs to
+    try are counted first, from the points and intervals of each cell: beyond it the join has as many
+    partitions as they ask for, which adaptive execution, that goes by bytes, does not
+    merge, and a cell with more is dealt to several tasks, each with the cell's intervals.
+    Without it, skewed cells are split by adaptive execution.
     """
-    def cell(micros: Column) -> Column:
-        return F.call_function("shiftright", micros, F.col("_level"))
+    def micros(name: str) -> Column:
+        return F.unix_micros(F.col(name).cast("timestamp"))
+
+    def cell(at: Column) -> Column:
+        return F.call_function("shiftright", at, F.col("_level"))
 
-    live = intervals.filter(F.col(start) < F.col(end)).withColumn("_level", dyadic_level(start, end))
+    live = intervals.filter(F.col(start) < F.col(end)).withColumns({"_level": dyadic_level(start, end), "_from": micros(start), "_to": micros(end)})
     levels = live.agg(F.collect_set("_level").alias("l")).scalar()
-    p = points.withColumn("_level", F.explode(levels)).withColumn("_c", cell(F.unix_micros(F.col(ts).cast("timestamp"))))
-    touched = F.sequence(cell(F.unix_micros(F.col(start).cast("timestamp"))), cell(F.unix_micros(F.col(end).cast("timestamp")) - 1))
-    i = live.withColumn("_c", F.explode(touched))
-    joined = p.join(i, [*by, "_level", "_c"])
-    return joined.filter((F.col(start) <= F.col(ts)) & (F.col(ts) < F.col(end))).drop("_c", "_level")
+    p = points.withColumn("_t", micros(ts)).withColumn("_level", F.explode(levels)).withColumn("_c", cell(F.col("_t")))
+    i = live.withColumn("_c", F.explode(F.sequence(cell(F.col("_from")), cell(F.col("_to") - 1))))
+    key = [*by, "_level", "_c"]
+    if max_pairs is not None:
+        sides = p.select(*key, F.lit(1).alias("_n"), F.lit(0).alias("_m")).unionByName(i.select(*key, F.lit(0).alias("_n"), F.lit(1).alias("_m")))
+        cells = sides.groupBy(*key).agg(F.sum("_n").alias("_n"), (F.sum("_n").cast("double") * F.sum("_m")).alias("_pairs"))
+        most, total = cells.agg(F.max("_pairs"), F.sum("_pairs")).first()
+        if (most or 0) > max_pairs:
+            parts = cells.filter(F.col("_pairs") > max_pairs).select(*key, F.least("_n", F.ceil(F.col("_pairs") / max_pairs)).alias("_k"))
+            one = F.coalesce("_k", F.lit(1).cast("long"))
+            # the tuple of all columns of a point decides the part, so a retried task deals alike
+            p = p.join(parts, key, "left").withColumn("_p", F.pmod(F.xxhash64(*points.columns), one)).drop("_k")
+            i = i.join(parts, key, "left").withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), one - 1))).drop("_k")
+            key.append("_p")
+        if (total or 0) > max_pairs:
+            n = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / max_pairs))
+            p, i = (side.repartition(n, *key) for side in (p, i))
+    joined = p.join(i, key).filter((F.col("_from") <= F.col("_t")) & (F.col("_t") < F.col("_to")))
+    return joined.drop("_level", "_c", "_p", "_t", "_from", "_to")
 
 
 def time_gaps(df: DataFrame, by: Sequence[str], ts: str = "ts", tie: Sequence[str] = (), name: str = "gap_seconds", max_rows: int | None = None) -> DataFrame:

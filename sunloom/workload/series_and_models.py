@@ -38,8 +38,9 @@ ACTIVE = """select s.id, s.plant_id, s.ts, f.failure_id, f.component_id, f.sever
 
 @query("failures_active_at", ACTIVE, "status failures")
 def _(r):
-    points = r.status.select("id", "plant_id", "ts")
-    return timeseries.interval_join(points, r.failures).select("id", "plant_id", "ts", "failure_id", "component_id", "severity")
+    # the time as it is returned, since a conversion after the join would be done for every pair
+    points = r.status.select("id", "plant_id", F.col("ts").cast("timestamp_ntz"))
+    return timeseries.interval_join(points, r.failures, max_pairs=timeseries.MAX_PAIRS).select("id", "plant_id", "ts", "failure_id", "component_id", "severity")
 
 
 @query(

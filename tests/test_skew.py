@@ -287,3 +287,28 @@ def test_wide_rows_are_cut_sooner(spark, monkeypatch):
     assert {r["ts"]: r["v"] for r in cut.collect()} == whole
     part = splits.chronological_split(rows, ["plant_id"])
     assert "_start" in part._jdf.queryExecution().analyzed().toString() and part.filter("split = 'train'").count() == 320
+
+
+@pytest.mark.parametrize("size", [None, 1, 40, 4_000])
+def test_interval_join_deals_pairs(spark, size):
+    """Dense and hot cells give the same pairs however few of them a task may try."""
+    rng = random.Random(5)
+    fails = [(rng.choice("PQ"), i, rng.randrange(900), rng.choice([0, 1, 20, 300])) for i in range(150)] + [("P", 200 + i, 500, 10) for i in range(40)]
+    pts = [(rng.choice("PQ"), i, rng.randrange(1_200)) for i in range(300)] + [("P", 400 + i, 505) for i in range(40)] + [(None, 900, 5), ("P", 901, None)]
+    f = spark.createDataFrame(fails, "plant_id string, failure_id long, s long, n long").selectExpr("plant_id", "failure_id", "timestamp_seconds(s) as start_ts", "timestamp_seconds(s + n) as end_ts")
+    p = spark.createDataFrame(pts, "plant_id string, id long, t long").selectExpr("plant_id", "id", "timestamp_seconds(t) as ts")
+    joined = timeseries.interval_join(p, f, max_pairs=size)
+    assert set(joined.columns) == {*p.columns, *f.columns}
+    got = sorted((r["id"], r["failure_id"]) for r in joined.collect())
+    assert got == sorted((i, k) for q, i, t in pts for w, k, s, n in fails if q == w and t is not None and s <= t < s + n)
+    assert timeseries.interval_join(p, f.limit(0), max_pairs=size).count() == 0
+    plan = joined._jdf.queryExecution().analyzed().toString()
+    assert ("_p" in plan.replace("_pairs", "")) == (size in (1, 40)) and ("RepartitionByExpression" in plan) == (size is not None)
+
+
+def test_failures_active_at_converts_no_time_of_a_pair(spark):
+    """A conversion above the join would be done once for every row of the result."""
+    from sunloom.workload import QUERIES
+
+    plan = QUERIES["failures_active_at"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "as timestamp_ntz" not in plan[: plan.index("Join Inner")]
