@@ -10,13 +10,15 @@ threshold shares at least ``least_shared`` of its sketch values (the chance to m
 ``MISS`` for a pair exactly at the threshold), so a node needs to be listed only under
 its rarest values: prefixes of that length must meet. Values that a passage spread over
 the corpus keep out of the lists that way, unless most of a document is such passages.
-Within a list all nodes are compared with one pivot, not with each other; only nodes
-that are not in the list's largest component afterwards are compared with the others.
+Nodes that no other size class of a list, nor another node of their own, can reach the
+threshold with leave the list first. Within a list all nodes are compared with one pivot,
+not with each other; only nodes that are not in the list's largest component afterwards
+are compared with the others.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import ceil, comb
 
 import numpy as np
@@ -39,8 +41,10 @@ ESTIMATE = 64
 LINK = (75, 100)
 #: chance that a pair at the threshold is not found
 MISS = 1e-9
-#: nodes that may be broadcast (8 bytes each)
+#: numbers that may be broadcast (8 bytes each)
 BROADCAST_NODES = 1_000_000
+#: size classes of a list whose sizes differ by a factor of e
+CLASSES = 64
 
 
 def least_shared(k: int, similarity: float, miss: float = MISS) -> int:
@@ -149,9 +153,24 @@ def listed(hashes: DataFrame, k: int, link: tuple[int, int]) -> DataFrame:
     return placed.select(F.col("s.value").alias("value"), "node", "n", most.cast("long").alias("most"))
 
 
+def within_reach(lists: DataFrame, k: int, link: tuple[int, int]) -> DataFrame:
+    """Entries of the lists for which another entry of the list may reach the threshold, by size and ``most``.
+
+    Each entry is held against the size classes of its list, of which there is a bounded
+    number however long the list is. What is left out has no pair that ``sizes_fit``.
+    """
+    a, b = link
+    size = F.floor(F.log("n") * CLASSES)
+    classes = lists.groupBy("value", size.alias("size")).agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("most").alias("best"))
+    other = (size != F.col("size")) | (F.col("c") > 1)
+    alike = (F.col("n") * a <= F.col("high") * b) & (F.col("low") * a <= F.col("n") * b)
+    overlap = (F.greatest("n", "high") > k) | (F.least("most", "best") * (a + b) >= (F.col("n") + F.col("low")) * a)
+    return lists.alias("e").join(classes.alias("s"), (F.col("e.value") == F.col("s.value")) & other & alike & overlap, "left_semi")
+
+
 def small(keys: DataFrame) -> DataFrame:
-    """Keys of 8 bytes, broadcast if there are few; else they are joined by shuffle."""
-    return F.broadcast(keys) if keys.count() <= BROADCAST_NODES else keys
+    """Rows of numbers, broadcast if there are few; else they are joined by shuffle."""
+    return F.broadcast(keys) if keys.count() * len(keys.columns) <= BROADCAST_NODES else keys
 
 
 def union_estimate(a: np.ndarray, b: np.ndarray, k: int, link: tuple[int, int]) -> bool:
@@ -178,7 +197,7 @@ def passing(pairs: DataFrame, hashes: DataFrame, test, k: int, link: tuple[int,
 
     of_a = hashes.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
     of_b = hashes.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
-    return pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "ha", "hb").mapInArrow(trimmed(run), "a long, b long")
+    return of_b.join(small(pairs), "b").join(of_a, "a").select("a", "b", "ha", "hb").mapInArrow(trimmed(run), "a long, b long")
 
 
 def components(edges: DataFrame, stored: Steps) -> DataFrame:
@@ -186,27 +205,33 @@ def components(edges: DataFrame, stored: Steps) -> DataFrame:
 
     Every root hooks onto its smallest neighbouring root and climbs up to eight hooks;
     edges follow their ends, so what is not at the top yet stays connected to it. The
-    number of roots with edges at least halves each time.
+    number of roots with edges at least halves each time. ``edges`` are read twice.
     """
-    both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b")
     labels = None
     while True:
         up = stored(both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("to")))
+        near = F.broadcast if up.count() * 2 <= BROADCAST_NODES else (lambda df: df)
         for _ in range(3):
             onward = up.select(F.col("a").alias("to"), F.col("to").alias("next"))
-            up = up.join(onward, "to", "left").select("a", F.coalesce("next", "to").alias("to"))
+            up = up.join(near(onward), "to", "left").select("a", F.coalesce("next", "to").alias("to"))
         up = stored(up)
         if labels is None:
             labels = up.select(F.col("a").alias("node"), F.col("to").alias("comp"))
         else:
-            labels = stored(labels.join(up.withColumnRenamed("a", "comp"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
+            labels = stored(onto(labels, up.select(F.col("a").alias("node"), F.col("to").alias("comp")), near))
         at_b = up.select(F.col("a").alias("b"), F.col("to").alias("tb"))
-        moved = both.join(up, "a", "left").join(at_b, "b", "left").select(F.coalesce("to", "a").alias("a"), F.coalesce("tb", "b").alias("b"))
+        moved = both.join(near(up), "a", "left").join(near(at_b), "b", "left").select(F.coalesce("to", "a").alias("a"), F.coalesce("tb", "b").alias("b"))
         both = stored(moved.filter("a <> b").distinct())
         if both.isEmpty():
             return labels
 
 
+def onto(labels: DataFrame, moved: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Labels (node, comp) after their components got the labels ``moved``."""
+    return labels.join(near(moved.select(F.col("node").alias("comp"), F.col("comp").alias("to"))), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+
+
 def linked(lists: DataFrame, hashes: DataFrame, k: int, link: tuple[int, int], stored: Steps, rounds: int = 3) -> DataFrame:
     """(node, comp) of nodes with links, from inverted lists (value, node, n).
 
@@ -216,27 +241,29 @@ def linked(lists: DataFrame, hashes: DataFrame, k: int, link: tuple[int, int], s
     different other components may still be alike, so they choose further pivots, and once
     what is left to compare is no more than a few times the lists (or after ``rounds``),
     all remaining pairs of different components are compared. Pairs of sizes that cannot
-    reach the threshold are left out.
+    reach the threshold are left out. Where there are more pairs than nodes, a short
+    sketch of each sifts them before full sets are sent.
     """
-    lists = stored(lists.join(lists.groupBy("value").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"), "value").select("value", "node", "n", "most"))
-    budget = 16 * lists.count()
+    lists = stored(within_reach(lists, k, link).select("value", "node", "n", "most"))
+    budget, nodes = 16 * lists.count(), hashes.count()
     sketch = hashes.withColumn("hashes", F.slice("hashes", 1, ESTIMATE))
     # a sample (more than k values) shares values that it does not keep, so then ``most`` is no bound
     most = F.when(F.greatest("na", "nb") > k, F.least("na", "nb")).otherwise(F.least("ma", "mb"))
     sizes_fit = (F.least("na", "nb") * link[1] >= F.greatest("na", "nb") * link[0]) & (most * (link[0] + link[1]) >= (F.col("na") + F.col("nb")) * link[0])
-    edges, done, labels, last = None, None, None, False
+    done, labels, last = None, None, False
     for turn in range(rounds + 1):
         if labels is None:
-            rest = lists.withColumn("comp", F.col("node"))
-            placed = rest
+            rest = placed = lists.withColumn("comp", F.col("node"))
         else:
-            placed = stored(lists.join(labels, "node", "left").select("value", "node", "n", "most", F.coalesce("comp", "node").alias("comp")))
+            placed = stored(lists.join(small(labels), "node", "left").select("value", "node", "n", "most", F.coalesce("comp", "node").alias("comp")))
             # only one component of a list may go: members of two have not met each other
             sizes = placed.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("c"))
-            largest = sizes.groupBy("value").agg(F.max(F.struct("c", "comp")).alias("l")).select("value", F.col("l.comp").alias("comp"))
-            rest = stored(placed.join(largest, ["value", "comp"], "left_anti").join(done, ["value", "node"], "left_anti"))
-            per_list = rest.groupBy("value").agg(F.count(F.lit(1)).alias("r")).join(placed.groupBy("value").agg(F.count(F.lit(1)).alias("c")), "value")
-            work = per_list.agg(F.sum(F.col("r") * F.col("c"))).first()[0] or 0
+            largest = sizes.groupBy("value").agg(F.max(F.struct("c", "comp")).alias("l"), F.sum("c").alias("length")).filter("l.c < length")
+            met = done.groupBy("value").agg(F.collect_list("node").alias("met"))
+            of_list = largest.join(met, "value", "left").select("value", F.col("l.comp").alias("large"), "met", "length")
+            left = placed.join(of_list, "value").filter("comp <> large and not coalesce(array_contains(met, node), false)")
+            rest = stored(left.select("value", "node", "n", "most", "comp", "length"))
+            work = rest.agg(F.sum("length")).first()[0] or 0
             if not work:
                 break
             last = work <= budget or turn == rounds
@@ -252,9 +279,16 @@ def linked(lists: DataFrame, hashes: DataFrame, k: int, link: tuple[int, int], s
             one = pivots.select("value", F.col("pivot").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("comp").alias("ca"))
         pairs = one.join(other, "value").filter((F.col("ca") != F.col("cb")) & sizes_fit)
         pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        found = stored(passing(passing(pairs, sketch, union_estimate, ESTIMATE, link), hashes, exact, k, link))
-        edges = found if edges is None else stored(edges.union(found))
-        labels = components(edges, stored)
+        if pairs.count() > nodes:
+            pairs = stored(passing(pairs, sketch, union_estimate, ESTIMATE, link))
+        found = stored(passing(pairs, hashes, exact, k, link))
+        if labels is None:
+            labels = components(found, stored)
+        elif not found.isEmpty():  # links between components: only these move
+            comp = small(labels)
+            ends = found.join(comp.withColumnsRenamed({"node": "a", "comp": "ca"}), "a", "left").join(comp.withColumnsRenamed({"node": "b", "comp": "cb"}), "b", "left")
+            moved = components(stored(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))), stored)
+            labels = stored(onto(labels, small(moved), lambda df: df).union(moved.join(labels, "node", "left_anti")))
         if last:
             break
     return labels

@@ -130,6 +130,49 @@ def test_members_of_two_pivots_components_are_compared(spark):
     assert {r["node"]: r["comp"] for r in got} == label and len(set(label.values())) == 30
 
 
+def test_entries_that_reach_nothing_cost_no_rounds(spark):
+    rng, base = random.Random(6), [*range(1, 101)]
+    members = {v: base[:99] + [1_000 + v] for v in range(40)} | {v: sorted(rng.sample(range(10_000, 10**9), 100)) for v in range(40, 160)}
+    # the others share 76 values at most from here on, too few for two sets of 100
+    lists = spark.createDataFrame([(1, v, 100, 100 if v < 40 else 76) for v in members], "value long, node long, n long, most long")
+    hashes = spark.createDataFrame(list(members.items()), "node long, hashes array<long>")
+    steps = Steps(spark)
+    got = neardup.linked(lists, hashes, neardup.SKETCH, neardup.LINK, steps).collect()
+    assert {r["node"]: r["comp"] for r in got} == dict.fromkeys(range(40), 0)
+    assert steps.n <= 10
+
+
+def test_size_classes_keep_every_pair_that_may_link(spark):
+    rng, k, (a, b) = random.Random(9), 64, neardup.LINK
+    rows = {(value, node, n, rng.randint(n * 3 // 4, n)) for value in range(40) for node in rng.sample(range(500), rng.randint(1, 12)) for n in [rng.choice([3, 4, 20, 30, 48, 60, 64, 70, 90, 300])]}
+
+    def fit(x, y):
+        most = min(x[2], y[2]) if max(x[2], y[2]) > k else min(x[3], y[3])
+        return min(x[2], y[2]) * b >= max(x[2], y[2]) * a and most * (a + b) >= (x[2] + y[2]) * a
+
+    needed = {x for x in rows for y in rows if x[0] == y[0] and x[1] != y[1] and fit(x, y)}
+    lists = spark.createDataFrame(sorted(rows), "value long, node long, n long, most long")
+    got = [tuple(r) for r in neardup.within_reach(lists, k, neardup.LINK).collect()]
+    assert len(got) == len(set(got)) < len(rows) and needed <= set(got) <= rows
+
+
+@pytest.mark.parametrize("numbers", [0, neardup.BROADCAST_NODES])
+def test_links_join_components_by_shuffle_and_by_broadcast(spark, monkeypatch, numbers):
+    monkeypatch.setattr(neardup, "BROADCAST_NODES", numbers)
+    rng, data = random.Random(11), []
+    for group in range(6):  # windows over one row of words: only near ones are alike
+        words = [f"{group}w{i}" for i in range(180)]
+        data += [" ".join(words[at : at + 100]) for at in range(0, 80, 8)]
+    data = [(i, t, "s") for i, t in enumerate(rng.sample(data, len(data)))]
+    shingles, label = sets(data), list(range(len(data)))
+    for i in range(len(data)):
+        for j in range(i):
+            if 100 * len(shingles[i] & shingles[j]) >= 75 * len(shingles[i] | shingles[j]):
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(table(spark, data)).collect()}
+    assert [got[i] for i in range(len(data))] == label and len(set(label)) == 6
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(300, 360)] + [(rng.randint(0, 200), rng.randint(0, 200)) for _ in range(120)]
