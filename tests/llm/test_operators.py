@@ -345,6 +345,37 @@ def test_quality(spark, rows):
     assert by_id[401]["base_failed"] and not by_id[200]["kept"]
 
 
+NOTICES = ["licensed under", "licence under", "LICENCED Under", "General Public License", "Released under THE", "all rights reserved", "COPYRIGHT", "©", "Cookies", "privacy policy", "Terms of Use", "terms of service", "enable JavaScript", "Powered By", "Lorem ipsum"]
+NEAR_NOTICES = ["unlicensed under", "copyrighted", "cook", "terms of usefulness", "terms  of use", "ſervice İstanbul K"]
+
+
+def test_quality_finds_notices_and_separators_by_their_signs(spark, monkeypatch):
+    marked = [f"These words say {n} and go on, {n} at that." for n in NOTICES]
+    marked += [f"One {a} two {b} three {c} four, and the line ends well." for a in ("|", "›", "»", "::", ">>", "•", "/") for b in ("|", "::") for c in ("/", "•")]
+    plain = [f"These words say {n} and go on, {n} at that." for n in NEAR_NOTICES] + ["One | two :: three four, and the line ends well.", "One/two and three/four/five go on, and the line ends well."]
+    docs = table(spark, [(1, "\n".join([*marked, *plain]), "q"), (2, "\n".join(marked), "q"), (3, "These words go on and end well.", "q")])
+    judged = lambda: {r["doc_id"]: r for r in quality.judge(docs).collect()}
+    got = judged()
+    assert got[1]["clean_text"].split("\n") == plain and got[2]["clean_text"] == ""
+    assert got[1]["lost_chars"] == got[2]["lost_chars"] == got[2]["word_chars"]
+    monkeypatch.setattr(quality, "BOILERPLATE", ".")  # lines without a sign are not searched for the costly patterns
+    monkeypatch.setattr(quality, "SEPARATORS", ".")
+    assert judged()[3]["clean_text"] == "These words go on and end well."
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 7])
+def test_repeated_windows_of_any_width(spark, width):
+    rng = random.Random(width)
+    lists = [[rng.choice("ab") * rng.choice([1, 1, 9]) for _ in range(n)] for n in (*range(12), 60)]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(lists)], "i int, _w array<string>")
+    for name, step in quality.repeat_words("_w", width):
+        df = df.withColumn(name, step)
+    for r in df.collect():
+        w = r["_w"]
+        grams = Counter(tuple(w[i : i + width]) for i in range(len(w) - width + 1))
+        assert r["n_repeat_words"] == len({i + k for i in range(len(w) - width + 1) if grams[tuple(w[i : i + width])] > 1 for k in range(width)})
+
+
 def test_fingerprints(spark, rows):
     got = fingerprint.fingerprint_documents(table(spark, rows), rows_a_bucket=7).collect()
     assert len(got) == len(rows)
