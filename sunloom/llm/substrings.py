@@ -363,7 +363,9 @@ def compared(blobs: list[tuple[int, bytes]], length: int, share: int, shares: in
     rest = rest[in_several(h[rest], doc[rest])]
     # a window reaches half of its other bytes to one side of the gram at least, so it needs company on that side
     half = GRAM + (length - GRAM + 1) // 2
-    company = np.zeros(len(rest), bool)
+    # where a fragment has windows past its gram they hold it elsewhere, and fragments of that gram are all compared
+    past = size[rest] - length > at[rest]
+    company = np.isin(h[rest], h[rest[past]])
     for begin in (at[rest], at[rest] + GRAM - half):
         able = np.flatnonzero((begin >= 0) & (begin + half <= size[rest]))
         own = rest[able]

@@ -152,6 +152,24 @@ def test_common_grams_and_shares_change_nothing(spark, documents, monkeypatch):
     assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == want
 
 
+@pytest.mark.parametrize("seed", [67, 108, 168])
+def test_strings_whose_gram_stands_beside_them_too(seed):
+    rng = random.Random(seed)
+    word = "".join(rng.choice("abcdefgh") for _ in range(14))
+    junk = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    shared = junk(rng.randint(10, 24)) + word + junk(rng.randint(10, 28))
+    first, second = ((junk(100) + (word + junk(rng.randint(0, 12))) * rng.randint(0, 1) + shared + junk(100)).encode() for _ in range(2))
+    blobs = []
+    for i, text in enumerate((first, second)):
+        run = substrings.Run(i, np.zeros(1 << substrings._SLOT_BITS, bool), 50, 1)
+        run.add(i, i, 0, memoryview(text))
+        blobs += [(i, blob) for _, kind, blob in run.rows() if kind == 0]
+    number, _, begin, end = substrings.compared(blobs, 50, 0, 1)
+    gone = {k for a, b in zip(begin.tolist(), end.tolist(), strict=True) for k in range(a, b)}
+    known = {first[k : k + 50] for k in range(len(first) - 49)}
+    assert set(number.tolist()) == {1} and gone == {k + i for k in range(len(second) - 49) if second[k : k + 50] in known for i in range(50)}
+
+
 def test_no_strings(spark):
     assert substrings.dedup_substrings(texts(spark, [])).count() == 0
     assert [tuple(r)[-5:-2] for r in substrings.dedup_substrings(texts(spark, [(1, None)])).collect()] == [(0, 0, 0)]
